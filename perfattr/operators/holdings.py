@@ -19,7 +19,7 @@ from perfattr.operators.calendar import date_array
 from perfattr.operators.common import number_rows, over_time
 from perfattr.sources.schemas import GICS_SECTORS
 from perfattr.sources.star import Star
-from perfattr.sources.storage import cut_lineage
+from perfattr.sources.storage import stored
 
 MIN_FLOW = 0.01
 SAMPLE = 5
@@ -147,8 +147,8 @@ def _contested(claims: DataFrame) -> DataFrame:
     return sectors.where(F.col("lo") != F.col("hi")).select("ticker")
 
 
-def _earlier_claim_conflicts(claims: DataFrame, valid: DataFrame, securities: DataFrame) -> DataFrame:
-    """Valid accounts that give a new ticker another sector than an accepted earlier account.
+def _earlier_claim_conflicts(claims: DataFrame, found: DataFrame, securities: DataFrame) -> DataFrame:
+    """Otherwise valid accounts that give a new ticker another sector than an accepted earlier account.
 
     Only tickers with more than one sector matter; usually there are none.
     Whether an account is accepted depends on the ones before it, so rounds
@@ -160,11 +160,11 @@ def _earlier_claim_conflicts(claims: DataFrame, valid: DataFrame, securities: Da
     nothing = claims.select("account").limit(0)
     if _contested(unknown).isEmpty():
         return _violation(nothing, "sector_conflict", F.lit(0))
-    mine = unknown.join(valid.select("account"), "account", "left_semi")
-    open_claims = mine.join(_contested(mine), "ticker", "left_semi")
+    mine = unknown.join(found, "account", "left_anti")
+    open_claims = stored(mine.join(_contested(mine), "ticker", "left_semi"))
 
     before = W.partitionBy("ticker").orderBy("account").rowsBetween(W.unboundedPreceding, -1)
-    state = cut_lineage(open_claims.withColumn("accepted", F.lit(False)))
+    state = open_claims.withColumn("accepted", F.lit(False))
     rejected = nothing.withColumn("k", F.lit(0).cast("long"))
     while not state.where(~F.col("accepted")).isEmpty():
         fixed_sector = F.first(F.when(F.col("accepted"), F.col("sector")), ignorenulls=True).over(before)
@@ -182,10 +182,10 @@ def _earlier_claim_conflicts(claims: DataFrame, valid: DataFrame, securities: Da
             F.count_if(F.col("loses") & ~F.col("accepted")).alias("k"),
             F.max("waits").alias("waits"),
         )
-        verdicts = cut_lineage(verdicts)
+        verdicts = stored(verdicts)
         out = verdicts.where(~F.col("was_accepted") & (F.col("k") > 0)).select("account", "k")
         rejected = rejected.unionByName(out)
-        state = cut_lineage(
+        state = stored(
             state.drop("accepted")
             .join(verdicts, "account")
             .where(F.col("was_accepted") | (F.col("k") == 0))
@@ -211,8 +211,7 @@ def find_violations(
     )
     if accounts is not None:
         found = found.unionByName(empty_accounts(accounts, holdings))
-    valid = holdings.select("account").distinct().join(found, "account", "left_anti")
-    return found.unionByName(_earlier_claim_conflicts(claims, valid, star.securities))
+    return found.unionByName(_earlier_claim_conflicts(claims, found, star.securities))
 
 
 # -- rows to append -------------------------------------------------------------
@@ -352,11 +351,13 @@ def import_holdings(
 ) -> ImportBatch:
     """Validate all accounts and build the rows to append for the accepted ones.
 
-    `accounts` may give (account, name) of every expected account.
+    `accounts` may give (account, name) of every expected account.  The import
+    runs in stages: violations, portfolio ids and security ids are stored, as
+    each is used several times; the rows to append are left to the caller.
     """
-    violations = find_violations(holdings, star, accounts, sectors)
-    accepted = accepted_accounts(holdings, violations, star)
-    security_map = map_securities(holdings, accepted, star)
+    violations = stored(find_violations(holdings, star, accounts, sectors))
+    accepted = stored(accepted_accounts(holdings, violations, star))
+    security_map = stored(map_securities(holdings, accepted, star))
     flows = estimated_flows(holdings, accepted)
     deltas = {
         "securities": security_map.where(F.col("existing_id").isNull()).select(

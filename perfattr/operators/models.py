@@ -20,6 +20,7 @@ from perfattr.operators.common import over_time, running
 from perfattr.operators.holdings import ImportBatch, import_holdings
 from perfattr.sources.schemas import GICS_SECTORS
 from perfattr.sources.star import Star
+from perfattr.sources.storage import stored
 
 REBALANCES = ("NONE", "MONTHLY", "QUARTERLY")
 MAX_HOLDINGS = 50
@@ -208,7 +209,7 @@ def segment_values(weights: DataFrame, paths: DataFrame) -> DataFrame:
 
 def model_holdings(weights: DataFrame, star: Star) -> DataFrame:
     """Holdings rows of the models, ready for the importer; the model is the account."""
-    paths = segmented_index(total_return_index(star, weights), star)
+    paths = stored(segmented_index(total_return_index(star, weights), star))
     values = segment_values(weights, paths)
     quantity = F.try_divide(F.col("weight") * F.col("value"), F.col("order_px"))
     return (
@@ -226,6 +227,14 @@ def model_holdings(weights: DataFrame, star: Star) -> DataFrame:
     )
 
 
+def checked_weights(
+    targets: DataFrame, star: Star, models: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Target violations and the weights of the valid models, both stored."""
+    violations = stored(target_violations(targets, star, models))
+    return violations, stored(model_weights(targets, violations))
+
+
 def build_models(
     targets: DataFrame,
     star: Star,
@@ -233,6 +242,5 @@ def build_models(
     sectors: Sequence[str] = GICS_SECTORS,
 ) -> tuple[DataFrame, ImportBatch]:
     """Target violations and the import of all valid models."""
-    violations = target_violations(targets, star, models)
-    weights = model_weights(targets, violations)
-    return violations, import_holdings(model_holdings(weights, star), star, sectors=sectors)
+    violations, weights = checked_weights(targets, star, models)
+    return violations, import_holdings(stored(model_holdings(weights, star)), star, sectors=sectors)

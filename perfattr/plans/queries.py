@@ -466,8 +466,7 @@ def model_tickers(star: Star) -> DataFrame:
 @over_star("model_weights", 10)
 def model_weights(star: Star) -> DataFrame:
     late = inputs.late_returns(star)
-    targets = inputs.targets(star)
-    return models.model_weights(targets, models.target_violations(targets, late))
+    return models.checked_weights(inputs.targets(star), late)[1]
 
 
 @over_star("model_index", 6)
@@ -477,8 +476,7 @@ def model_index(star: Star) -> DataFrame:
 
 def _model_positions(rebalance: str) -> Callable[[Star], DataFrame]:
     def build(star: Star) -> DataFrame:
-        targets = inputs.targets(star, rebalance)
-        weights = models.model_weights(targets, models.target_violations(targets, star))
+        _, weights = models.checked_weights(inputs.targets(star, rebalance), star)
         return models.model_holdings(weights, star).select(
             "account", "date", "ticker", "sector", "quantity", "price"
         )
