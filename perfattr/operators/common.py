@@ -47,7 +47,8 @@ def number_rows(df: DataFrame, order_by: list[str], column: str, splitters: int
 
     The rows with the smallest key hashes split the key range into at most
     `splitters + 1` even buckets; a row's number is its place in its bucket
-    plus the size of the buckets before.
+    plus the size of the buckets before.  `df` is read three times: give a
+    stored table.
     """
     key = F.struct(*order_by)
     cuts = (
@@ -70,7 +71,7 @@ def number_rows(df: DataFrame, order_by: list[str], column: str, splitters: int
     place = F.row_number().over(W.partitionBy("_bucket").orderBy(*order_by))
     return (
         bucketed.withColumn("_place", place)
-        .join(F.broadcast(offsets), "_bucket")  # at most splitters + 1 rows
+        .join(F.broadcast(offsets), "_bucket", "left")  # at most splitters + 1 rows
         .withColumn(column, (F.col("_before") + F.col("_place")).cast("int"))
         .drop("_bucket", "_place", "_before")
     )

@@ -41,20 +41,33 @@ def _violation(df: DataFrame, rule: str, n: Column) -> DataFrame:
     return df.select("account", F.lit(rule).alias("rule"), n.cast("long").alias("n")).where(F.col("n") > 0)
 
 
-def row_violations(holdings: DataFrame, sectors: Sequence[str]) -> DataFrame:
-    """unknown_sector and missing_field, counted in rows."""
-    required = ("date", "ticker", "quantity", "price")
+def sector_claims(holdings: DataFrame) -> DataFrame:
+    """(account, ticker, sector) with the number of rows and of unusable rows."""
     missing = F.lit(False)
-    for name in required:
+    for name in ("date", "ticker", "quantity", "price"):
         missing = missing | F.col(name).isNull()
-    counts = holdings.groupBy("account").agg(
-        F.count_if(F.col("sector").isNull() | ~F.col("sector").isin(list(sectors))).alias("unknown_sector"),
-        F.count_if(missing | (F.col("price") <= 0)).alias("missing_field"),
+    return holdings.groupBy("account", "ticker", "sector").agg(
+        F.count("*").alias("rows"),
+        F.count_if(missing | (F.col("price") <= 0)).alias("unusable"),
     )
+
+
+def _by_rule(df: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """One row per account and rule with a positive count."""
     rules = F.array(
-        *(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in ("unknown_sector", "missing_field"))
+        *(F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n")) for rule, n in found.items())
+    )
+    return df.select("account", F.inline(rules)).where(F.col("n") > 0)
+
+
+def row_violations(claims: DataFrame, sectors: Sequence[str]) -> DataFrame:
+    """unknown_sector and missing_field, counted in rows."""
+    unknown = F.col("sector").isNull() | ~F.col("sector").isin(list(sectors))
+    counts = claims.groupBy("account").agg(
+        F.sum(F.when(unknown, F.col("rows")).otherwise(0)).alias("unknown"),
+        F.sum("unusable").alias("unusable"),
     )
-    return counts.select("account", F.inline(rules)).where(F.col("n") > 0)
+    return _by_rule(counts, {"unknown_sector": F.col("unknown"), "missing_field": F.col("unusable")})
 
 
 def unknown_sector_samples(holdings: DataFrame, sectors: Sequence[str], n: int = SAMPLE) -> DataFrame:
@@ -73,7 +86,7 @@ def duplicate_violations(holdings: DataFrame) -> DataFrame:
     return _violation(repeated.groupBy("account").agg(F.count("*").alias("k")), "duplicate_row", F.col("k"))
 
 
-def account_shape(holdings: DataFrame, star: Star) -> DataFrame:
+def account_shape(holdings: DataFrame, claims: DataFrame, star: Star) -> DataFrame:
     """Per account: rows, tickers, dates and how the dates sit on the trading calendar."""
     known_dates = star.benchmark_returns.select("date").distinct().withColumn("on_calendar", F.lit(True))
     dates = (
@@ -90,7 +103,7 @@ def account_shape(holdings: DataFrame, star: Star) -> DataFrame:
         )
     )
     tickers = (
-        holdings.where(F.col("ticker").isNotNull())
+        claims.where(F.col("ticker").isNotNull())
         .groupBy("account", "ticker")
         .agg((F.min("sector") != F.max("sector")).alias("many_sectors"))
         .groupBy("account")
@@ -110,16 +123,15 @@ def account_shape(holdings: DataFrame, star: Star) -> DataFrame:
 
 def shape_violations(shape: DataFrame) -> DataFrame:
     """off_calendar, calendar_gap, incomplete_matrix and many_sectors."""
-    found = {
-        "off_calendar": F.col("n_dates") - F.col("n_on_calendar"),
-        "calendar_gap": F.col("n_trading_days") - F.col("n_on_calendar"),
-        "incomplete_matrix": F.abs(F.col("rows") - F.col("n_dates") * F.col("n_tickers")),
-        "many_sectors": F.col("n_many_sectors"),
-    }
-    rules = F.array(
-        *(F.struct(F.lit(r).alias("rule"), n.cast("long").alias("n")) for r, n in found.items())
+    return _by_rule(
+        shape,
+        {
+            "off_calendar": F.col("n_dates") - F.col("n_on_calendar"),
+            "calendar_gap": F.col("n_trading_days") - F.col("n_on_calendar"),
+            "incomplete_matrix": F.abs(F.col("rows") - F.col("n_dates") * F.col("n_tickers")),
+            "many_sectors": F.col("n_many_sectors"),
+        },
     )
-    return shape.select("account", F.inline(rules)).where(F.col("n") > 0)
 
 
 def master_conflicts(claims: DataFrame, securities: DataFrame) -> DataFrame:
@@ -130,17 +142,12 @@ def master_conflicts(claims: DataFrame, securities: DataFrame) -> DataFrame:
     return _violation(per_account, "sector_conflict", F.col("k"))
 
 
-def empty_accounts(accounts: DataFrame, holdings: DataFrame) -> DataFrame:
+def empty_accounts(accounts: DataFrame, claims: DataFrame) -> DataFrame:
     return accounts.select("account").distinct().join(
-        holdings.select("account").distinct(), "account", "left_anti"
+        claims.select("account").distinct(), "account", "left_anti"
     ).select("account", F.lit("no_rows").alias("rule"), F.lit(1).cast("long").alias("n"))
 
 
-def sector_claims(holdings: DataFrame) -> DataFrame:
-    """Distinct (account, ticker, sector)."""
-    return holdings.select("account", "ticker", "sector").distinct()
-
-
 def _contested(claims: DataFrame) -> DataFrame:
     """Tickers claimed with more than one sector."""
     sectors = claims.groupBy("ticker").agg(F.min("sector").alias("lo"), F.max("sector").alias("hi"))
@@ -156,7 +163,9 @@ def _earlier_claim_conflicts(claims: DataFrame, found: DataFrame, securities: Da
     before it contradicts it, and rejected once an accepted one does.  The
     first open account settles in every round.
     """
-    unknown = claims.join(securities.select("ticker"), "ticker", "left_anti")
+    unknown = claims.select("account", "ticker", "sector").join(
+        securities.select("ticker"), "ticker", "left_anti"
+    )
     nothing = claims.select("account").limit(0)
     if _contested(unknown).isEmpty():
         return _violation(nothing, "sector_conflict", F.lit(0))
@@ -202,15 +211,16 @@ def find_violations(
     sectors: Sequence[str] = GICS_SECTORS,
 ) -> DataFrame:
     """(account, rule, n) for every broken rule; `accounts` lists those expected to have rows."""
-    claims = sector_claims(holdings)
+    claims = stored(sector_claims(holdings))
     found = (
-        row_violations(holdings, sectors)
+        row_violations(claims, sectors)
         .unionByName(duplicate_violations(holdings))
-        .unionByName(shape_violations(account_shape(holdings, star)))
+        .unionByName(shape_violations(account_shape(holdings, claims, star)))
         .unionByName(master_conflicts(claims, star.securities))
     )
     if accounts is not None:
-        found = found.unionByName(empty_accounts(accounts, holdings))
+        found = found.unionByName(empty_accounts(accounts, claims))
+    found = stored(found)
     return found.unionByName(_earlier_claim_conflicts(claims, found, star.securities))
 
 
@@ -222,7 +232,7 @@ def accepted_accounts(holdings: DataFrame, violations: DataFrame, star: Star) ->
     spans = holdings.groupBy("account").agg(
         F.min("date").alias("from_date"), F.max("date").alias("to_date")
     )
-    valid = spans.join(violations, "account", "left_anti")
+    valid = stored(spans.join(violations, "account", "left_anti"))
     last_id = star.portfolios.agg(F.coalesce(F.max("portfolio_id"), F.lit(0)).alias("last_id")).scalar()
     return number_rows(valid, ["account"], "place").select(
         "account", (last_id + F.col("place")).alias("portfolio_id"), "from_date", "to_date"
@@ -242,7 +252,8 @@ def map_securities(holdings: DataFrame, accounts: DataFrame, star: Star) -> Data
     known = star.securities.select("ticker", F.col("security_id").alias("existing_id"))
     mapped = tickers.join(known, "ticker", "left")
     last_id = star.securities.agg(F.coalesce(F.max("security_id"), F.lit(0)).alias("last_id")).scalar()
-    fresh = number_rows(mapped.where(F.col("existing_id").isNull()), ["first_account", "ticker"], "place")
+    unnumbered = stored(mapped.where(F.col("existing_id").isNull()))
+    fresh = number_rows(unnumbered, ["first_account", "ticker"], "place")
     columns = ("ticker", "sector", "existing_id", "security_id", "first_account")
     return (
         mapped.where(F.col("existing_id").isNotNull())

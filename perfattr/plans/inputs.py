@@ -83,6 +83,22 @@ def _account(portfolio_id: str = "portfolio_id") -> Column:
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdings of all accounts as they would be delivered: a stored table."""
+    path = testdata.write_once(
+        spark, sf_dir, "holdings", lambda path: _made_holdings(spark, sf_dir).write.parquet(path)
+    )
+    return spark.read.parquet(path)
+
+
+def broken_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one fault per account."""
+    path = testdata.write_once(
+        spark, sf_dir, "broken", lambda path: _with_faults(holdings(spark, sf_dir)).write.parquet(path)
+    )
+    return spark.read.parquet(path)
+
+
+def _made_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All portfolios as accounts; a third with new tickers, a third with known ones, a third mixed."""
     loaded = testdata.load(spark, sf_dir)
     matrix = testdata.holdings_matrix(loaded.market, loaded.buys).join(
@@ -113,9 +129,8 @@ def account_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.unionByName(nations)
 
 
-def broken_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The accounts with one fault each, chosen by the last digit of the account number."""
-    rows = holdings(spark, sf_dir)
+def _with_faults(rows: DataFrame) -> DataFrame:
+    """One fault for nine of ten accounts, chosen by the last digit of the account number."""
     number = F.substring("account", 2, 8).cast("int")
     kind, year, month = number % 10, F.year("date"), F.month("date")
     first_sector, last_sector = F.lit(SECTORS[0]), F.lit(SECTORS[-1])

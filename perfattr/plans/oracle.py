@@ -598,11 +598,11 @@ all_securities AS (SELECT security_id, ticker, sector FROM securities
             name="coalesce(e.name, account)", names="LEFT JOIN expected e USING (account)")),
         "import_sector_samples": sql(HOLDINGS + "," + BROKEN, "SELECT DISTINCT account, sector FROM holdings "
                                      "WHERE sector NOT IN (" + ", ".join(f"'{s}'" for s in SECTORS) + ")"),
-        "import_security_map": sql(good, "SELECT ticker, sector, existing_id, security_id, first_account FROM security_map"),
+        "import_security_map": sql(good, "SELECT ticker, sector, security_id, first_account, existing_id IS NULL AS is_new FROM security_map"),
         "import_positions": sql(good, f"""SELECT date, portfolio_id, security_id, {rs('quantity price market_value', 4)}
           FROM new_positions"""),
         "import_returns": sql(good, f"SELECT date, security_id, {rs('ret')} FROM new_returns"),
-        "import_flows": sql(good, f"""SELECT date, portfolio_id, CAST(NULL AS INT) AS security_id, 'CASHFLOW' AS type,
+        "import_flows": sql(good, f"""SELECT date, portfolio_id, 'CASHFLOW' AS type,
             CAST(0 AS DOUBLE) AS quantity, {r('cf', 4)} AS amount FROM new_flows"""),
         "import_securities": sql(good, """SELECT security_id, ticker, sector, 'EQUITY' AS asset_class FROM security_map
           WHERE existing_id IS NULL"""),

@@ -385,7 +385,9 @@ def over_import(name: str, digits: int = 9, **special: int):
 
 @over_import("import_security_map")
 def import_security_map(batch: imp.ImportBatch) -> DataFrame:
-    return batch.security_map
+    return batch.security_map.select(
+        "ticker", "sector", "security_id", "first_account", F.col("existing_id").isNull().alias("is_new")
+    )
 
 
 @over_import("import_positions", 4)
@@ -400,7 +402,7 @@ def import_returns(batch: imp.ImportBatch) -> DataFrame:
 
 @over_import("import_flows", 4)
 def import_flows(batch: imp.ImportBatch) -> DataFrame:
-    return batch.deltas["transactions"]
+    return batch.deltas["transactions"].drop("security_id")
 
 
 @over_import("import_securities")

@@ -12,6 +12,7 @@ calendar lookup.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -243,7 +244,18 @@ class Loaded:
 
 
 _TABLES = ("lineitem", "part", "supplier")
-_loaded: dict[tuple, str] = {}
+_written: dict[tuple, str] = {}
+
+
+def write_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder that `write` has filled, once per application and state of the raw tables."""
+    stamps = [modification_stamp(spark, f"{sf_dir}/{table}.parquet") for table in _TABLES]
+    key = (spark.sparkContext.applicationId, sf_dir, name, *stamps)
+    if key not in _written:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _written[key] = path
+    return _written[key]
 
 
 def store(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -255,17 +267,8 @@ def store(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Loaded:
-    """The star of `sf_dir`, derived once per application and input state."""
-    key = (
-        spark.sparkContext.applicationId,
-        sf_dir,
-        *(modification_stamp(spark, f"{sf_dir}/{name}.parquet") for name in _TABLES),
-    )
-    if key not in _loaded:
-        path = f"{shared_folder(spark)}/star-{uuid.uuid4().hex}"
-        store(spark, sf_dir, path)
-        _loaded[key] = path
-    path = _loaded[key]
+    """The star of `sf_dir`."""
+    path = write_once(spark, sf_dir, "star", lambda path: store(spark, sf_dir, path))
     return Loaded(
         read_star(spark, f"{path}/star"),
         spark.read.parquet(f"{path}/market"),
