@@ -1,7 +1,9 @@
 """Sector attribution: allocation, selection and interaction per portfolio and day.
 
-The fact is scanned once and shuffled once, by its series, for the prior close;
-everything after the (portfolio, date, sector) aggregate is small.
+The fact is scanned once and shuffled once, by its series, for the prior close.
+It then meets returns and securities as plain tables, whose stored size tells
+Spark before the run whether they can be broadcast.  Everything after the
+(portfolio, date, sector) aggregate is small.
 """
 
 from __future__ import annotations
@@ -42,13 +44,6 @@ def weight_basis(
     return in_range(lagged.where(F.col("basis").isNotNull()), start)
 
 
-def sector_returns(star: Star, start: Day = None, end: Day = None) -> DataFrame:
-    """Security returns with the sector, joined once before they meet the fact."""
-    return in_range(star.benchmark_returns, start, end).join(
-        star.securities.select("security_id", "sector"), "security_id"
-    )
-
-
 def portfolio_sectors(
     star: Star,
     start: Day = None,
@@ -59,7 +54,8 @@ def portfolio_sectors(
     """(portfolio_id, date, sector, wp, rp); NULL weight or return on a zero basis."""
     basis = weight_basis(star, start, end, portfolios, bounded_lookback)
     collapsed = (
-        basis.join(sector_returns(star, start, end), ["security_id", "date"])
+        basis.join(in_range(star.benchmark_returns, start, end), ["security_id", "date"])
+        .join(star.securities.select("security_id", "sector"), "security_id")
         .groupBy("portfolio_id", "date", "sector")
         .agg(F.sum("basis").alias("basis"), F.sum(F.col("basis") * F.col("ret")).alias("basis_ret"))
     )
@@ -77,7 +73,8 @@ def benchmark_sectors(star: Star, start: Day = None, end: Day = None) -> DataFra
     """(date, sector, wb, rb_i, rb_total) of the benchmark."""
     by_sector = (
         in_range(star.benchmark_weights, start, end)
-        .join(sector_returns(star, start, end), ["date", "security_id"])
+        .join(in_range(star.benchmark_returns, start, end), ["date", "security_id"])
+        .join(star.securities.select("security_id", "sector"), "security_id")
         .groupBy("date", "sector")
         .agg(
             F.sum("weight").alias("wb"),

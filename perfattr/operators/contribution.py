@@ -18,16 +18,15 @@ def contributions(
 ) -> DataFrame:
     """(portfolio_id, ticker, sector, contribution): sum of daily weight times return.
 
-    Weights are shares of the holdings that have a return that day.  The day
-    totals are aggregated and joined back, which leaves the holdings in the
-    partitioning of their series wherever the totals are small.
+    Weights are shares of the holdings that have a return that day, so the day
+    total is taken after the join with returns.
     """
     held = weight_basis(star, start, end, portfolios).join(
         in_range(star.benchmark_returns, start, end), ["security_id", "date"]
     )
-    totals = held.groupBy("portfolio_id", "date").agg(F.sum("basis").alias("total"))
+    total = F.sum("basis").over(W.partitionBy("portfolio_id", "date"))
     by_security = (
-        held.join(totals, ["portfolio_id", "date"])
+        held.withColumn("total", total)
         .groupBy("portfolio_id", "security_id")
         .agg(F.sum(F.try_divide(F.col("basis") * F.col("ret"), F.col("total"))).alias("contribution"))
     )
