@@ -82,12 +82,15 @@ def _account(portfolio_id: str = "portfolio_id") -> Column:
     return F.format_string("A%08d", F.col(portfolio_id))
 
 
-def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The holdings of all accounts as they would be delivered: a stored table."""
-    path = testdata.write_once(
+def holdings_path(spark: SparkSession, sf_dir: str) -> str:
+    return testdata.write_once(
         spark, sf_dir, "holdings", lambda path: _made_holdings(spark, sf_dir).write.parquet(path)
     )
-    return spark.read.parquet(path)
+
+
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdings of all accounts as they would be delivered: a stored table."""
+    return spark.read.parquet(holdings_path(spark, sf_dir))
 
 
 def broken_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ SELECT s.*, coalesce(name, 'Portfolio ' || s.portfolio_id) AS name FROM (
     {r('tp - tb', 8)} AS active_return, {r('(1 + tp) / (1 + tb) - 1', 8)} AS active_geometric
   FROM (
     SELECT portfolio_id, min(date) AS from_date, product(1 + rp) - 1 AS tp, product(1 + rb) - 1 AS tb,
-           date_diff('day', min(begin_date), {{end}}) AS days, {RISK}
+           CAST(date_diff('day', min(begin_date), {{end}}) AS INT) AS days, {RISK}
     FROM curve GROUP BY portfolio_id)) s LEFT JOIN portfolios USING (portfolio_id)"""
 
 CONTRIBUTED = """
@@ -473,7 +473,7 @@ def oracle() -> dict[str, str]:
         "twr_by_portfolio": sql(VALUED, f"""SELECT portfolio_id, first_date, n_days, calendar_days, {rs('twr', 8)},
             CASE WHEN calendar_days >= 365 THEN {r('pow(1 + twr, 365.25 / calendar_days) - 1', 8)} END AS twr_annualised
           FROM (SELECT portfolio_id, min(date) AS first_date, count(*) AS n_days,
-                date_diff('day', min(begin_date), max(date)) AS calendar_days, product(1 + rp) - 1 AS twr
+                CAST(date_diff('day', min(begin_date), max(date)) AS INT) AS calendar_days, product(1 + rp) - 1 AS twr
                 FROM mv_days GROUP BY portfolio_id)"""),
         "benchmark_returns_daily": sql("", f"SELECT date, {rs('rb')} FROM bench"),
         "active_return": sql(VALUED, f"""SELECT portfolio_id, {rs('twr bench_twr', 8)},
@@ -495,7 +495,7 @@ def oracle() -> dict[str, str]:
         "attribution_period": sql(effects(), period_select()),
         "attribution_lifespan": sql(short, daily_select()),
         "lifespan": sql("", """SELECT portfolio_id, a AS first_position, z AS last_position, min(date) AS first_day,
-            max(date) AS last_day, count(date) AS n_days
+            max(date) AS last_day, CAST(count(date) AS INT) AS n_days
           FROM (SELECT portfolio_id, min(date) AS a, max(date) AS z FROM short_lived GROUP BY 1)
           LEFT JOIN (SELECT DISTINCT date FROM benchmark_weights) d ON d.date > a AND d.date <= z GROUP BY ALL"""),
         "carino_factors": sql(alive + "," + linking(), f"""SELECT portfolio_id, date, {rs('rp rb k_day k_period factor', 8)}
@@ -648,8 +648,8 @@ target_sums AS (
         "model_flow_check": sql(TARGETS, """
           SELECT account, CAST((SELECT max(portfolio_id) FROM portfolios) + row_number() OVER (ORDER BY account) AS INT)
                    AS portfolio_id, account AS name, tickers * (SELECT count(*) FROM tcal) AS position_rows, tickers,
-                 0 AS new_securities, (SELECT min(date) FROM tcal) AS from_date, (SELECT max(date) FROM tcal) AS to_date,
-                 0 AS flow_days
+                 CAST(0 AS BIGINT) AS new_securities, (SELECT min(date) FROM tcal) AS from_date, (SELECT max(date) FROM tcal) AS to_date,
+                 CAST(0 AS BIGINT) AS flow_days
           FROM (SELECT model AS account, count(*) AS tickers FROM targets GROUP BY model)"""),
         "equal_weights": sql("", f"""
           SELECT CAST(portfolio_id AS VARCHAR) AS model, ticker,

@@ -365,17 +365,25 @@ def unlinkable_days(star: Star) -> DataFrame:
 # -- holdings import ------------------------------------------------------------------------
 
 
+_imports: dict[tuple, imp.ImportBatch] = {}
+
+
+def _good_import(spark: SparkSession, sf_dir: str) -> imp.ImportBatch:
+    """The import of all good holdings; its stored stages serve all queries of an application."""
+    key = (spark.sparkContext.applicationId, inputs.holdings_path(spark, sf_dir))
+    if key not in _imports:
+        _imports[key] = imp.import_holdings(
+            inputs.holdings(spark, sf_dir), testdata.load(spark, sf_dir).star, sectors=inputs.SECTORS
+        )
+    return _imports[key]
+
+
 def over_import(name: str, digits: int = 9, **special: int):
     """Register a function of the import of all good holdings."""
 
     def register(build: Callable[[imp.ImportBatch], DataFrame]):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            batch = imp.import_holdings(
-                inputs.holdings(spark, sf_dir),
-                testdata.load(spark, sf_dir).star,
-                sectors=inputs.SECTORS,
-            )
-            return rounded(build(batch), digits, **special)
+            return rounded(build(_good_import(spark, sf_dir)), digits, **special)
 
         REGISTRY[name] = query
         return build
@@ -434,7 +442,7 @@ REGISTRY["import_sector_samples"] = lambda spark, sf_dir: imp.unknown_sector_sam
 def _imported_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribution of the imported accounts alone, over the star they were added to."""
     star = testdata.load(spark, sf_dir).star
-    batch = imp.import_holdings(inputs.holdings(spark, sf_dir), star, sectors=inputs.SECTORS)
+    batch = _good_import(spark, sf_dir)
     daily = att.attribution_daily(star.append(batch.deltas), portfolios=batch.accounts)
     return rounded(att.attribution_period(daily))
 
