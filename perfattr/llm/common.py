@@ -18,15 +18,19 @@ from pyspark.sql import functions as F
 
 from perfattr.sources.storage import shared_folder
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application.
 
-    What `--py-files` does, for callers that only put the folder on their own path.
+    What `--py-files` does, for callers that only put the folder on their own path. Arrow
+    batches are kept small unless the session says otherwise, as texts may be long.
     """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "8m")
     if getattr(context, "_perfattr_shipped", False):
         return
     packed = io.BytesIO()

@@ -173,7 +173,7 @@ def write_ids(
 
     Null text is empty, so a document has `end_id` at least. A null id comes first; equal ids are
     ordered by a hash of their text, then as read. An empty table gives an empty manifest. Other
-    columns are not read. A task holds one slice of texts and one shard's document table.
+    columns are not read. A task holds 1 MB of texts and one shard's document table.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -195,7 +195,7 @@ def write_ids(
         width = width_of(max(codec.size, end_id + 1))
         files, place = pa.fs.FileSystem.from_uri(target)
         done = []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             texts = [np.frombuffer(x + end, "<u4") for x in codec.encode(batch.column("text").to_pylist())]
             ids = batch.column("doc_id").to_pylist()
             if shard is None:

@@ -89,7 +89,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer, by_word)
         size = 4 * length
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist())
             out = []
             for (doc_id, row), ids in zip(keys, codec.encode(batch.column("text").to_pylist())):

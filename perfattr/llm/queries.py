@@ -7,15 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perfattr.llm import packed_ids, packing
+from perfattr.llm import decontamination, near_duplicates, packed_ids, packing
 from perfattr.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return packed_ids.token_id_files(documents, public_tokenizers.path(TOKENIZER))
+    return packed_ids.token_id_files(documents, public_tokenizers.path(TOKENIZER)).drop("shard", "shard_start")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +32,61 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_token_ids": op4_token_ids,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": rf"""
+        with d as (
+            select row_number() over () as r, doc_id,
+                   coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+            from documents),
+        b as (
+            select distinct cast(item_id as varchar) as item,
+                   regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark),
+        sized as (select item, w, least(10, len(w)) as size from b where len(w) > 0),
+        cut as (
+            select distinct item, size, array_to_string(w[i:i + size - 1], ' ') as phrase
+            from (select *, unnest(range(1, len(w) - size + 2)) as i from sized)),
+        sizes as (select distinct size from cut),
+        spots as (
+            select r, i, size, array_to_string(w[i:i + size - 1], ' ') as phrase
+            from (select r, w, size, unnest(range(1, len(w) - size + 2)) as i
+                  from d, sizes where len(w) >= size)),
+        found as (select s.r, s.i, s.size, c.item from spots s join cut c on c.size = s.size and c.phrase = s.phrase),
+        hits as (
+            select r, count(distinct p) as n_hit
+            from (select r, unnest(range(i, i + size)) as p from (select distinct r, i, size from found))
+            group by r),
+        items as (select r, list_sort(list(distinct item)) as item from found group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+               cast(coalesce(len(item), 0) as bigint) as n_items,
+               sha256(array_to_string(coalesce(item, []), ',')) as items_sha256,
+               coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hits using (r) left join items using (r)""",
+    "op3_near_duplicates": rf"""
+        with recursive d as (
+            select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) as w from documents),
+        s as (
+            select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as shingle
+            from (select *, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        both as (
+            select a.doc_id as a, b.doc_id as b, count(*) as both
+            from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+        links as (
+            select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b
+            where 100 * both >= 75 * (x.n + y.n - both)),
+        reach(doc_id, other) as (
+            select doc_id, doc_id from d
+            union
+            select reach.doc_id, links.b from reach join links on links.a = reach.other)
+        select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+        from (select doc_id, min(other) as component_id from reach group by doc_id) left join n using (doc_id)""",
+}

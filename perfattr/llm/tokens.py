@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 #: Words whose ids a worker keeps; further words are encoded anew each time they come.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 _LONGEST_KEPT = 64
+_AT_ONCE = 8192
 
 _tokenizers: dict[str, "Encoder"] = {}
 
@@ -31,8 +32,11 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        out = []
+        for at in range(0, len(texts), _AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + _AT_ONCE], add_special_tokens=False)
+            out += [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""

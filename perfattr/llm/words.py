@@ -89,11 +89,11 @@ def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def shingles(words: np.ndarray, first: int, after: int, n: int) -> np.ndarray:
     """Hashes of the n-word sequences of words[first:after]; fewer words make one sequence."""
-    count = after - first
+    count = int(after - first)
     if count == 0:
         return np.zeros(0, np.uint64)
     size = min(n, count)
-    total = np.full(count - size + 1, size * 0x9FB21C651E98DF25 & (1 << 64) - 1, np.uint64)
+    total = np.full(count - size + 1, size, np.uint64)
     for k in range(size):
         total = mixed(total + words[first + k : after - size + 1 + k]) * np.uint64(_BASE)
     return mixed(total)
