@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+
 #: Words whose ids a worker keeps; further words are encoded anew each time they come.
 KEPT_WORDS = 250_000
 _LONGEST_KEPT = 64
-_AT_ONCE = 8192
+_AT_ONCE = 2048
 
 _tokenizers: dict[str, "Encoder"] = {}
 
@@ -16,7 +18,7 @@ class Encoder:
     """Ids by the tokenizers library, one call for each new word instead of each text.
 
     Tokenizers whose pre-tokens never cross a blank or line feed and whose normalizer leaves
-    these alone give a text the ids of its words in order. `by_word` says that the file is one
+    these alone and lowers case give a text the ids of its words in order. `by_word` says that the file is one
     of them; otherwise whole texts are encoded.
     """
 
@@ -27,32 +29,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_word = by_word
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
+        special = {k: t for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.mark_id, self.mark = next(((k, t.content) for k, t in special.items()), (None, None))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Of each word, by encoding many in one text with a special token between them.
 
+        That token stands apart from what is around it, and so does each word.
+        """
+        if self.mark is None:
+            return self._whole(words)
         out = []
-        for at in range(0, len(texts), _AT_ONCE):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + _AT_ONCE], add_special_tokens=False)
-            out += [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        for at in range(0, len(words), _AT_ONCE):
+            some = words[at : at + _AT_ONCE]
+            text = f" {self.mark} ".join(some)
+            if text.count(self.mark) != len(some) - 1:  # a word holds the token itself
+                out += self._whole(some)
+                continue
+            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id) * 4
+            data = ids.tobytes()
+            starts = [0, *(ends + 4).tolist()]
+            out += [data[a:b] for a, b in zip(starts, [*ends.tolist(), len(data)])]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         if not self.by_word:
-            return self._ids(texts)
+            return self._whole(texts)
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*split).difference(self.kept)) if split else []
-        found = dict(zip(new, self._ids(new)))
-        if len(self.kept) < KEPT_WORDS:
-            self.kept.update((w, ids) for w, ids in found.items() if len(w) <= _LONGEST_KEPT)
         kept = self.kept
-        if not found:
+        new = set().union(*split).difference(kept)
+        if not new:
             return [b"".join(map(kept.__getitem__, words)) for words in split]
-        both = _Both(kept)
-        both.update(found)
-        return [b"".join(map(both.__getitem__, words)) for words in split]
+        parts = {word: _parts(word) for word in new}
+        unknown = list({part for both in parts.values() for part in both if part not in kept})
+        found = dict(zip(unknown, self._ids(unknown)))
+        lookup = _Both(kept)
+        lookup.update(found)
+        lookup.update((word, lookup[core] + lookup[tail]) for word, (core, tail) in parts.items())
+        out = [b"".join(map(lookup.__getitem__, words)) for words in split]
+        if len(kept) < KEPT_WORDS:
+            kept.update((word, ids) for word, ids in lookup.items() if len(word) <= _LONGEST_KEPT)
+        return out
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word as two parts that are encoded apart: what commas and stops follow, and these.
+
+    No pre-token holds both a letter or digit and a comma. ASCII words are the same in lower case.
+    """
+    core = word.rstrip(",.")
+    if not core or not core[-1].isalnum():
+        return word, ""
+    if core.isascii() and core.isalnum():
+        core = core.lower()
+    return core, word[len(core) :]
 
 
 class _Both(dict):
