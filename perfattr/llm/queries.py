@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perfattr.llm import decontamination, near_duplicates, packed_ids, packing
+from perfattr.llm import decontamination, near_duplicates, packed_ids, packing, quality, substring_dedup
 from perfattr.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,10 +35,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, public_tokenizers.path(TOKENIZER))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_ids": op4_token_ids,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
@@ -77,12 +87,12 @@ ORACLE: dict[str, str] = {
             select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as shingle
             from (select *, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from d where len(w) > 0)),
         n as (select doc_id, count(*) as n from s group by doc_id),
-        both as (
-            select a.doc_id as a, b.doc_id as b, count(*) as both
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n_shared
             from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
         links as (
-            select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b
-            where 100 * both >= 75 * (x.n + y.n - both)),
+            select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b
+            where 100 * n_shared >= 75 * (x.n + y.n - n_shared)),
         reach(doc_id, other) as (
             select doc_id, doc_id from d
             union
