@@ -46,13 +46,15 @@ def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarr
     return every.astype(np.int64), np.concatenate([row, row[1:][joined]])
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, buckets: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of their first `prefix` bytes, and the row of each."""
+def terms(data: np.ndarray, offsets: np.ndarray, buckets: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their first bytes in several lengths, and the row of each."""
     data = words.lower(data)
     starts, ends = words.spans(data, offsets, words.ALPHANUMERIC)
     row = np.searchsorted(offsets, starts, side="right") - 1
-    whole = words.hashes(data, starts, ends)
-    cut = np.minimum(ends, starts + prefix)
-    front = words.mixed(words.hashes(data, starts, cut) + np.uint64(prefix))
-    every = np.concatenate([whole, front]) % np.uint64(buckets)
-    return every.astype(np.int64), np.concatenate([row, row])
+    found, rows = [words.hashes(data, starts, ends)], [row]
+    for size in prefixes:
+        longer = ends - starts > size
+        front = words.hashes(data, starts[longer], starts[longer] + size)
+        found.append(words.mixed(front + np.uint64(size)))
+        rows.append(row[longer])
+    return (np.concatenate(found) % np.uint64(buckets)).astype(np.int64), np.concatenate(rows)

@@ -184,7 +184,6 @@ def write_ids(
         F.monotonically_increasing_id().alias("row"),
     )
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    end = np.asarray([end_id], "<u4").tobytes()
     target = f"{folder}/shards"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +195,8 @@ def write_ids(
         files, place = pa.fs.FileSystem.from_uri(target)
         done = []
         for batch in slices(batches, "text", 1 << 20):
-            texts = [np.frombuffer(x + end, "<u4") for x in codec.encode(batch.column("text").to_pylist())]
+            every, bounds = codec.encode(batch.column("text"), end_id)
+            texts = np.split(every, bounds[1:-1])
             ids = batch.column("doc_id").to_pylist()
             if shard is None:
                 name = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"

@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +83,6 @@ def pieces(
         F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer, by_word)
@@ -92,8 +90,10 @@ def pieces(
         for batch in slices(batches, "text", 1 << 20):
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist())
             out = []
-            for (doc_id, row), ids in zip(keys, codec.encode(batch.column("text").to_pylist())):
-                ids += end
+            every, bounds = codec.encode(batch.column("text"), end_id)
+            every, bounds = every.astype("<u4").tobytes(), (4 * bounds).tolist()
+            for (doc_id, row), first, after in zip(keys, bounds[:-1], bounds[1:]):
+                ids = every[first:after]
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     out.append(

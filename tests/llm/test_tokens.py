@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,16 +30,21 @@ ODD = [
 ]
 
 
+PLAIN = Tokenizer.from_file(PATH)
+
+
 def plain_ids(text: str | None, end: int) -> bytes:
-    ids = Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [end]
+    ids = PLAIN.encode(text or "", add_special_tokens=False).ids + [end]
     return np.asarray(ids, "<u4").tobytes()
 
 
 @settings(deadline=None, max_examples=150)
-@given(st.lists(st.sampled_from(list("aB \u00e9e\u0301\u0338=\u03a3\u03c2'sre<|>\t\n \u00a0\x1c!?1") + ["<|endoftext|>"]), max_size=40))
+@given(st.lists(st.sampled_from(list("aB \u00e9e\u0301\u0338=\u03a3\u03c2'sre.,12H\u0331<|>\t\n \u00a0\x1c!?1") + ["<|endoftext|>", "<|ENDOFTEXT|>", "Word", "the"]), max_size=40))
 def test_ids_by_word_equal_those_of_the_text(parts):
     text = "".join(parts)
-    assert encoder(PATH).encode([text])[0] + np.asarray([7], "<u4").tobytes() == plain_ids(text, 7)
+    ids, bounds = encoder(PATH).encode(pa.array([text, None, text]), 7)
+    ids = [x.astype("<u4").tobytes() for x in np.split(ids, bounds[1:-1])]
+    assert ids == [plain_ids(text, 7), plain_ids("", 7), plain_ids(text, 7)]
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 15, 16, 17, 24, 31])
