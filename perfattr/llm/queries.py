@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from perfattr.llm import (
     decontamination,
     language,
+    line_dedup,
     near_duplicates,
     packed_ids,
     packing,
@@ -54,6 +55,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,6 +74,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_ids": op4_token_ids,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
@@ -137,4 +143,32 @@ ORACLE: dict[str, str] = {
             from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op7_line_dedup": """
+        with recursive d as (select row_number() over () as r, doc_id, string_split(text, chr(10)) as w from documents),
+        l as (
+            select r, doc_id, i - 1 as line_no, w[i] as line
+            from (select *, unnest(range(1, len(w) + 1)) as i from d) where length(w[i]) >= 20),
+        t as (select distinct line, length(line) as n from l),
+        links as (
+            select a.line as a, b.line as b
+            from t a join (select *, n + unnest([-2, -1, 0, 1, 2]) as m from t) b on a.n = b.m
+            where a.line <> b.line and levenshtein(a.line, b.line) <= 2),
+        reach(line, other) as (
+            select a, a from links
+            union
+            select reach.line, links.b from reach join links on links.a = reach.other),
+        named as (select line, min(other) as class from reach group by line),
+        ranked as (
+            select r, line_no, length(l.line) as chars, row_number() over (
+                partition by coalesce(class, l.line) order by doc_id nulls first, r, line_no) as place
+            from l left join named using (line)),
+        marks as (
+            select r, sum(chars) as n_chars, sum(chars) filter (place > 1) as n_again,
+                   list(cast(line_no as integer) order by line_no) filter (place > 1) as again
+            from ranked group by r)
+        select doc_id, cast(coalesce(len(w), 0) as bigint) as n_lines,
+               cast(coalesce(len(again), 0) as bigint) as n_repeated,
+               cast(len(removed) as bigint) as n_removed, copied, removed
+        from (select *, case when copied then [] else coalesce(again, []) end as removed
+              from (select *, coalesce(n_again > n_chars * 0.5, false) as copied from d left join marks using (r)))""",
 }
