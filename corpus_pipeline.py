@@ -5,18 +5,42 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perfattr.llm import packing
+from perfattr.llm import decontamination, line_dedup, near_duplicates, packing, quality
 from perfattr.llm.common import stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards those labelled good keeps."""
+    return quality.selected(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat an earlier one up to two edits."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_duplicates.deduplicated(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of the benchmark."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents, placed in sequences of 4096."""
+    """Token ids of all documents, placed in sequences of 4096."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
 STAGES = [
+    ("quality classifier", select_quality),
+    ("line dedup", remove_lines),
+    ("MinHash near-dedup", remove_near_duplicates),
+    ("benchmark decontamination", remove_benchmark),
     ("best-fit packing", pack),
 ]
 
