@@ -70,19 +70,27 @@ def _may_be_near(a: str, b: str, edits: int) -> Column:
     return sum(apart[1:], apart[0]) <= 2 * edits
 
 
-def _common(a: str, b: str, most: int) -> list[tuple[str, Column]]:
-    """Steps of a search for the number of characters that two columns have in common at the front.
+def _without_common_front(most: int):
+    """Of a struct of strings x and y, what follows their common front, reversed.
 
-    Each step doubles the resolution: `common` grows by a power of two if that many more agree.
+    The front's length is searched by powers of two: it grows by one if that many more characters agree.
     """
-    steps = [("common", F.lit(0))]
-    for k in range(most.bit_length() - 1, -1, -1):
-        width = F.lit(1 << k)
-        left = F.substring(F.col(a), F.col("common") + 1, width)
-        right = F.substring(F.col(b), F.col("common") + 1, width)
-        agree = (left == right) & (F.length(left) == width)
-        steps.append(("common", F.col("common") + F.when(agree, width).otherwise(0)))
-    return steps
+    powers = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+
+    def cut(pair: Column) -> Column:
+        def longer(n: Column, by: Column) -> Column:
+            x, y = F.substring(pair.x, n + 1, by), F.substring(pair.y, n + 1, by)
+            return n + F.when((x == y) & (F.length(x) == by), by).otherwise(0)
+
+        def rest(n: Column) -> Column:
+            return F.struct(
+                *[F.reverse(F.substring(pair[c], n + 1, F.length(pair[c]))).alias(c) for c in ("x", "y")]
+            )
+
+        # A lambda binds what is used twice.
+        return F.transform(F.array(F.aggregate(powers, F.lit(0), longer)), rest).getItem(0)
+
+    return cut
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -93,13 +101,14 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """
     # A common end changes no distance and makes the first string longer than the band.
     end = "\x00" * (edits + 1)
-    left, right = F.split(F.concat(a, F.lit(end)), ""), F.split(F.concat(b, F.lit(end)), "")
-    m, n = F.size(left), F.size(right)
+    chars = F.struct(
+        F.split(F.concat(a, F.lit(end)), "").alias("left"), F.split(F.concat(b, F.lit(end)), "").alias("right")
+    )
     width = 2 * edits + 1
     full = (1 << width) - 1
     none = F.lit(0).cast("long")
 
-    def column(state: Column, j: Column) -> Column:
+    def column(left: Column, right: Column, m: Column, state: Column, j: Column) -> Column:
         same = none
         for k in range(width):
             row = j - edits + k
@@ -143,8 +152,17 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         F.lit(edits).cast("long").alias("distance"),
     )
     far = F.lit(edits + 1).cast("long")
-    walked = F.aggregate(F.sequence(F.lit(1), n), first, column, lambda s: s.distance)
-    return F.when(F.abs(m - n) <= edits, walked).otherwise(far)
+
+    def distance(pair: Column) -> Column:
+        m, n = F.size(pair.left), F.size(pair.right)
+
+        def step(state: Column, j: Column) -> Column:
+            return column(pair.left, pair.right, m, state, j)
+
+        walked = F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: s.distance)
+        return F.when(F.abs(m - n) <= edits, walked).otherwise(far)
+
+    return F.transform(F.array(chars), distance).getItem(0)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int, longest: int) -> DataFrame:
@@ -152,13 +170,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int, longest: int) -> D
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
     both = both.where(F.abs(F.length("x") - F.length("y")) <= edits)
-    for _ in range(2):
-        for name, step in _common("x", "y", longest):
-            both = both.withColumn(name, step)
-        both = both.withColumns(
-            {c: F.reverse(F.substring(F.col(c), F.col("common") + 1, F.length(c))) for c in ("x", "y")}
-        )
-    return both.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+    cut = _without_common_front(longest)
+    rest = F.transform(F.transform(F.array(F.struct("x", "y")), cut), cut)
+    near = F.transform(rest, lambda pair: banded_distance(pair.x, pair.y, edits) <= edits).getItem(0)
+    return both.where(near).select("a", "b")
 
 
 def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -7,8 +7,9 @@ on the full sets. Two documents at a similarity of 0.75 share none of the 32 ban
 probability 5e-6, and the sketch, cut 0.3 below the threshold, loses fewer.
 
 Copies of a set are one node. No bucket's pairs are enumerated: its nodes are compared with its
-pivot first, groups are joined, and only nodes outside their bucket's main group are compared
-with the bucket, where the sketches decide inside the join.
+pivot first, the node that shares the largest buckets, which is the one that a family of near copies
+was made from if that is there. Groups are joined, and only nodes outside their bucket's main group
+are compared with the bucket, where finer sketches of these nodes decide inside the join.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ SHINGLE = 5
 THRESHOLD = (75, 100)
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-#: How far below the threshold a sketch's estimate may lie.
+#: How far below the threshold a sketch's estimate may lie: over five standard deviations.
 SLACK = 0.3
+#: The same of the finer sketches for nodes that a pivot did not settle.
+FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 4096, 0.1
 
-_PERMUTED = 2048
+_PERMUTED = 1 << 18
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -49,8 +52,9 @@ def samples(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """The least value of the set under each of n permutations."""
     factors = _odd(n, 0xA0761D6478BD642F)[:, None]
     out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _PERMUTED):
-        np.minimum(out, (shingles[at : at + _PERMUTED] * factors).min(axis=1), out=out)
+    step = _PERMUTED // n
+    for at in range(0, len(shingles), step):
+        np.minimum(out, (shingles[at : at + step] * factors).min(axis=1), out=out)
     return out
 
 
@@ -113,17 +117,32 @@ class _Last:
     def __init__(self):
         self.sets: dict[int, np.ndarray] = {}
 
-    def of(self, key: int, text: str) -> np.ndarray:
+    def of(self, key: int, text: pa.Scalar) -> np.ndarray:
         if key not in self.sets:
             if len(self.sets) >= 4:
                 self.sets.pop(next(iter(self.sets)))
-            data, offsets = text_bytes(pa.array([text], pa.large_string()))
+            data, offsets = text_bytes(pa.array([text.as_py()], pa.large_string()))
             data = words.lower(data)
             starts, ends = words.spans(data, offsets, words.NOT_SPACE)
             self.sets[key] = shingle_set(words.hashes(data, starts, ends), 0, len(starts))
         return self.sets[key]
 
 
+def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 20):
+        data, offsets = text_bytes(batch.column("text"))
+        data = words.lower(data)
+        starts, ends = words.spans(data, offsets, words.NOT_SPACE)
+        found = words.hashes(data, starts, ends)
+        bounds = words.rows_of(starts, offsets)
+        sketches = [
+            odd_sketch(samples(shingle_set(found, a, b), FINE_SAMPLES), FINE_BITS) for a, b in zip(bounds, bounds[1:])
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(sketches, pa.list_(pa.int64()))], ["node", "fine"]
+        )
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least, of = THRESHOLD
     last = _Last()
@@ -131,8 +150,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = []
         for k in range(batch.num_rows):
             a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()
-            right = last.of(b, batch.column("b_text")[k].as_py())
-            left = last.of(a, batch.column("a_text")[k].as_py())
+            right = last.of(b, batch.column("b_text")[k])
+            left = last.of(a, batch.column("a_text")[k])
             both = len(np.intersect1d(left, right, assume_unique=True))
             if of * both >= least * (len(left) + len(right) - both):
                 pairs.append((a, b))
@@ -149,26 +168,26 @@ def _spread(row: Column) -> Column:
     return x.bitwiseXOR(F.shiftleft(x, 17))
 
 
-def _different_bits(a: str, b: str) -> Column:
-    counts = [
-        F.bit_count(F.col(a).getItem(k).bitwiseXOR(F.col(b).getItem(k))) for k in range(SKETCH_BITS // 64)
-    ]
+def _different_bits(a: str, b: str, bits: int) -> Column:
+    counts = [F.bit_count(F.col(a).getItem(k).bitwiseXOR(F.col(b).getItem(k))) for k in range(bits // 64)]
     return sum(counts[1:], counts[0])
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar; b may be the same in many pairs."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    wanted = stored(nodes.select("node", "text_key").join(ends, "node", "left_semi"), "ends")
+def _texts(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """`node` and `text` of nodes with a `text_key`."""
     # Equal keys are equal texts. Grouped by another hash, copies are reduced before the next
     # shuffle, and a key with many copies can be split in this one.
-    texts = documents.join(wanted.select("text_key"), "text_key", "left_semi")
+    texts = documents.join(nodes.select("text_key"), "text_key", "left_semi")
     texts = texts.groupBy(F.xxhash64("text_key", F.lit("text"))).agg(
         F.any_value("text_key").alias("text_key"), F.any_value("text").alias("text")
     )
-    texts = stored(wanted.join(texts, "text_key").select("node", "text"), "texts")
+    return stored(nodes.join(texts, "text_key").select("node", "text"), "texts")
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar; b may be the same in many pairs."""
     both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(_confirmed, "a long, b long")
+    return stored(both.select("a", "b", "a_text", "b_text").mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -202,14 +221,19 @@ def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str
     most = most_different_bits(THRESHOLD[0] / THRESHOLD[1] - SLACK)
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
 
-    # Every node with its bucket's least node.
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
-    pivots = stored(pivots.where("n > 1").select("bucket", "pivot"), "pivots")
-    shared = stored(banded.join(pivots, "bucket"), "shared")
-    near = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # Every node with its bucket's pivot, the node whose buckets hold the most nodes in all.
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.where("n > 1"), "sizes")
+    shared = stored(banded.join(sizes, "bucket"), "shared")
+    weights = stored(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    pivots = shared.join(weights, "node").groupBy("bucket").agg(F.max_by("node", "weight").alias("pivot"))
+    pivots = stored(pivots, "pivots")
+    near = shared.join(pivots, "bucket").where("node != pivot")
+    near = near.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     near = near.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b")
-    near = stored(near.where(_different_bits("a_sketch", "b_sketch") <= most).select("a", "b"), "near")
-    edges = stored(_links(near, nodes, texts), "links")
+    near = stored(near.where(_different_bits("a_sketch", "b_sketch", SKETCH_BITS) <= most).select("a", "b"), "near")
+    texts = _texts(stored(nodes.select("node", "text_key").join(weights, "node", "left_semi"), "ends"), texts)
+    edges = _links(near, texts)
     labels = components(edges)
 
     # Nodes outside the main group of a bucket, with that bucket's nodes of other groups.
@@ -218,22 +242,25 @@ def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str
     groups = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = groups.groupBy("bucket").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("groups"))
     main = stored(main.where("groups > 1").select("bucket", "main"), "main")
-    members = stored(placed.join(main, "bucket").join(sketches, "node"), "members")
+    members = stored(placed.join(main, "bucket"), "members")
+    open_ = stored(members.select("node").distinct(), "open")
+    fine = stored(texts.join(open_, "node", "left_semi").mapInArrow(_fine_sketches, "node long, fine array<long>"), "fine")
+    members = stored(members.join(fine, "node"), "members")
     left = members.where("component != main").select(
-        "bucket", F.col("node").alias("a"), F.col("component").alias("a_group"), F.col("sketch").alias("a_sketch")
+        "bucket", F.col("node").alias("a"), F.col("component").alias("a_group"), F.col("fine").alias("a_fine")
     )
     right = members.select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("b_group"), "main", F.col("sketch").alias("b_sketch")
+        "bucket", F.col("node").alias("b"), F.col("component").alias("b_group"), "main", F.col("fine").alias("b_fine")
     )
+    most = most_different_bits(THRESHOLD[0] / THRESHOLD[1] - FINE_SLACK, FINE_SAMPLES, FINE_BITS)
     rest = left.join(right, "bucket").where(
         (F.col("a_group") != F.col("b_group"))
         & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (_different_bits("a_sketch", "b_sketch") <= most)
+        & (_different_bits("a_fine", "b_fine", FINE_BITS) <= most)
     )
     rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        edges = edges.union(stored(_links(rest, nodes, texts), "links"))
-        labels = components(edges)
+        labels = components(edges.union(_links(rest, texts)))
 
     known = copies.select("set_key", "least_id", _spread(F.col("row")).alias("node"))
     known = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perfattr.llm import (
     decontamination,
@@ -56,7 +57,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("text_key")
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("text_key")
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +170,8 @@ ORACLE: dict[str, str] = {
             from ranked group by r)
         select doc_id, cast(coalesce(len(w), 0) as bigint) as n_lines,
                cast(coalesce(len(again), 0) as bigint) as n_repeated,
-               cast(len(removed) as bigint) as n_removed, copied, removed
+               cast(len(removed) as bigint) as n_removed, copied,
+               array_to_string(removed, ',') as removed
         from (select *, case when copied then [] else coalesce(again, []) end as removed
               from (select *, coalesce(n_again > n_chars * 0.5, false) as copied from d left join marks using (r)))""",
 }
