@@ -27,14 +27,29 @@ def sub_period_return(mv_begin: Column, mv_end: Column, flow: Column, strict: bo
     return F.when(basis > 0, F.try_divide(mv_end - mv_begin - flow, basis)).otherwise(bad.cast("double"))
 
 
+def complete(*columns: Column) -> Column:
+    """Aggregate: whether no row lacks any of the columns."""
+    checks = [F.count(c) == F.count(F.lit(1)) for c in columns]
+    whole = checks[0]
+    for check in checks[1:]:
+        whole = whole & check
+    return whole
+
+
 def linked(ret: Column) -> Column:
-    """Aggregate: geometric link of a return column."""
+    """Aggregate: geometric link of a return column; NULL if any return is undefined."""
+    return F.when(complete(ret), F.product(1 + ret) - 1)
+
+
+def linked_present(ret: Column) -> Column:
+    """Aggregate: geometric link of the returns there are, for a series whose own days are fewer."""
     return F.product(1 + ret) - 1
 
 
 def cumulative(ret: Column, over_time: WindowSpec) -> Column:
-    """Linked return from the first row of the window to the current one."""
-    return F.product(1 + ret).over(over_time) - 1
+    """Linked return from the first row of the window to the current one; NULL from an undefined one on."""
+    whole = F.count(ret).over(over_time) == F.count(F.lit(1)).over(over_time)
+    return F.when(whole, F.product(1 + ret).over(over_time) - 1)
 
 
 def annualised(total: Column, days: Column) -> Column:

@@ -42,14 +42,18 @@ def running(*keys: str) -> W:
     return over_time(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def number_rows(df: DataFrame, order_by: list[str], column: str, splitters: int = 256) -> DataFrame:
+def number_rows(df: DataFrame, order_by: list[str], column: str, splitters: int | None = None) -> DataFrame:
     """Number rows 1, 2, ... in the order of a unique key without sorting them in one task.
 
+    By default there are as many splitters as shuffle partitions.
+
     The rows with the smallest key hashes split the key range into at most
     `splitters + 1` even buckets; a row's number is its place in its bucket
     plus the size of the buckets before.  `df` is read three times: give a
     stored table.
     """
+    if splitters is None:
+        splitters = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*order_by)
     cuts = (
         df.select(key.alias("key"), F.xxhash64(*order_by).alias("hash"))

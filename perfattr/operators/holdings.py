@@ -22,7 +22,6 @@ from perfattr.sources.star import Star
 from perfattr.sources.storage import stored
 
 MIN_FLOW = 0.01
-SAMPLE = 5
 
 
 @dataclass(frozen=True)
@@ -70,15 +69,12 @@ def row_violations(claims: DataFrame, sectors: Sequence[str]) -> DataFrame:
     return _by_rule(counts, {"unknown_sector": F.col("unknown"), "missing_field": F.col("unusable")})
 
 
-def unknown_sector_samples(holdings: DataFrame, sectors: Sequence[str], n: int = SAMPLE) -> DataFrame:
-    """A few of the sector names that broke the rule, per account."""
-    unknown = (
-        holdings.where(F.col("sector").isNull() | ~F.col("sector").isin(list(sectors)))
-        .select("account", F.coalesce("sector", F.lit("<null>")).alias("sector"))
-        .distinct()
+def unknown_sectors(holdings: DataFrame, sectors: Sequence[str]) -> DataFrame:
+    """Every sector name that broke the rule, per account, with its number of rows."""
+    unknown = holdings.where(F.col("sector").isNull() | ~F.col("sector").isin(list(sectors)))
+    return unknown.groupBy("account", F.coalesce("sector", F.lit("<null>")).alias("sector")).agg(
+        F.count("*").alias("n")
     )
-    place = F.row_number().over(W.partitionBy("account").orderBy("sector"))
-    return unknown.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
 def duplicate_violations(holdings: DataFrame) -> DataFrame:
@@ -295,8 +291,11 @@ def imported_returns(holdings: DataFrame, security_map: DataFrame) -> DataFrame:
     )
 
 
-def estimated_flows(holdings: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(portfolio_id, date, cf): share changes valued at the prior close, if material."""
+def estimated_flows(holdings: DataFrame, accounts: DataFrame, min_flow: float = MIN_FLOW) -> DataFrame:
+    """(portfolio_id, date, cf): share changes valued at the prior close.
+
+    Amounts up to `min_flow` either way are rounding of the delivered figures and no flow.
+    """
     series = over_time("account", "ticker")
     changes = holdings.select(
         "account",
@@ -308,7 +307,7 @@ def estimated_flows(holdings: DataFrame, accounts: DataFrame) -> DataFrame:
         changes.where(F.col("dq").isNotNull())
         .groupBy("account", "date")
         .agg(F.sum(F.col("dq") * F.col("p_prev")).alias("cf"))
-        .where(F.abs("cf") > MIN_FLOW)
+        .where(F.abs("cf") > min_flow)
         .join(accounts.select("account", "portfolio_id"), "account")
         .select("portfolio_id", "date", "cf")
     )
@@ -359,6 +358,7 @@ def import_holdings(
     star: Star,
     accounts: DataFrame | None = None,
     sectors: Sequence[str] = GICS_SECTORS,
+    min_flow: float = MIN_FLOW,
 ) -> ImportBatch:
     """Validate all accounts and build the rows to append for the accepted ones.
 
@@ -369,7 +369,7 @@ def import_holdings(
     violations = stored(find_violations(holdings, star, accounts, sectors))
     accepted = stored(accepted_accounts(holdings, violations, star))
     security_map = stored(map_securities(holdings, accepted, star))
-    flows = estimated_flows(holdings, accepted)
+    flows = estimated_flows(holdings, accepted, min_flow)
     deltas = {
         "securities": security_map.where(F.col("existing_id").isNull()).select(
             "security_id", "ticker", "sector", F.lit("EQUITY").alias("asset_class")

@@ -13,13 +13,15 @@ def link_factors(days: DataFrame) -> DataFrame:
     """Daily returns (portfolio_id, date, rp, rb) with coefficients k_day, k_period and their ratio.
 
     The period coefficient needs the product over all days only, in any order.
+    One day that no log can link leaves the whole portfolio without factors.
     """
     whole = W.partitionBy("portfolio_id")
     growth_p = F.product(1 + F.col("rp")).over(whole)
     growth_b = F.product(1 + F.col("rb")).over(whole)
+    linkable = F.count("k_day").over(whole) == F.count(F.lit(1)).over(whole)
     return (
         days.withColumn("k_day", m.carino_coefficient(F.col("rp"), F.col("rb")))
-        .withColumn("k_period", m.carino_coefficient(growth_p - 1, growth_b - 1))
+        .withColumn("k_period", F.when(linkable, m.carino_coefficient(growth_p - 1, growth_b - 1)))
         .withColumn("factor", F.try_divide("k_day", "k_period"))
     )
 
@@ -27,6 +29,9 @@ def link_factors(days: DataFrame) -> DataFrame:
 def linked_attribution(daily: DataFrame) -> DataFrame:
     """Effects per portfolio and sector that add up to the linked active return.
 
+    They are NULL for a portfolio with days that cannot be linked; `unlinked_days`
+    counts these.
+
     The sectors of a day are held in one row while the factors are computed,
     so the daily table is read once.
     """
@@ -36,11 +41,14 @@ def linked_attribution(daily: DataFrame) -> DataFrame:
         F.max("rb_total").alias("rb"),
         F.collect_list(effects).alias("sectors"),
     )
-    factors = link_factors(days).withColumn(
-        "n_days", F.count("*").over(W.partitionBy("portfolio_id"))
+    whole = W.partitionBy("portfolio_id")
+    factors = (
+        link_factors(days)
+        .withColumn("n_days", F.count("*").over(whole))
+        .withColumn("unlinked", F.count_if(F.col("k_day").isNull()).over(whole))
     )
     return (
-        factors.select("portfolio_id", "n_days", "factor", F.inline("sectors"))
+        factors.select("portfolio_id", "n_days", "unlinked", "factor", F.inline("sectors"))
         .groupBy("portfolio_id", "sector")
         .agg(
             F.try_divide(F.sum("wp"), F.max("n_days")).alias("avg_wp"),
@@ -48,6 +56,7 @@ def linked_attribution(daily: DataFrame) -> DataFrame:
             F.sum(F.col("factor") * F.col("allocation")).alias("allocation"),
             F.sum(F.col("factor") * F.col("selection")).alias("selection"),
             F.sum(F.col("factor") * F.col("interaction")).alias("interaction"),
+            F.max("unlinked").alias("unlinked_days"),
         )
         .withColumn("total", F.col("allocation") + F.col("selection") + F.col("interaction"))
     )

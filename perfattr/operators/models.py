@@ -23,7 +23,6 @@ from perfattr.sources.star import Star
 from perfattr.sources.storage import stored
 
 REBALANCES = ("NONE", "MONTHLY", "QUARTERLY")
-MAX_HOLDINGS = 50
 INITIAL_VALUE = 1_000_000.0
 BASE_PRICE = 100.0
 
@@ -76,14 +75,21 @@ def _as_fraction(raw_sum: Column, value: Column) -> Column:
     return F.when(raw_sum.between(90.0, 110.0), value / 100.0).otherwise(value)
 
 
-def target_violations(targets: DataFrame, star: Star, models: DataFrame | None = None) -> DataFrame:
-    """(model, rule, n) for every broken rule; `models` lists those expected to have targets."""
+def target_violations(
+    targets: DataFrame, star: Star, models: DataFrame | None = None, max_holdings: int | None = None
+) -> DataFrame:
+    """(model, rule, n) for every broken rule; `models` lists those expected to have targets.
+
+    `max_holdings` is a limit for forms that have one.
+    """
     raw = F.sum("weight")
     off_sum = ~F.coalesce(_as_fraction(raw, raw).between(0.999, 1.001), F.lit(False))
     sums = targets.groupBy("model").agg(
         F.count("*").alias("rows"),
         F.count_if(~F.coalesce(F.col("weight") > 0, F.lit(False))).alias("not_positive"),
         F.when(off_sum, 1).otherwise(0).alias("off_sum"),
+        F.count_if(~F.coalesce(F.col("rebalance").isin(*REBALANCES), F.lit(False))).alias("unknown_rule"),
+        (F.count_distinct(F.coalesce("rebalance", F.lit(""))) - 1).alias("further_rules"),
     )
     repeats = (
         targets.groupBy("model", "ticker").count().where(F.col("count") > 1)
@@ -103,9 +109,12 @@ def target_violations(targets: DataFrame, star: Star, models: DataFrame | None =
     def counted(df: DataFrame) -> DataFrame:
         return df.groupBy("model").agg(F.count("*").alias("n"))
 
-    too_many = sums.withColumn("extra", F.greatest(F.col("rows") - MAX_HOLDINGS, F.lit(0)))
+    limit = F.col("rows") if max_holdings is None else F.lit(max_holdings)
+    too_many = sums.withColumn("extra", F.greatest(F.col("rows") - limit, F.lit(0)))
     found = (
         rule(too_many, "too_many_holdings", "extra")
+        .unionByName(rule(sums, "unknown_rebalance", "unknown_rule"))
+        .unionByName(rule(sums, "mixed_rebalance", "further_rules"))
         .unionByName(rule(sums, "weight_not_positive", "not_positive"))
         .unionByName(rule(sums, "weights_off_sum", "off_sum"))
         .unionByName(rule(repeats, "duplicate_ticker", "n"))
@@ -241,6 +250,6 @@ def build_models(
     models: DataFrame | None = None,
     sectors: Sequence[str] = GICS_SECTORS,
 ) -> tuple[DataFrame, ImportBatch]:
-    """Target violations and the import of all valid models."""
-    violations, weights = checked_weights(targets, star, models)
+    """Target violations and the import of all valid models; tickers may be given in any case."""
+    violations, weights = checked_weights(canonical_tickers(targets, star.securities), star, models)
     return violations, import_holdings(stored(model_holdings(weights, star)), star, sectors=sectors)

@@ -42,11 +42,20 @@ def invariant_violations(daily: DataFrame, tolerance: float = TOLERANCE) -> Data
 
 
 def return_gap(valued: DataFrame, daily: DataFrame) -> DataFrame:
-    """Market-value return against weight-based return, day by day."""
+    """Market-value return against weight-based return, day by day.
+
+    Days that one side lacks are rows too: `only` says which side has them.
+    """
     by_value = sub_period_returns(valued).select("portfolio_id", "date", F.col("rp").alias("rp_mv"))
     by_weight = day_returns(daily).select("portfolio_id", "date", F.col("rp").alias("rp_weight"))
-    return by_value.join(by_weight, ["portfolio_id", "date"]).withColumn(
-        "gap", F.col("rp_mv") - F.col("rp_weight")
+    by_value = by_value.withColumn("has_value", F.lit(True))
+    by_weight = by_weight.withColumn("has_weight", F.lit(True))
+    only = F.when(F.col("has_weight").isNull(), "value").when(F.col("has_value").isNull(), "weight")
+    return (
+        by_value.join(by_weight, ["portfolio_id", "date"], "full")
+        .withColumn("gap", F.col("rp_mv") - F.col("rp_weight"))
+        .withColumn("only", only)
+        .drop("has_value", "has_weight")
     )
 
 

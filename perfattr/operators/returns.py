@@ -58,16 +58,17 @@ def day_returns(daily: DataFrame) -> DataFrame:
 def market_value_days(
     star: Star, start: Day = None, end: Day = None, portfolios: Portfolios = None
 ) -> DataFrame:
-    """Sub-period returns next to the benchmark return of the same date."""
+    """Sub-period returns next to the benchmark return of the same date, NULL where it has none."""
     valued = sub_period_returns(valuations(star, start, end, portfolios))
-    return valued.join(benchmark_days(star, start, end), "date")
+    return valued.join(benchmark_days(star, start, end), "date", "left")
 
 
 def twr(valued: DataFrame, period_end: Day = None) -> DataFrame:
     """Linked and annualised return per portfolio.
 
     The measurement period runs from the first prior close to `period_end`,
-    or to the portfolio's last valuation if none is given.
+    or to the portfolio's last valuation if none is given.  A day without a
+    defined return leaves no linked return; `bad_days` counts them.
     """
     last = as_date(period_end) if period_end is not None else F.max("date")
     return (
@@ -77,6 +78,7 @@ def twr(valued: DataFrame, period_end: Day = None) -> DataFrame:
             F.min("date").alias("first_date"),
             F.count("*").alias("n_days"),
             F.datediff(last, F.min("begin_date")).alias("calendar_days"),
+            F.count_if(F.col("rp").isNull()).alias("bad_days"),
             m.linked(F.col("rp")).alias("twr"),
         )
         .withColumn("twr_annualised", m.annualised(F.col("twr"), F.col("calendar_days")))
@@ -84,10 +86,13 @@ def twr(valued: DataFrame, period_end: Day = None) -> DataFrame:
 
 
 def active_returns(days: DataFrame) -> DataFrame:
-    """Linked portfolio and benchmark return per portfolio and their difference and ratio."""
+    """Linked portfolio and benchmark return per portfolio and their difference and ratio.
+
+    Each series is linked over its own days.
+    """
     return (
         days.groupBy("portfolio_id")
-        .agg(m.linked(F.col("rp")).alias("twr"), m.linked(F.col("rb")).alias("bench_twr"))
+        .agg(m.linked(F.col("rp")).alias("twr"), m.linked_present(F.col("rb")).alias("bench_twr"))
         .withColumn("active_return", F.col("twr") - F.col("bench_twr"))
         .withColumn("active_geometric", m.geometric_active(F.col("twr"), F.col("bench_twr")))
     )

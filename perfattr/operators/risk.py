@@ -47,16 +47,22 @@ def rolling_tracking_error(
     """Tracking error of the last `window` days, or of all days if there are fewer."""
     frame = over_time(*keys).rowsBetween(1 - window, W.currentRow)
     width = F.least(F.lit(window), F.count("*").over(W.partitionBy(*keys)))
+    active = F.col("rp") - F.col("rb")
     full = (F.row_number().over(over_time(*keys)) >= width) & (width >= 2)
-    spread = F.stddev_samp(F.col("rp") - F.col("rb")).over(frame)
+    full = full & (F.count(active).over(frame) == F.count(F.lit(1)).over(frame))
+    spread = F.stddev_samp(active).over(frame)
     return days.withColumn("rolling_te", F.when(full, spread * F.sqrt(F.lit(float(periods_per_year)))))
 
 
 def risk_summary(
     days: DataFrame, keys: Sequence[str] = PORTFOLIO, periods_per_year: int = m.PERIODS_PER_YEAR
 ) -> DataFrame:
-    """Linked returns, tracking error, information ratio and maximum drawdown per key."""
+    """Linked returns, tracking error, information ratio and maximum drawdown per key.
+
+    All of the portfolio's figures are NULL if one of its returns is undefined.
+    """
     active = F.col("rp") - F.col("rb")
+    whole = m.complete(F.col("rp"))
     return (
         drawdowns(days, keys)
         .groupBy(*keys)
@@ -64,8 +70,8 @@ def risk_summary(
             F.count("*").alias("n_days"),
             m.linked(F.col("rp")).alias("twr"),
             m.linked(F.col("rb")).alias("bench_twr"),
-            m.tracking_error(active, periods_per_year).alias("te"),
-            m.information_ratio(active, periods_per_year).alias("ir"),
-            F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"),
+            F.when(whole, m.tracking_error(active, periods_per_year)).alias("te"),
+            F.when(whole, m.information_ratio(active, periods_per_year)).alias("ir"),
+            F.when(whole, F.least(F.min("drawdown"), F.lit(0.0))).alias("max_drawdown"),
         )
     )

@@ -18,21 +18,25 @@ from perfattr.sources.star import Star
 
 PERIODS_PER_YEAR = 12
 
-# The part types, which act as sectors.
-SECTORS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+def sector_names(star: Star) -> list[str]:
+    """The part types, which act as sectors, in order; a handful."""
+    return [r.sector for r in star.securities.select("sector").distinct().orderBy("sector").collect()]
 
 
 def _sector_rank(star: Star) -> DataFrame:
-    """(security_id, sector_rank); six sectors over at most types x brands securities."""
-    rank = F.dense_rank().over(W.orderBy("sector")) - 1
-    return star.securities.select("security_id", rank.alias("sector_rank"))
+    """(security_id, sector_rank, n_sectors); the distinct sectors alone are numbered."""
+    sectors = star.securities.select("sector").distinct()
+    ranked = sectors.withColumn("sector_rank", F.row_number().over(W.orderBy("sector")) - 1)
+    ranked = ranked.withColumn("n_sectors", sectors.agg(F.count("*").alias("n")).scalar())
+    return star.securities.join(ranked, "sector").select("security_id", "sector_rank", "n_sectors")
 
 
 def tilted(star: Star) -> Star:
     """Every portfolio lacks one sector."""
     held = star.positions_daily.join(_sector_rank(star), "security_id")
-    kept = held.where(F.col("sector_rank") != F.col("portfolio_id") % len(SECTORS))
-    return star.with_positions(kept.drop("sector_rank"))
+    kept = held.where(F.col("sector_rank") != F.col("portfolio_id") % F.col("n_sectors"))
+    return star.with_positions(kept.drop("sector_rank", "n_sectors"))
 
 
 def sold_out(star: Star) -> Star:
@@ -41,13 +45,13 @@ def sold_out(star: Star) -> Star:
     held = star.positions_daily.join(_sector_rank(star), "security_id").join(dates, "date", "left")
     gone = F.coalesce(
         F.col("idx").between(6, 8)
-        & (F.col("sector_rank") == (F.col("portfolio_id") + 1) % len(SECTORS)),
+        & (F.col("sector_rank") == (F.col("portfolio_id") + 1) % F.col("n_sectors")),
         F.lit(False),
     )
     return star.with_positions(
         held.withColumn("quantity", F.when(gone, 0.0).otherwise(F.col("quantity")))
         .withColumn("market_value", F.col("quantity") * F.col("price"))
-        .drop("sector_rank", "idx")
+        .drop("sector_rank", "n_sectors", "idx")
     )
 
 
@@ -64,6 +68,15 @@ def short_lived(star: Star) -> Star:
     )
 
 
+def benchmark_holes(star: Star) -> Star:
+    """The benchmark has no weights in March and no returns in August."""
+    return replace(
+        star,
+        benchmark_weights=star.benchmark_weights.where(F.month("date") != 3),
+        benchmark_returns=star.benchmark_returns.where(F.month("date") != 8),
+    )
+
+
 def sparse_benchmark(star: Star) -> Star:
     """The first sector is missing from the benchmark in January."""
     first = star.securities.agg(F.min("sector").alias("first_sector")).scalar()
@@ -96,7 +109,12 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with one fault per account."""
     path = testdata.write_once(
-        spark, sf_dir, "broken", lambda path: _with_faults(holdings(spark, sf_dir)).write.parquet(path)
+        spark,
+        sf_dir,
+        "broken",
+        lambda path: _with_faults(
+            holdings(spark, sf_dir), sector_names(testdata.load(spark, sf_dir).star)
+        ).write.parquet(path),
     )
     return spark.read.parquet(path)
 
@@ -132,11 +150,11 @@ def account_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.unionByName(nations)
 
 
-def _with_faults(rows: DataFrame) -> DataFrame:
+def _with_faults(rows: DataFrame, sectors: list[str]) -> DataFrame:
     """One fault for nine of ten accounts, chosen by the last digit of the account number."""
     number = F.substring("account", 2, 8).cast("int")
     kind, year, month = number % 10, F.year("date"), F.month("date")
-    first_sector, last_sector = F.lit(SECTORS[0]), F.lit(SECTORS[-1])
+    first_sector, last_sector = F.lit(sectors[0]), F.lit(sectors[-1])
     other = F.when(F.col("sector") == first_sector, last_sector).otherwise(first_sector)
     brand = F.substring_index("ticker", "#", -1)
     sector = (
@@ -166,14 +184,15 @@ def _with_faults(rows: DataFrame) -> DataFrame:
 
 # -- models ---------------------------------------------------------------------------
 
-HOLDINGS_PER_MODEL = 10
-WEIGHT_STEPS = 1024
+WEIGHT_STEPS = 2**20
+#: The limit that the broken targets are checked against.
+MAX_HOLDINGS = 150
 
 
 def targets(star: Star, rebalance: str | None = None) -> DataFrame:
-    """One model per portfolio: its ten largest last holdings.
+    """One model per portfolio: all of its last holdings.
 
-    Weights are percents in steps of 1/1024 of the whole; the largest holding
+    Weights are percents in steps of 2**-20 of the whole; the largest holding
     takes the rest.  The rebalance rule goes round by portfolio unless given.
     """
     last = star.positions_daily.agg(F.max("date").alias("last_date")).scalar()
@@ -181,7 +200,6 @@ def targets(star: Star, rebalance: str | None = None) -> DataFrame:
     top = (
         star.positions_daily.where(F.col("date") == last)
         .withColumn("place", F.row_number().over(largest))
-        .where(F.col("place") <= HOLDINGS_PER_MODEL)
     )
     whole = W.partitionBy("portfolio_id")
     steps = F.greatest(
@@ -227,7 +245,14 @@ def broken_targets(star: Star) -> DataFrame:
     lower = spoilt.where((kind != 5) & (kind != 6)).unionByName(
         spoilt.where(kind == 6).withColumn("ticker", F.lower("ticker"))
     )
-    return lower.unionByName(again).unionByName(many).drop("largest")
+    number = F.substring("model", 2, 8).cast("int")
+    rule = F.when(number % 24 == 7, "YEARLY").when((number % 24 == 15) & F.col("largest"), "QUARTERLY")
+    return (
+        lower.unionByName(again)
+        .unionByName(many)
+        .withColumn("rebalance", F.coalesce(rule, F.col("rebalance")))
+        .drop("largest")
+    )
 
 
 def late_returns(star: Star) -> Star:

@@ -21,15 +21,17 @@ def performance_summary(
 ) -> DataFrame:
     """Returns, active return and risk per portfolio, out of market values.
 
-    Annualisation counts the days to `end` (or the last date with returns).
+    Each series is linked over its own days; tracking error and information ratio
+    take the days that both have.  Annualisation counts the days to `end` (or the
+    last date with returns).
     """
-    valued = returns.sub_period_returns(returns.valuations(star, start, end, portfolios))
-    days = valued.join(returns.benchmark_days(star, start, end), "date")
+    days = returns.market_value_days(star, start, end, portfolios)
     if end is not None:
         period_end = as_date(end)
     else:
         period_end = star.benchmark_returns.agg(F.max("date").alias("last_date")).scalar()
     active = F.col("rp") - F.col("rb")
+    whole = m.complete(F.col("rp"))
     summary = (
         risk.drawdowns(days)
         .groupBy("portfolio_id")
@@ -38,10 +40,10 @@ def performance_summary(
             F.min("begin_date").alias("begin_date"),
             F.count("*").alias("n_days"),
             m.linked(F.col("rp")).alias("twr"),
-            m.linked(F.col("rb")).alias("bench_twr"),
-            m.tracking_error(active, periods_per_year).alias("te"),
-            m.information_ratio(active, periods_per_year).alias("ir"),
-            F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"),
+            m.linked_present(F.col("rb")).alias("bench_twr"),
+            F.when(whole, m.tracking_error(active, periods_per_year)).alias("te"),
+            F.when(whole, m.information_ratio(active, periods_per_year)).alias("ir"),
+            F.when(whole, F.least(F.min("drawdown"), F.lit(0.0))).alias("max_drawdown"),
         )
         .withColumn("calendar_days", F.datediff(period_end, F.col("begin_date")))
         .withColumn("twr_annualised", m.annualised(F.col("twr"), F.col("calendar_days")))

@@ -7,8 +7,8 @@ windows and stored steps.
 
 from __future__ import annotations
 
+from perfattr.plans.inputs import MAX_HOLDINGS
 from perfattr.plans.inputs import PERIODS_PER_YEAR as P
-from perfattr.plans.inputs import SECTORS
 from perfattr.plans.queries import WINDOW
 
 STAR = """
@@ -61,10 +61,8 @@ transactions AS (
   FROM trades t JOIN market k USING (security_id, date)),
 later AS (SELECT * FROM market WHERE date > (SELECT min(date) FROM months)),
 benchmark_weights AS (
-  SELECT date, security_id, weight FROM (
-    SELECT l.date, l.security_id, floor(l.prev_held * l.prev_price / t.total * 1073741824) / 1073741824 AS weight
-    FROM later l JOIN (SELECT date, sum(prev_held * prev_price) AS total FROM later GROUP BY date) t USING (date))
-  WHERE weight > 0),
+    SELECT l.date, l.security_id, floor(l.prev_held * l.prev_price / t.total * CAST(70368744177664 AS DOUBLE)) / CAST(70368744177664 AS DOUBLE) AS weight
+    FROM later l JOIN (SELECT date, sum(prev_held * prev_price) AS total FROM later GROUP BY date) t USING (date)),
 benchmark_returns AS (
   SELECT date, security_id, floor((price / prev_price - 1) * 1048576) / 1048576 AS ret FROM later),
 tcal AS (
@@ -74,11 +72,11 @@ sector_ranks AS (SELECT sector, CAST(row_number() OVER (ORDER BY sector) - 1 AS
                  FROM (SELECT DISTINCT sector FROM securities)),
 tilted AS (
   SELECT p.* FROM positions_daily p JOIN securities USING (security_id) JOIN sector_ranks USING (sector)
-  WHERE srank <> portfolio_id % 6),
+  WHERE srank <> portfolio_id % (SELECT count(*) FROM sector_ranks)),
 sold_out AS (
   SELECT date, portfolio_id, security_id, quantity, price, quantity * price AS market_value FROM (
     SELECT p.date, portfolio_id, security_id, price,
-           CASE WHEN idx BETWEEN 6 AND 8 AND srank = (portfolio_id + 1) % 6 THEN 0.0 ELSE quantity END AS quantity
+           CASE WHEN idx BETWEEN 6 AND 8 AND srank = (portfolio_id + 1) % (SELECT count(*) FROM sector_ranks) THEN 0.0 ELSE quantity END AS quantity
     FROM positions_daily p JOIN securities USING (security_id) JOIN sector_ranks USING (sector)
     LEFT JOIN tcal ON tcal.date = p.date)),
 short_lived AS (
@@ -177,18 +175,20 @@ def coefficient(a: str, b: str) -> str:
 
 def linking(days: str = "daily_days", daily: str = "daily") -> str:
     return f"""
-whole AS (SELECT portfolio_id, product(1 + rp) - 1 AS tp, product(1 + rb) - 1 AS tb, count(*) AS n_days
+whole AS (SELECT portfolio_id, product(1 + rp) - 1 AS tp, product(1 + rb) - 1 AS tb, count(*) AS n_days,
+                 count(*) FILTER (rp <= -1 OR rb <= -1) AS unlinked
           FROM {days} GROUP BY portfolio_id),
 factors AS (
-  SELECT portfolio_id, date, rp, rb, n_days, k_day, k_period, k_day / k_period AS factor FROM (
-    SELECT d.portfolio_id, d.date, d.rp, d.rb, w.n_days,
-           {coefficient('d.rp', 'd.rb')} AS k_day, {coefficient('w.tp', 'w.tb')} AS k_period
+  SELECT portfolio_id, date, rp, rb, n_days, unlinked, k_day, k_period, k_day / k_period AS factor FROM (
+    SELECT d.portfolio_id, d.date, d.rp, d.rb, w.n_days, w.unlinked, {coefficient('d.rp', 'd.rb')} AS k_day,
+           CASE WHEN unlinked = 0 THEN {coefficient('w.tp', 'w.tb')} END AS k_period
     FROM {days} d JOIN whole w USING (portfolio_id))),
 linked AS (
   SELECT portfolio_id, sector, sum(wp) / any_value(n_days) AS avg_wp, sum(wb) / any_value(n_days) AS avg_wb,
          sum(factor * allocation) AS allocation, sum(factor * selection) AS selection,
          sum(factor * interaction) AS interaction,
-         sum(factor * allocation) + sum(factor * selection) + sum(factor * interaction) AS total
+         sum(factor * allocation) + sum(factor * selection) + sum(factor * interaction) AS total,
+         any_value(unlinked) AS unlinked_days
   FROM {daily} JOIN factors f USING (portfolio_id, date) GROUP BY portfolio_id, sector)"""
 
 
@@ -274,11 +274,12 @@ good_holdings AS (
   FROM pairs x JOIN later l USING (security_id) JOIN securities s USING (security_id)
   LEFT JOIN positions_daily p ON p.portfolio_id = x.portfolio_id AND p.security_id = x.security_id AND p.date = l.date)"""
 
-BROKEN = f"""
+BROKEN = """
 numbered AS (
   SELECT *, CAST(substr(account, 2) AS INT) AS no, CAST(substr(account, 2) AS INT) % 10 AS kind, year(date) AS y,
          month(date) AS m, regexp_extract(ticker, '[^#]*$') AS brand,
-         CASE WHEN sector = '{SECTORS[0]}' THEN '{SECTORS[-1]}' ELSE '{SECTORS[0]}' END AS other
+         CASE WHEN sector = (SELECT min(sector) FROM sector_ranks) THEN (SELECT max(sector) FROM sector_ranks)
+              ELSE (SELECT min(sector) FROM sector_ranks) END AS other
   FROM good_holdings),
 spoilt AS (
   SELECT account, kind, y, m,
@@ -298,11 +299,10 @@ expected AS (
 
 
 def checks() -> str:
-    sectors = ", ".join(f"'{s}'" for s in SECTORS)
-    return f"""
+    return """
 own AS (
   SELECT account, 'unknown_sector' AS rule, count(*) AS n FROM holdings
-  WHERE sector IS NULL OR sector NOT IN ({sectors}) GROUP BY account
+  WHERE sector IS NULL OR sector NOT IN (SELECT sector FROM sector_ranks) GROUP BY account
   UNION ALL
   SELECT account, 'missing_field', count(*) FROM holdings
   WHERE date IS NULL OR ticker IS NULL OR quantity IS NULL OR price IS NULL OR price <= 0 GROUP BY account
@@ -391,12 +391,12 @@ last_held AS (
   FROM positions_daily WHERE date = (SELECT max(date) FROM positions_daily)),
 top_held AS (
   SELECT l.portfolio_id, security_id, place,
-         greatest(floor(market_value / total * 1024), 1) AS steps
-  FROM last_held l JOIN (SELECT portfolio_id, sum(market_value) AS total FROM last_held WHERE place <= 10 GROUP BY 1) t
-    USING (portfolio_id) WHERE place <= 10),
+         greatest(floor(market_value / total * 1048576), 1) AS steps
+  FROM last_held l JOIN (SELECT portfolio_id, sum(market_value) AS total FROM last_held GROUP BY 1) t
+    USING (portfolio_id)),
 targets AS (
   SELECT 'M' || lpad(CAST(portfolio_id AS VARCHAR), 8, '0') AS model, ticker,
-         CASE WHEN place = 1 THEN 1024 - used + steps ELSE steps END * 100 / 1024 AS weight,
+         CASE WHEN place = 1 THEN 1048576 - used + steps ELSE steps END * 100 / 1048576 AS weight,
          CASE portfolio_id % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'MONTHLY' ELSE 'QUARTERLY' END AS rebalance
   FROM top_held JOIN (SELECT portfolio_id, sum(steps) AS used FROM top_held GROUP BY 1) USING (portfolio_id)
   JOIN securities USING (security_id))"""
@@ -445,6 +445,16 @@ walk AS (
   JOIN cells n ON n.model = v.model AND n.ticker = v.ticker AND n.idx = v.idx + 1)"""
 
 
+def twr(days: str) -> str:
+    """A day without a return (NULL) leaves no linked return."""
+    return f"""SELECT portfolio_id, first_date, n_days, calendar_days, bad_days, {rs('twr', 8)},
+            CASE WHEN calendar_days >= 365 THEN {r('pow(1 + twr, 365.25 / calendar_days) - 1', 8)} END AS twr_annualised
+          FROM (SELECT portfolio_id, min(date) AS first_date, count(*) AS n_days, count(*) - count(rp) AS bad_days,
+                CAST(date_diff('day', min(begin_date), max(date)) AS INT) AS calendar_days,
+                CASE WHEN count(*) = count(rp) THEN product(1 + rp) - 1 END AS twr
+                FROM {days} GROUP BY portfolio_id)"""
+
+
 def recursive(statement: str) -> str:
     return statement.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -454,6 +464,17 @@ def oracle() -> dict[str, str]:
     alive = effects(lifespan=True)
     short = effects(positions="short_lived", lifespan=True)
     window = effects(start=start, end=end)
+    # Each series is linked over its own days: product() passes over days without a benchmark.
+    active = f"""SELECT portfolio_id, {rs('twr bench_twr', 8)},
+            {r('twr - bench_twr', 8)} AS active_return, {r('(1 + twr) / (1 + bench_twr) - 1', 8)} AS active_geometric
+          FROM (SELECT portfolio_id, product(1 + rp) - 1 AS twr, product(1 + rb) - 1 AS bench_twr
+                FROM mv_days GROUP BY portfolio_id)"""
+    holes = VALUED.replace("LEFT JOIN bench USING", "LEFT JOIN (SELECT * FROM bench WHERE month(date) NOT IN (3, 8)) USING")
+
+    def lived(name: str, build) -> dict[str, str]:
+        return {name: build(alive), f"{name}_short_lived": build(short)}
+
+    linked_select = f"SELECT portfolio_id, sector, {rs(LINK_COLUMNS)}, unlinked_days FROM linked"
     out = {
         "star_counts": sql("", " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
@@ -470,16 +491,13 @@ def oracle() -> dict[str, str]:
             ELSE 'Portfolio ' || portfolio_id END AS name FROM portfolios"""),
         "valuations": sql(VALUED, f"SELECT portfolio_id, date, begin_date, {rs('mv_begin mv_end cf', 4)} FROM valued"),
         "subperiod_returns": sql(VALUED, f"SELECT portfolio_id, date, {rs('rp')} FROM mv_days"),
-        "twr_by_portfolio": sql(VALUED, f"""SELECT portfolio_id, first_date, n_days, calendar_days, {rs('twr', 8)},
-            CASE WHEN calendar_days >= 365 THEN {r('pow(1 + twr, 365.25 / calendar_days) - 1', 8)} END AS twr_annualised
-          FROM (SELECT portfolio_id, min(date) AS first_date, count(*) AS n_days,
-                CAST(date_diff('day', min(begin_date), max(date)) AS INT) AS calendar_days, product(1 + rp) - 1 AS twr
-                FROM mv_days GROUP BY portfolio_id)"""),
+        "twr_by_portfolio": sql(VALUED, twr("mv_days")),
+        "twr_with_bad_days": sql(VALUED + """, bad_mv AS (
+            SELECT * REPLACE (CASE WHEN basis > 0 THEN (mv_end - basis) / basis END AS rp) FROM (
+              SELECT *, CASE WHEN portfolio_id % 3 = 0 AND month(date) = 12 THEN 0 ELSE mv_begin + cf END AS basis
+              FROM mv_days))""", twr("bad_mv")),
         "benchmark_returns_daily": sql("", f"SELECT date, {rs('rb')} FROM bench"),
-        "active_return": sql(VALUED, f"""SELECT portfolio_id, {rs('twr bench_twr', 8)},
-            {r('twr - bench_twr', 8)} AS active_return, {r('(1 + twr) / (1 + bench_twr) - 1', 8)} AS active_geometric
-          FROM (SELECT portfolio_id, product(1 + rp) - 1 AS twr, product(1 + rb) - 1 AS bench_twr
-                FROM mv_days WHERE rb IS NOT NULL GROUP BY portfolio_id)"""),
+        "active_return": sql(VALUED, active),
         "portfolio_day_returns": sql(effects(), f"SELECT portfolio_id, date, {rs('rp rb')} FROM daily_days"),
         "weight_basis": sql(effects(), f"SELECT portfolio_id, security_id, date, {rs('basis', 4)} FROM daily_basis"),
         "sector_weights": sql(effects(), f"SELECT portfolio_id, date, sector, {rs('wp rp')} FROM daily_held"),
@@ -500,7 +518,12 @@ def oracle() -> dict[str, str]:
           LEFT JOIN (SELECT DISTINCT date FROM benchmark_weights) d ON d.date > a AND d.date <= z GROUP BY ALL"""),
         "carino_factors": sql(alive + "," + linking(), f"""SELECT portfolio_id, date, {rs('rp rb k_day k_period factor', 8)}
           FROM factors"""),
-        "attribution_linked": sql(short + "," + linking(), f"SELECT portfolio_id, sector, {rs(LINK_COLUMNS)} FROM linked"),
+        "attribution_linked": sql(alive + "," + linking(), linked_select),
+        "attribution_linked_short_lived": sql(short + "," + linking(), linked_select),
+        "linked_with_bad_days": sql(alive + """, geared AS (
+            SELECT * REPLACE (rp * CASE WHEN portfolio_id % 3 = 0 THEN 25 ELSE 1 END AS rp) FROM daily),
+            geared_days AS (SELECT portfolio_id, date, sum(wp * rp) AS rp, any_value(rb_total) AS rb FROM geared
+                            GROUP BY ALL),""" + linking("geared_days", "geared"), linked_select),
         "attribution_totals": sql(alive + "," + linking(), "SELECT portfolio_id, " + ", ".join(
             f"{r(f'sum({c})')} AS {c}" for c in LINK_COLUMNS.split()) + " FROM linked GROUP BY portfolio_id"),
         "contribution": sql(effects() + "," + CONTRIBUTED,
@@ -511,23 +534,28 @@ def oracle() -> dict[str, str]:
             UNION ALL SELECT *, n - k + 1, 'bottom' FROM ranked WHERE k > 8 AND k > n - 5)""".replace(
             "FROM (\n", "FROM (\n WITH ranked AS (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS n, "
             "row_number() OVER (PARTITION BY portfolio_id ORDER BY contribution DESC, ticker) AS k FROM contributed)\n", 1)),
-        "risk_summary": sql(short + "," + curve("daily_days"), f"SELECT portfolio_id, {RISK} FROM curve GROUP BY portfolio_id"),
+        **lived("risk_summary", lambda e: sql(
+            e + "," + curve("daily_days"), f"SELECT portfolio_id, {RISK} FROM curve GROUP BY portfolio_id")),
         "cumulative_curves": sql(alive + "," + curve("daily_days"), f"""SELECT portfolio_id, date, {rs('rp rb', 8)},
             {r('gp - 1', 8)} AS cum_rp, {r('gb - 1', 8)} AS cum_rb, {r('gp - gb', 8)} AS cum_active FROM curve"""),
         "drawdown_series": sql(alive + "," + curve("daily_days"), f"""SELECT portfolio_id, date, {rs('rp rb', 8)},
             {r('dd', 8)} AS drawdown FROM curve"""),
-        "rolling_te": sql(short, f"""SELECT portfolio_id, date, {rs('rp rb', 8)},
+        **lived("rolling_te", lambda e: sql(e, f"""SELECT portfolio_id, date, {rs('rp rb', 8)},
             CASE WHEN k >= least(63, n) AND n >= 2 THEN {r(f'sd * sqrt({P})', 8)} END AS rolling_te
           FROM (SELECT *, stddev_samp(rp - rb) OVER (w ROWS 62 PRECEDING) AS sd, row_number() OVER w AS k,
                        count(*) OVER (PARTITION BY portfolio_id) AS n
-                FROM daily_days WINDOW w AS (PARTITION BY portfolio_id ORDER BY date))"""),
-        "period_kpis": sql(short + "," + ANCHORS + "," + PERIOD_DAYS + "," + curve("period_days", "portfolio_id, period"),
-                           f"""SELECT portfolio_id, period, {RISK},
-            {r('product(1 + rp) - product(1 + rb)', 8)} AS active_return FROM curve GROUP BY portfolio_id, period"""),
-        "performance_summary": sql(VALUED + ", known_days AS (SELECT * FROM mv_days WHERE rb IS NOT NULL)," + curve("known_days"),
+                FROM daily_days WINDOW w AS (PARTITION BY portfolio_id ORDER BY date))""")),
+        **lived("period_kpis", lambda e: sql(
+            e + "," + ANCHORS + "," + PERIOD_DAYS + "," + curve("period_days", "portfolio_id, period"),
+            f"""SELECT portfolio_id, period, {RISK},
+            {r('product(1 + rp) - product(1 + rb)', 8)} AS active_return FROM curve GROUP BY portfolio_id, period""")),
+        "performance_summary": sql(VALUED + "," + curve("mv_days"),
                                    SUMMARY_SELECT.format(end="(SELECT max(date) FROM benchmark_returns)")),
+        "performance_summary_holes": sql(holes + "," + curve("mv_days"), SUMMARY_SELECT.format(
+            end="(SELECT max(date) FROM benchmark_returns WHERE month(date) <> 8)")),
+        "active_return_holes": sql(holes, active),
         "performance_summary_window": sql(
-            VALUED + f""", known_days AS (SELECT * FROM mv_days WHERE rb IS NOT NULL AND date BETWEEN DATE '{start}'
+            VALUED + f""", known_days AS (SELECT * FROM mv_days WHERE date BETWEEN DATE '{start}'
             AND DATE '{end}'),""" + curve("known_days"), SUMMARY_SELECT.format(end=f"DATE '{end}'")),
         "market_context": sql("", f"SELECT date, idx, idx % 5 = 0 AS is_week, {rs('rb')} FROM tcal JOIN bench USING (date)"),
         "sector_labels": sql("", """SELECT DISTINCT sector, sector AS label
@@ -541,14 +569,17 @@ def oracle() -> dict[str, str]:
             UNION ALL
             SELECT portfolio_id, count(*) + 1, 'Active return', 0, sum(total) * 10000, sum(total) * 10000
             FROM linked GROUP BY portfolio_id)"""),
-        "active_weights": sql(effects(positions="tilted", lifespan=True) + "," + linking(), f"""
+        **{name: sql(e + "," + linking(), f"""
           SELECT portfolio_id, sector, {r('100 * (avg_wp - avg_wb)', 8)} AS active_weight, {rs('avg_wp', 8)},
             CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY avg_wp - avg_wb DESC, sector) AS INT) AS active_rank,
             CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY avg_wp DESC, sector) AS INT) AS weight_rank
-          FROM linked"""),
-        "weekly_weights": sql(short + "," + WEEKLY, "SELECT portfolio_id, week, week_start, date, sector, wp FROM weekly"),
-        "week_readout": sql(short + "," + WEEKLY, """SELECT portfolio_id, week, week_start, date, sector, wp FROM weekly
-          WHERE (portfolio_id, week) IN (SELECT (portfolio_id, max(week)) FROM weekly GROUP BY portfolio_id)"""),
+          FROM linked""") for name, e in (("active_weights", alive),
+                                          ("active_weights_tilted", effects(positions="tilted", lifespan=True)))},
+        **lived("weekly_weights", lambda e: sql(
+            e + "," + WEEKLY, "SELECT portfolio_id, week, week_start, date, sector, wp FROM weekly")),
+        **lived("week_readout", lambda e: sql(
+            e + "," + WEEKLY, """SELECT portfolio_id, week, week_start, date, sector, wp FROM weekly
+          WHERE (portfolio_id, week) IN (SELECT (portfolio_id, max(week)) FROM weekly GROUP BY portfolio_id)""")),
     }
 
     sparse = effects(weights="sparse_weights")
@@ -557,15 +588,19 @@ gaps AS (
   SELECT portfolio_id, date, sum(allocation + selection + interaction) - (sum(wp * rp) - any_value(rb_total)) AS effect_gap,
          sum(wp) - 1 AS wp_gap, sum(wb) - 1 AS wb_gap FROM daily GROUP BY ALL)"""
     gap_select = f"SELECT portfolio_id, date, {rs('effect_gap wp_gap wb_gap')} FROM gaps"
+    gap = f"""SELECT portfolio_id, date, {r('v.rp')} AS rp_mv, {r('d.rp')} AS rp_weight, {r('v.rp - d.rp')} AS gap,
+            CASE WHEN d.rp IS NULL THEN 'value' WHEN v.rp IS NULL THEN 'weight' END AS only
+          FROM mv_days v FULL JOIN daily_days d USING (portfolio_id, date)"""
     both = effects() + "," + effects("bent", positions="tilted")
     out |= {
         "invariant_check": sql(sparse + "," + gaps, gap_select),
         "invariant_violations": sql(sparse + "," + gaps, gap_select
-                                    + " WHERE greatest(abs(effect_gap), abs(wp_gap), abs(wb_gap)) > 1e-6"),
+                                    + " WHERE greatest(abs(effect_gap), abs(wp_gap), abs(wb_gap)) > 1e-10"),
         "uncovered_sectors": sql(sparse, f"""SELECT date, sector, portfolio_id, {rs('wp rp')} FROM daily_held h
           WHERE NOT EXISTS (SELECT 1 FROM daily_bench b WHERE b.date = h.date AND b.sector = h.sector)"""),
-        "return_gap": sql(VALUED + "," + effects(), f"""SELECT portfolio_id, date, {r('v.rp')} AS rp_mv, {r('d.rp')} AS rp_weight,
-            {r('v.rp - d.rp')} AS gap FROM mv_days v JOIN daily_days d USING (portfolio_id, date)"""),
+        "return_gap": sql(VALUED + "," + effects(lifespan=True), gap),
+        "return_gap_holes": sql(VALUED + "," + effects(lifespan=True), gap.replace(
+            "daily_days", "(SELECT * FROM daily_days WHERE month(date) NOT IN (3, 8))")),
         "attribution_diff": sql(both, f"""
           SELECT count(*) AS n_keys, count(*) FILTER (b.sector IS NULL) AS only_left,
                  count(*) FILTER (a.sector IS NULL) AS only_right,
@@ -596,8 +631,8 @@ all_securities AS (SELECT security_id, ticker, sector FROM securities
         "import_violations": sql(broken, "SELECT account, rule, n FROM violations"),
         "import_summary": sql(broken + "," + IMPORTED, SUMMARY.format(
             name="coalesce(e.name, account)", names="LEFT JOIN expected e USING (account)")),
-        "import_sector_samples": sql(HOLDINGS + "," + BROKEN, "SELECT DISTINCT account, sector FROM holdings "
-                                     "WHERE sector NOT IN (" + ", ".join(f"'{s}'" for s in SECTORS) + ")"),
+        "import_unknown_sectors": sql(HOLDINGS + "," + BROKEN, "SELECT account, sector, count(*) AS n FROM holdings "
+                                      "WHERE sector NOT IN (SELECT sector FROM sector_ranks) GROUP BY ALL"),
         "import_security_map": sql(good, "SELECT ticker, sector, security_id, first_account, existing_id IS NULL AS is_new FROM security_map"),
         "import_positions": sql(good, f"""SELECT date, portfolio_id, security_id, {rs('quantity price market_value', 4)}
           FROM new_positions"""),
@@ -615,21 +650,29 @@ all_securities AS (SELECT security_id, ticker, sector FROM securities
 marked AS (
   SELECT *, CAST(substr(model, 2) AS INT) % 8 AS kind,
          row_number() OVER (PARTITION BY model ORDER BY weight DESC, ticker) = 1 AS largest FROM targets),
+rules AS (
+  SELECT *, CASE WHEN CAST(substr(model, 2) AS INT) % 24 = 7 THEN 'YEARLY'
+                 WHEN CAST(substr(model, 2) AS INT) % 24 = 15 AND largest THEN 'QUARTERLY' ELSE rebalance END AS rule
+  FROM marked),
 bent_targets AS (
-  SELECT model, CASE WHEN kind = 1 AND largest THEN 'X-' || ticker WHEN kind = 6 THEN lower(ticker) ELSE ticker END AS ticker,
+  SELECT model, rule, CASE WHEN kind = 1 AND largest THEN 'X-' || ticker WHEN kind = 6 THEN lower(ticker) ELSE ticker END AS ticker,
          CASE WHEN kind = 2 AND largest THEN -weight WHEN kind = 3 AND largest THEN weight + 20 ELSE weight END AS weight
-  FROM marked WHERE kind <> 5
-  UNION ALL SELECT model, ticker, weight FROM marked WHERE kind = 4 AND largest
-  UNION ALL SELECT model, ticker || '/' || c, weight FROM marked, range(1, 7) copies(c) WHERE kind = 5),
+  FROM rules WHERE kind <> 5
+  UNION ALL SELECT model, rule, ticker, weight FROM rules WHERE kind = 4 AND largest
+  UNION ALL SELECT model, rule, ticker || '/' || c, weight FROM rules, range(1, 7) copies(c) WHERE kind = 5),
 target_sums AS (
-  SELECT model, count(*) AS k, count(*) FILTER (weight <= 0) AS bad,
+  SELECT model, count(*) AS k, count(*) FILTER (weight <= 0) AS bad, count(DISTINCT rule) - 1 AS mixed,
+         count(*) FILTER (rule NOT IN ('NONE', 'MONTHLY', 'QUARTERLY')) AS strange,
          CASE WHEN sum(weight) BETWEEN 90 AND 110 THEN sum(weight) / 100 ELSE sum(weight) END AS total
   FROM bent_targets GROUP BY model)"""
+    full = TARGETS + "," + eligible("benchmark_returns")
     late = TARGETS + "," + LATE + "," + eligible("late_returns")
     out |= {
         "eligible_securities": sql(LATE + "," + eligible("late_returns"), "SELECT ticker, sector FROM eligible"),
-        "model_violations": sql(late + "," + spoilt_targets, """
-          SELECT model, 'too_many_holdings' AS rule, k - 50 AS n FROM target_sums WHERE k > 50
+        **{name: sql(e + "," + spoilt_targets, f"""
+          SELECT model, 'too_many_holdings' AS rule, k - {MAX_HOLDINGS} AS n FROM target_sums WHERE k > {MAX_HOLDINGS}
+          UNION ALL SELECT model, 'unknown_rebalance', strange FROM target_sums WHERE strange > 0
+          UNION ALL SELECT model, 'mixed_rebalance', mixed FROM target_sums WHERE mixed > 0
           UNION ALL SELECT model, 'weight_not_positive', bad FROM target_sums WHERE bad > 0
           UNION ALL SELECT model, 'weights_off_sum', 1 FROM target_sums WHERE total NOT BETWEEN 0.999 AND 1.001
           UNION ALL SELECT model, 'duplicate_ticker', count(*) FROM (
@@ -638,13 +681,16 @@ target_sums AS (
             WHERE ticker NOT IN (SELECT ticker FROM securities) GROUP BY model
           UNION ALL SELECT model, 'partial_history', count(DISTINCT ticker) FROM bent_targets
             WHERE ticker IN (SELECT ticker FROM securities) AND ticker NOT IN (SELECT ticker FROM eligible) GROUP BY model
-          UNION ALL SELECT 'Z' || lpad(CAST(portfolio_id AS VARCHAR), 8, '0'), 'no_holdings', 1 FROM portfolios"""),
+          UNION ALL SELECT 'Z' || lpad(CAST(portfolio_id AS VARCHAR), 8, '0'), 'no_holdings', 1 FROM portfolios""")
+           for name, e in (("model_violations", full), ("model_violations_late", late))},
         "model_tickers": sql(TARGETS, "SELECT model, ticker, weight, rebalance FROM targets"),
-        "model_weights": sql(late, f"""
+        **{name: sql(e, f"""
           SELECT model, ticker, rebalance, {r('weight / total', 10)} AS weight FROM targets
           JOIN (SELECT model, sum(weight) AS total FROM targets GROUP BY model
-                HAVING count(*) FILTER (ticker NOT IN (SELECT ticker FROM eligible)) = 0) USING (model)"""),
-        "model_index": sql(LATE + "," + eligible("late_returns"), f"SELECT ticker, sector, date, {rs('px', 6)} FROM px"),
+                HAVING count(*) FILTER (ticker NOT IN (SELECT ticker FROM eligible)) = 0) USING (model)""")
+           for name, e in (("model_weights", full), ("model_weights_late", late))},
+        "model_index": sql(eligible("benchmark_returns"), f"SELECT ticker, sector, date, {rs('px', 6)} FROM px"),
+        "model_index_late": sql(LATE + "," + eligible("late_returns"), f"SELECT ticker, sector, date, {rs('px', 6)} FROM px"),
         "model_flow_check": sql(TARGETS, """
           SELECT account, CAST((SELECT max(portfolio_id) FROM portfolios) + row_number() OVER (ORDER BY account) AS INT)
                    AS portfolio_id, account AS name, tickers * (SELECT count(*) FROM tcal) AS position_rows, tickers,

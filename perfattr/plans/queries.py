@@ -107,6 +107,14 @@ def twr_by_portfolio(star: Star) -> DataFrame:
     return returns.twr(returns.valuations(star))
 
 
+@over_star("twr_with_bad_days", 8)
+def twr_with_bad_days(star: Star) -> DataFrame:
+    """Every third portfolio pays out its whole value in its Decembers."""
+    valued = returns.valuations(star)
+    out = (F.col("portfolio_id") % 3 == 0) & (F.month("date") == 12)
+    return returns.twr(valued.withColumn("cf", F.when(out, -F.col("mv_begin")).otherwise(F.col("cf"))))
+
+
 @over_star("benchmark_returns_daily")
 def benchmark_returns_daily(star: Star) -> DataFrame:
     return returns.benchmark_days(star)
@@ -199,9 +207,20 @@ def carino_factors(star: Star) -> DataFrame:
 
 @over_star("attribution_linked")
 def attribution_linked(star: Star) -> DataFrame:
-    return linking.linked_attribution(
-        att.attribution_daily(inputs.short_lived(star), within_lifespan=True)
-    )
+    return linking.linked_attribution(att.attribution_daily(star, within_lifespan=True))
+
+
+@over_star("attribution_linked_short_lived")
+def attribution_linked_short_lived(star: Star) -> DataFrame:
+    return attribution_linked(inputs.short_lived(star))
+
+
+@over_star("linked_with_bad_days")
+def linked_with_bad_days(star: Star) -> DataFrame:
+    """Every third portfolio is geared so that some of its days cannot be linked."""
+    daily = att.attribution_daily(star, within_lifespan=True)
+    gear = F.when(F.col("portfolio_id") % 3 == 0, 25.0).otherwise(1.0)
+    return linking.linked_attribution(daily.withColumn("rp", F.col("rp") * gear))
 
 
 @over_star("attribution_totals")
@@ -230,7 +249,12 @@ def _weight_days(star: Star) -> DataFrame:
 
 @over_star("risk_summary", 8)
 def risk_summary(star: Star) -> DataFrame:
-    return risk.risk_summary(_weight_days(inputs.short_lived(star)), periods_per_year=P)
+    return risk.risk_summary(_weight_days(star), periods_per_year=P)
+
+
+@over_star("risk_summary_short_lived", 8)
+def risk_summary_short_lived(star: Star) -> DataFrame:
+    return risk_summary(inputs.short_lived(star))
 
 
 @over_star("cumulative_curves", 8)
@@ -245,12 +269,22 @@ def drawdown_series(star: Star) -> DataFrame:
 
 @over_star("rolling_te", 8)
 def rolling_te(star: Star) -> DataFrame:
-    return risk.rolling_tracking_error(_weight_days(inputs.short_lived(star)), periods_per_year=P)
+    return risk.rolling_tracking_error(_weight_days(star), periods_per_year=P)
+
+
+@over_star("rolling_te_short_lived", 8)
+def rolling_te_short_lived(star: Star) -> DataFrame:
+    return rolling_te(inputs.short_lived(star))
 
 
 @over_star("period_kpis", 8)
 def period_kpis(star: Star) -> DataFrame:
-    return marts.period_kpis(_weight_days(inputs.short_lived(star)), star.benchmark_returns, P)
+    return marts.period_kpis(_weight_days(star), star.benchmark_returns, P)
+
+
+@over_star("period_kpis_short_lived", 8)
+def period_kpis_short_lived(star: Star) -> DataFrame:
+    return period_kpis(inputs.short_lived(star))
 
 
 # -- marts ----------------------------------------------------------------------------------
@@ -266,6 +300,16 @@ def performance_summary_window(star: Star) -> DataFrame:
     return marts.performance_summary(star, *WINDOW, periods_per_year=P)
 
 
+@over_star("performance_summary_holes", 8)
+def performance_summary_holes(star: Star) -> DataFrame:
+    return marts.performance_summary(inputs.benchmark_holes(star), periods_per_year=P)
+
+
+@over_star("active_return_holes", 8)
+def active_return_holes(star: Star) -> DataFrame:
+    return returns.active_returns(returns.market_value_days(inputs.benchmark_holes(star)))
+
+
 @over_star("market_context")
 def market_context(star: Star) -> DataFrame:
     return marts.market_context(star)
@@ -283,24 +327,32 @@ def waterfall(star: Star) -> DataFrame:
 
 @over_star("active_weights", 8)
 def active_weights(star: Star) -> DataFrame:
-    return marts.active_weights(
-        linking.linked_attribution(
-            att.attribution_daily(inputs.tilted(star), within_lifespan=True)
-        )
-    )
+    return marts.active_weights(attribution_linked(star))
+
+
+@over_star("active_weights_tilted", 8)
+def active_weights_tilted(star: Star) -> DataFrame:
+    return active_weights(inputs.tilted(star))
 
 
 @over_star("weekly_weights", 5)
 def weekly_weights(star: Star) -> DataFrame:
-    lived = inputs.short_lived(star)
-    return marts.weekly_weights(att.attribution_daily(lived, within_lifespan=True), lived)
+    return marts.weekly_weights(att.attribution_daily(star, within_lifespan=True), star)
+
+
+@over_star("weekly_weights_short_lived", 5)
+def weekly_weights_short_lived(star: Star) -> DataFrame:
+    return weekly_weights(inputs.short_lived(star))
 
 
 @over_star("week_readout", 5)
 def week_readout(star: Star) -> DataFrame:
-    lived = inputs.short_lived(star)
-    weekly = marts.weekly_weights(att.attribution_daily(lived, within_lifespan=True), lived)
-    return marts.week_readout(weekly)
+    return marts.week_readout(weekly_weights(star))
+
+
+@over_star("week_readout_short_lived", 5)
+def week_readout_short_lived(star: Star) -> DataFrame:
+    return week_readout(inputs.short_lived(star))
 
 
 @over_star("portfolio_detail")
@@ -321,8 +373,7 @@ def invariant_check(star: Star) -> DataFrame:
 
 @over_star("invariant_violations")
 def invariant_violations(star: Star) -> DataFrame:
-    """Weights of the derived benchmark are cut to 2**-30, so they add up to 1 within 1e-6."""
-    return quality.invariant_violations(att.attribution_daily(inputs.sparse_benchmark(star)), 1e-6)
+    return quality.invariant_violations(att.attribution_daily(inputs.sparse_benchmark(star)))
 
 
 @over_star("uncovered_sectors")
@@ -333,7 +384,12 @@ def uncovered_sectors(star: Star) -> DataFrame:
 
 @over_star("return_gap")
 def return_gap(star: Star) -> DataFrame:
-    return quality.return_gap(returns.valuations(star), att.attribution_daily(star))
+    return quality.return_gap(returns.valuations(star), att.attribution_daily(star, within_lifespan=True))
+
+
+@over_star("return_gap_holes")
+def return_gap_holes(star: Star) -> DataFrame:
+    return return_gap(inputs.benchmark_holes(star))
 
 
 @over_star("attribution_diff")
@@ -372,8 +428,9 @@ def _good_import(spark: SparkSession, sf_dir: str) -> imp.ImportBatch:
     """The import of all good holdings; its stored stages serve all queries of an application."""
     key = (spark.sparkContext.applicationId, inputs.holdings_path(spark, sf_dir))
     if key not in _imports:
+        star = testdata.load(spark, sf_dir).star
         _imports[key] = imp.import_holdings(
-            inputs.holdings(spark, sf_dir), testdata.load(spark, sf_dir).star, sectors=inputs.SECTORS
+            inputs.holdings(spark, sf_dir), star, sectors=inputs.sector_names(star)
         )
     return _imports[key]
 
@@ -424,18 +481,19 @@ def import_portfolios(batch: imp.ImportBatch) -> DataFrame:
 
 
 def _broken_import(spark: SparkSession, sf_dir: str) -> imp.ImportBatch:
+    star = testdata.load(spark, sf_dir).star
     return imp.import_holdings(
         inputs.broken_holdings(spark, sf_dir),
-        testdata.load(spark, sf_dir).star,
+        star,
         accounts=inputs.account_names(spark, sf_dir),
-        sectors=inputs.SECTORS,
+        sectors=inputs.sector_names(star),
     )
 
 
 REGISTRY["import_violations"] = lambda spark, sf_dir: _broken_import(spark, sf_dir).violations
 REGISTRY["import_summary"] = lambda spark, sf_dir: _broken_import(spark, sf_dir).summary
-REGISTRY["import_sector_samples"] = lambda spark, sf_dir: imp.unknown_sector_samples(
-    inputs.broken_holdings(spark, sf_dir), inputs.SECTORS
+REGISTRY["import_unknown_sectors"] = lambda spark, sf_dir: imp.unknown_sectors(
+    inputs.broken_holdings(spark, sf_dir), inputs.sector_names(testdata.load(spark, sf_dir).star)
 )
 
 
@@ -463,10 +521,15 @@ def model_violations(star: Star) -> DataFrame:
     names = star.portfolios.select(F.format_string("M%08d", "portfolio_id").alias("model"))
     empty = star.portfolios.select(F.format_string("Z%08d", "portfolio_id").alias("model"))
     return models.target_violations(
-        inputs.broken_targets(star), inputs.late_returns(star), names.unionByName(empty)
+        inputs.broken_targets(star), star, names.unionByName(empty), max_holdings=inputs.MAX_HOLDINGS
     )
 
 
+@over_star("model_violations_late")
+def model_violations_late(star: Star) -> DataFrame:
+    return model_violations(inputs.late_returns(star))
+
+
 @over_star("model_tickers")
 def model_tickers(star: Star) -> DataFrame:
     typed = inputs.targets(star).withColumn("ticker", F.lower("ticker"))
@@ -475,13 +538,22 @@ def model_tickers(star: Star) -> DataFrame:
 
 @over_star("model_weights", 10)
 def model_weights(star: Star) -> DataFrame:
-    late = inputs.late_returns(star)
-    return models.checked_weights(inputs.targets(star), late)[1]
+    return models.checked_weights(inputs.targets(star), star)[1]
+
+
+@over_star("model_weights_late", 10)
+def model_weights_late(star: Star) -> DataFrame:
+    return model_weights(inputs.late_returns(star))
 
 
 @over_star("model_index", 6)
 def model_index(star: Star) -> DataFrame:
-    return models.total_return_index(inputs.late_returns(star))
+    return models.total_return_index(star)
+
+
+@over_star("model_index_late", 6)
+def model_index_late(star: Star) -> DataFrame:
+    return model_index(inputs.late_returns(star))
 
 
 def _model_positions(rebalance: str) -> Callable[[Star], DataFrame]:
@@ -501,7 +573,7 @@ for _rule in models.REBALANCES:
 @over_star("model_flow_check", 4)
 def model_flow_check(star: Star) -> DataFrame:
     """Import of all models: they finance themselves, so no flow days."""
-    return models.build_models(inputs.targets(star), star, sectors=inputs.SECTORS)[1].summary
+    return models.build_models(inputs.targets(star), star, sectors=inputs.sector_names(star))[1].summary
 
 
 @over_star("equal_weights", 4)

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one in local mode without that setting."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """The session's checkpoint folder, which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="perfattr-"))
-        folder = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; removed when the application ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    files, path = _file_system(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; DataFrames that read them end with it."""
+    files, path = _file_system(spark, application_folder(spark))
+    files.delete(path, True)
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write an intermediate table to the shared folder and go on from there."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

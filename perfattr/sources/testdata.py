@@ -11,7 +11,6 @@ calendar lookup.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.sources.star import Star, read_star, write_star
-from perfattr.sources.storage import modification_stamp, shared_folder
+from perfattr.sources.storage import exists, modification_stamp, new_path
 
 PRICE_STEPS = 64
 RETURN_STEPS = 2**20
-WEIGHT_STEPS = 2**30
+WEIGHT_STEPS = 2**46
 
 
 def _grid(col: Column, steps: int) -> Column:
@@ -220,7 +219,7 @@ def derive(spark: SparkSession, sf_dir: str, market: DataFrame, buys: DataFrame)
     later = market.where(F.col("month") > first).withColumn("date", _month_start("month"))
     prior_value = F.col("prev_held") * F.col("prev_price")
     share = prior_value / F.sum(prior_value).over(W.partitionBy("date"))
-    weights = later.select("date", "security_id", _grid(share, WEIGHT_STEPS).alias("weight")).where("weight > 0")
+    weights = later.select("date", "security_id", _grid(share, WEIGHT_STEPS).alias("weight"))
     returns = later.select(
         "date", "security_id", _grid(F.col("price") / F.col("prev_price") - 1, RETURN_STEPS).alias("ret")
     )
@@ -251,8 +250,8 @@ def write_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str
     """Folder that `write` has filled, once per application and state of the raw tables."""
     stamps = [modification_stamp(spark, f"{sf_dir}/{table}.parquet") for table in _TABLES]
     key = (spark.sparkContext.applicationId, sf_dir, name, *stamps)
-    if key not in _written:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if key not in _written or not exists(spark, _written[key]):
+        path = new_path(spark, name)
         write(path)
         _written[key] = path
     return _written[key]

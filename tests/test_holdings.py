@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import day, weekdays
 from perfattr.operators import attribution, quality, returns
 from perfattr.operators.common import number_rows
-from perfattr.operators.holdings import import_holdings, unknown_sector_samples
+from perfattr.operators.holdings import import_holdings, unknown_sectors
 from perfattr.sources.schemas import GICS_SECTORS
 
 DAYS = weekdays(day("2024-01-02"), 60)
@@ -100,8 +100,8 @@ def test_every_rule_rejects(spark, universe):
     }
     assert [(r.account, r.name) for r in batch.summary.collect()] == [("good", "Good one")]
     assert batch.deltas["positions_daily"].count() == 20 and batch.deltas["portfolios"].count() == 1
-    samples = unknown_sector_samples(frame(spark, rows), GICS_SECTORS).collect()
-    assert [(r.account, r.sector) for r in samples] == [("sector", "Petroleum")]
+    found = unknown_sectors(frame(spark, rows), GICS_SECTORS).collect()
+    assert [(r.account, r.sector) for r in found] == [("sector", "Petroleum")]
 
 
 def one_ticker(account, claims):
