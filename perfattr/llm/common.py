@@ -7,7 +7,6 @@ import io
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -16,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfattr.sources.storage import shared_folder
+from perfattr.sources.storage import new_path as scratch
+from perfattr.sources.storage import stored
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
     """
     context = spark.sparkContext
     if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "1000")
     if getattr(context, "_perfattr_shipped", False):
         return
     packed = io.BytesIO()
@@ -50,22 +50,6 @@ def ship(spark: SparkSession) -> None:
     context._perfattr_shipped = True
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write an intermediate table to the shared folder and go on from there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,6 +36,8 @@ SKETCH_BITS = 512
 SLACK = 0.3
 #: The same of the finer sketches for nodes that a pivot did not settle.
 FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 4096, 0.1
+#: Pairs of one node that a task compares in a row.
+PART = 128
 
 _PERMUTED = 1 << 18
 
@@ -111,23 +113,6 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SETS = "row long, doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
-class _Last:
-    """The shingle set of the last few texts, as the rows of a pivot come one after another."""
-
-    def __init__(self):
-        self.sets: dict[int, np.ndarray] = {}
-
-    def of(self, key: int, text: pa.Scalar) -> np.ndarray:
-        if key not in self.sets:
-            if len(self.sets) >= 4:
-                self.sets.pop(next(iter(self.sets)))
-            data, offsets = text_bytes(pa.array([text.as_py()], pa.large_string()))
-            data = words.lower(data)
-            starts, ends = words.spans(data, offsets, words.NOT_SPACE)
-            self.sets[key] = shingle_set(words.hashes(data, starts, ends), 0, len(starts))
-        return self.sets[key]
-
-
 def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
         data, offsets = text_bytes(batch.column("text"))
@@ -144,17 +129,26 @@ def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets are similar; the rows of a pivot follow its own, which has no `a`."""
     least, of = THRESHOLD
-    last = _Last()
+    pivot = np.zeros(0, np.uint64)
     for batch in batches:
         pairs = []
-        for k in range(batch.num_rows):
-            a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()
-            right = last.of(b, batch.column("b_text")[k])
-            left = last.of(a, batch.column("a_text")[k])
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if of * both >= least * (len(left) + len(right) - both):
-                pairs.append((a, b))
+        for part in slices([batch], "text", 1 << 20):
+            data, offsets = text_bytes(part.column("text"))
+            data = words.lower(data)
+            starts, ends = words.spans(data, offsets, words.NOT_SPACE)
+            found = words.hashes(data, starts, ends)
+            bounds = words.rows_of(starts, offsets)
+            nodes = zip(part.column("a").to_pylist(), part.column("b").to_pylist())
+            for (a, b), first, after in zip(nodes, bounds, bounds[1:]):
+                own = shingle_set(found, first, after)
+                if a is None:
+                    pivot = own
+                    continue
+                both = len(np.intersect1d(own, pivot, assume_unique=True))
+                if of * both >= least * (len(own) + len(pivot) - both):
+                    pairs.append((a, b))
         yield pa.RecordBatch.from_arrays(
             [pa.array([p[j] for p in pairs], pa.int64()) for j in range(2)], ["a", "b"]
         )
@@ -185,9 +179,21 @@ def _texts(nodes: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar; b may be the same in many pairs."""
-    both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
-    return stored(both.select("a", "b", "a_text", "b_text").mapInArrow(_confirmed, "a long, b long"), "links")
+    """The stored pairs (a, b) of nodes whose full sets are similar; b may be the same in many pairs.
+
+    Pairs are dealt by b in parts of about `PART`; the text of b goes to each part once.
+    """
+    parts = F.ceil(F.count("*") / PART).cast("long").alias("parts")
+    sizes = stored(pairs.groupBy("b").agg(parts), "sizes")
+    members = pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    members = members.select("a", "b", "part").join(texts.toDF("a", "text"), "a")
+    pivots = sizes.join(texts.toDF("b", "text"), "b")
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = members.select("a", "b", "part", "text").unionByName(
+        pivots.select(F.lit(None).cast("long").alias("a"), "b", "part", "text")
+    )
+    dealt = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return stored(dealt.select("a", "b", "text").mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
