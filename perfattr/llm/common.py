@@ -54,6 +54,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """`row` (all columns in one), `id` and `key` (a hash of the text): no column of the table can clash."""
+    return documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.col(f"`{id_column}`").cast("long").alias("id"),
+        F.xxhash64(F.col(f"`{text_column}`")).alias("key"),
+    )
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of `row` again, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

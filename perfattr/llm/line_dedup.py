@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfattr.llm.common import stored
+from perfattr.llm.common import keyed, stored, unpacked
 from perfattr.llm.components import components
 
 EDITS = 2
@@ -28,23 +28,43 @@ COPY_SHARE = 0.5
 LETTERS = "enirtasodhlucmgk"
 
 
-def _segment(length: Column, i: int, of: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line; the last ones are a character longer if need be."""
-    base = F.floor(length / of).cast("int")
-    short = F.lit(of) - F.pmod(length, F.lit(of))
-    return i * base + F.greatest(F.lit(0), i - short), base + (F.lit(i) >= short).cast("int")
+def _parts(rest: int, edits: int) -> list[tuple[int, int, int]]:
+    """Of a line of n = (edits + 1) * base + rest characters, the substrings that may be a segment of a line
+    within `edits` and not longer: (i, a, b) for segment i, i * base + a characters in, base + b characters long.
 
+    Segments of a line have base characters, the last `rest` one more. An unchanged segment i of a line that is
+    `less` characters shorter has moved by no more than the i edits that fit before it, and seen from the end by
+    no more than those that fit behind it.
+    """
+    of = edits + 1
+    found = set()
+    for less in range(of):
+        down, odd = divmod(rest - less, of)
+        for i in range(of):
+            late = i - (of - odd)  # how many of the longer segments stand before this one, if not negative
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                found.add((i, i * down + max(0, late) + shift, down + (late >= 0)))
+    return sorted(found)
+
+
+def with_buckets(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """`line` and `buckets` of lines (line, text, chars): the hashes under which a line meets every line within
+    `edits` of it, if both have more characters than that."""
+    of = edits + 1
+    sized = lines.select(
+        "line", "text", F.expr(f"cast(chars div {of} as int)").alias("base"), F.expr(f"chars % {of}").alias("rest")
+    )
 
-def buckets(line: Column, edits: int = EDITS) -> Column:
-    """Hashes under which a line meets every line within `edits` of it, if both have more characters than edits."""
-    n = F.length(line)
-    found = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(n - shorter, i, edits + 1)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                found.append(F.xxhash64(F.lit(i), F.substring(line, start + (shift + 1), size)))
-    return F.array_distinct(F.array(*found))
+    def hashes(rest: int) -> Column:
+        base = F.col("base")
+        return F.array(
+            *[F.xxhash64(F.lit(i), F.substring("text", i * base + (a + 1), base + b)) for i, a, b in _parts(rest, edits)]
+        )
+
+    found = hashes(0)
+    for rest in range(1, of):
+        found = F.when(F.col("rest") == rest, hashes(rest)).otherwise(found)
+    return sized.select("line", found.alias("buckets"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -187,9 +207,8 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     """`node` (xxhash64 of a line) and `component` of all lines that are linked with another text."""
-    # The hash is computed once per row before it is exploded.
-    each = lines.select("line", buckets(F.col("text"), edits).alias("buckets"))
-    each = each.select("line", F.explode("buckets").alias("bucket"))
+    # The outer form: the other one would add a filter that computes the array twice.
+    each = with_buckets(lines, edits).select("line", F.explode_outer("buckets").alias("bucket"))
     pivots = each.groupBy("bucket").agg(F.min("line").alias("pivot"), F.max("line").alias("last"))
     pivots = stored(pivots.where("pivot < last").select("bucket", "pivot"), "pivots")
     shared = stored(each.join(pivots, "bucket").distinct(), "shared")
@@ -265,7 +284,7 @@ def repeated_lines(
         "doc_id", "text_key", "line_no", "chars", "line", F.xxhash64(F.lit(1), "text").alias("second")
     )
     places = stored(places.distinct(), "places")
-    near = near_lines(compared.select("line", "text"), edits=edits)
+    near = near_lines(compared.select("line", "text", "chars"), edits=edits)
     named = places.join(near.withColumnRenamed("node", "line"), "line", "left").select(
         "doc_id",
         "text_key",
@@ -312,14 +331,10 @@ def without_repeated_lines(
 ) -> DataFrame:
     """The documents with the removed lines taken out of their text; all rows and columns stay."""
     found = repeated_lines(documents, id_column=id_column, text_column=text_column, **options)
-    cut = found.where("n_removed > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed").alias("__removed")
-    )
-    cut = stored(cut.distinct(), "removed")
-    rows = documents.withColumn("__key0", F.xxhash64(F.col(f"`{text_column}`")))
-    same = rows[id_column].cast("long").eqNullSafe(cut["__id"]) & (rows["__key0"] == cut["__key"])
-    lines = F.split(F.col(f"`{text_column}`"), "\n")
-    kept = F.filter(lines, lambda _, k: ~F.array_contains(F.col("__removed"), k))
-    text = F.when(F.col("__removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"`{text_column}`"))
-    columns = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in documents.columns]
-    return rows.join(cut, same, "left").select(*columns)
+    cut = stored(found.where("n_removed > 0").select("doc_id", "text_key", "removed").distinct(), "removed")
+    rows = keyed(documents, id_column, text_column)
+    rows = rows.join(cut, (rows.key == cut.text_key) & rows.id.eqNullSafe(cut.doc_id), "left")
+    whole = F.col("row").getField(text_column)
+    kept = F.filter(F.split(whole, "\n"), lambda _, k: ~F.array_contains(F.col("removed"), k))
+    text = F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(whole)
+    return unpacked(rows, documents.columns, **{text_column: text})

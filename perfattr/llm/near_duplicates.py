@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfattr.llm import words
-from perfattr.llm.common import ship, slices, stored, text_bytes
+from perfattr.llm.common import keyed, ship, slices, stored, text_bytes, unpacked
 from perfattr.llm.components import components
 
 SHINGLE = 5
@@ -296,12 +296,11 @@ def deduplicated(documents: DataFrame, *, id_column: str = "doc_id", text_column
     first = found.where("n_shingles > 0 and kept").groupBy(F.col("component_id")).agg(
         F.min(F.struct("text_key")).alias("least"), F.count("*").alias("n")
     )
-    first = first.select(F.col("component_id").alias("__id"), F.col("least.text_key").alias("__key"), "n")
-    first = stored(first, "first")
-    empty = found.where("n_shingles = 0").select("text_key").distinct().withColumnRenamed("text_key", "__key")
-    rows = documents.withColumn("__key", F.xxhash64(F.col(f"`{text_column}`")))
-    same = rows["__key"].eqNullSafe(first["__key"]) & rows[id_column].cast("long").eqNullSafe(first["__id"])
+    first = stored(first.select("component_id", "least.text_key", "n"), "first")
+    empty = stored(found.where("n_shingles = 0").select(F.col("text_key").alias("key")).distinct(), "empty")
+    rows = keyed(documents, id_column, text_column)
+    same = (rows.key == first.text_key) & rows.id.eqNullSafe(first.component_id)
     single = rows.join(first.where("n = 1"), same, "left_semi")
-    several = rows.join(first.where("n > 1"), same, "left_semi").dropDuplicates([id_column, "__key"])
-    blank = rows.join(stored(empty, "empty"), "__key", "left_semi").select(*rows.columns)
-    return single.unionByName(several).unionByName(blank).drop("__key")
+    several = rows.join(first.where("n > 1"), same, "left_semi").dropDuplicates(["id", "key"])
+    blank = rows.join(empty, "key", "left_semi")
+    return unpacked(single.unionByName(several).unionByName(blank), documents.columns)

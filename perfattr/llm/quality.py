@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfattr.llm.common import bounded_sample, ship, slices, stored, text_bytes
+from perfattr.llm.common import bounded_sample, keyed, ship, slices, stored, text_bytes, unpacked
 from perfattr.llm.hashed import grams
 
 BUCKETS = 1 << 14
@@ -174,9 +174,7 @@ def selection(
 def selected(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options):
     """The documents that stay, with all their columns."""
     found = selection(documents, labels, id_column=id_column, text_column=text_column, **options)
-    kept = stored(
-        found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "kept"
-    )
-    rows = documents.withColumn("__key", F.xxhash64(F.col(f"`{text_column}`")))
-    same = (rows["__key"] == kept["__key"]) & rows[id_column].cast("long").eqNullSafe(kept["__id"])
-    return rows.join(kept, same, "left_semi").drop("__key")
+    kept = stored(found.where("kept").select("doc_id", "text_key").distinct(), "kept")
+    rows = keyed(documents, id_column, text_column)
+    same = (rows.key == kept.text_key) & rows.id.eqNullSafe(kept.doc_id)
+    return unpacked(rows.join(kept, same, "left_semi"), documents.columns)

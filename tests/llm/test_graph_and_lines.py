@@ -120,7 +120,7 @@ def families(seed):
     return out + [(1, None), (2, ""), (4, " \t\n"), (5, "one"), (6, "ONE"), (8, "two words"), (9, "two  words")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_near_duplicates_equal_brute_force(spark, seed):
     texts = families(seed)
     sets, smallest = plain_components(texts)
@@ -129,7 +129,7 @@ def test_near_duplicates_equal_brute_force(spark, seed):
         k: (len(sets[k]), smallest[k], smallest[k] == k) for k, _ in texts
     }
     kept = near_duplicates.deduplicated(spark.createDataFrame(rows_of(texts), SCHEMA))
-    assert kept.columns == ["doc_id", "text", "node", "row", "__key"][: len(kept.columns)]
+    assert kept.columns == ["doc_id", "text", "node", "row", "__key"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, _ in texts if smallest[k] == k)
 
 
@@ -191,7 +191,7 @@ def line_documents(seed):
     return docs + [(100, None), (101, ""), (102, "\n\n"), (103, docs[0][1]), (104, "x" * 70_000)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_repeated_lines_equal_brute_force(spark, seed):
     docs = line_documents(seed)
     texts = sorted({x for _, t in docs if t for x in t.split("\n") if len(x) >= 20})
@@ -284,7 +284,7 @@ def benchmark_case(seed):
     return [*texts, (50, None), (51, ""), (52, "Lonely, PHRASE here!"), (53, texts[0][1])], items
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_contamination_equals_brute_force(spark, seed, block_bytes):
     texts, items = benchmark_case(seed)
