@@ -73,10 +73,8 @@ def main() -> None:
         return risk.risk_summary(days, periods_per_year=P)
 
     headline = {
-        "attribution_period": lambda: attribution.attribution_period(attribution.attribution_daily(star)),
-        "attribution_period_bucketed": lambda: attribution.attribution_period(
-            attribution.attribution_daily(bucketed)
-        ),
+        "attribution_period": lambda: attribution.attribution_over_period(star),
+        "attribution_period_bucketed": lambda: attribution.attribution_over_period(bucketed),
         "attribution_linked": lambda: linked(star),
         "contribution": lambda: contribution.contributions(star),
         "risk_summary": lambda: risk_summary(star),
@@ -90,7 +88,7 @@ def main() -> None:
         run(REGISTRY[name](spark, SF_DIR))
         seconds[name] = time.perf_counter() - started
 
-    best = min(seconds["attribution_period"], seconds["attribution_period_bucketed"])
+    best = seconds["attribution_period"]  # over plain Parquet; the bucketed layout stands beside it
     print(
         json.dumps(
             {

@@ -8,7 +8,7 @@ Spark before the run whether they can be broadcast.  Everything after the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -172,3 +172,57 @@ def attribution_period(daily: DataFrame) -> DataFrame:
         )
         .withColumn("total", F.col("allocation") + F.col("selection") + F.col("interaction"))
     )
+
+
+def attribution_over_period(
+    star: Star,
+    start: Day = None,
+    end: Day = None,
+    portfolios: Portfolios = None,
+    bounded_lookback: bool = False,
+) -> DataFrame:
+    """The same as `attribution_period` over all benchmark dates, without a row per portfolio and day.
+
+    An unheld sector has an allocation effect only, -wb * (rb_i - rb), so the part of the
+    allocation that depends on the benchmark alone is one sum per sector; the rest are sums
+    over held rows.
+    """
+    held = portfolio_sectors(star, start, end, portfolios, bounded_lookback)
+    bench = benchmark_sectors(star, start, end)
+    wb, rb_i, rb = (F.col(c) for c in ("wb", "rb_i", "rb_total"))
+    wp, rp = F.coalesce("wp", F.lit(0.0)), F.coalesce("rp", rb_i)
+    own = (
+        held.join(bench, ["date", "sector"])
+        .groupBy("portfolio_id", "sector")
+        .agg(
+            F.sum(wp).alias("wp"),
+            F.sum(wp * (rb_i - rb)).alias("held"),
+            F.sum(m.selection_effect(wb, rp, rb_i)).alias("selection"),
+            F.sum(m.interaction_effect(wp, wb, rp, rb_i)).alias("interaction"),
+        )
+    )
+    by_sector = bench.groupBy("sector").agg(
+        F.count("*").alias("n_days"),
+        F.avg("wb").alias("avg_wb"),
+        F.sum(wb * (rb_i - rb)).alias("market"),
+    )
+    sectors = by_sector.agg(F.collect_list(F.struct("sector", "n_days", "avg_wb", "market")).alias("sectors")).scalar()
+    ids = pick_portfolios(star.portfolios.select("portfolio_id"), portfolios)
+    every = ids.withColumn("sectors", sectors).select("portfolio_id", F.inline("sectors"))
+
+    def or_zero(name: str) -> Column:
+        return F.coalesce(name, F.lit(0.0))
+
+    return (
+        every.join(own, ["portfolio_id", "sector"], "left")
+        .select(
+            "portfolio_id",
+            "sector",
+            F.try_divide(or_zero("wp"), "n_days").alias("avg_wp"),
+            "avg_wb",
+            (or_zero("held") - F.col("market")).alias("allocation"),
+            or_zero("selection").alias("selection"),
+            or_zero("interaction").alias("interaction"),
+        )
+        .withColumn("total", F.col("allocation") + F.col("selection") + F.col("interaction"))
+    )

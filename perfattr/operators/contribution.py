@@ -24,9 +24,10 @@ def contributions(
     held = weight_basis(star, start, end, portfolios).join(
         in_range(star.benchmark_returns, start, end), ["security_id", "date"]
     )
-    total = F.sum("basis").over(W.partitionBy("portfolio_id", "date"))
+    # Day totals are combined before they are shuffled; the prior-close exchange serves both branches.
+    totals = held.groupBy("portfolio_id", "date").agg(F.sum("basis").alias("total"))
     by_security = (
-        held.withColumn("total", total)
+        held.join(totals, ["portfolio_id", "date"])
         .groupBy("portfolio_id", "security_id")
         .agg(F.sum(F.try_divide(F.col("basis") * F.col("ret"), F.col("total"))).alias("contribution"))
     )
@@ -40,23 +41,17 @@ def contributions(
 def top_bottom(contributed: DataFrame, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
     """Best and worst contributors per portfolio; the worst exclude the best.
 
-    Both ranks are cut at a small number, so Spark limits them before the shuffle.
+    Both come from one ranking of a portfolio's securities, so the contributions are read once.
     """
-    keys = ["portfolio_id"]
-    best_first = W.partitionBy(*keys).orderBy(F.col("contribution").desc(), "ticker", "sector")
-    worst_first = W.partitionBy(*keys).orderBy("contribution", F.desc("ticker"), F.desc("sector"))
-    best = (
-        contributed.withColumn("rank", F.row_number().over(best_first))
-        .where(F.col("rank") <= top)
-        .withColumn("side", F.lit("top"))
+    whole = W.partitionBy("portfolio_id")
+    best_first = whole.orderBy(F.col("contribution").desc(), "ticker", "sector")
+    ranked = contributed.withColumn("place", F.row_number().over(best_first)).withColumn(
+        "n", F.count("*").over(whole)
     )
-    sizes = contributed.groupBy(*keys).agg(F.count("*").alias("n"))
-    worst = (
-        contributed.withColumn("rank", F.row_number().over(worst_first))
-        .where(F.col("rank") <= bottom)
-        .join(sizes, keys)
-        .where(F.col("rank") <= F.col("n") - top)
-        .drop("n")
-        .withColumn("side", F.lit("bottom"))
+    is_top = F.col("place") <= top
+    return (
+        ranked.where(is_top | (F.col("place") > F.col("n") - bottom))
+        .withColumn("rank", F.when(is_top, F.col("place")).otherwise(F.col("n") - F.col("place") + 1).cast("int"))
+        .withColumn("side", F.when(is_top, "top").otherwise("bottom"))
+        .drop("place", "n")
     )
-    return best.unionByName(worst)

@@ -185,6 +185,15 @@ def _with_faults(rows: DataFrame, sectors: list[str]) -> DataFrame:
 # -- models ---------------------------------------------------------------------------
 
 WEIGHT_STEPS = 2**20
+# Sector names of the public standard, four of them with a short label.
+LONG_SECTORS = (
+    "Information Technology",
+    "Communication Services",
+    "Consumer Discretionary",
+    "Consumer Staples",
+    "Energy",
+    "Utilities",
+)
 #: The limit that the broken targets are checked against.
 MAX_HOLDINGS = 150
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.functions import measures as m
-from perfattr.operators import attribution, calendar, contribution, linking, models, returns, risk
+from perfattr.operators import attribution, calendar, contribution, linking, models, quality, returns, risk
 from perfattr.operators.common import Day, Portfolios, as_date
 from perfattr.sources.star import Star, portfolio_names
+from perfattr.sources.storage import stored
 
 
 def performance_summary(
@@ -223,8 +224,14 @@ def weights_matrix(weekly: DataFrame) -> DataFrame:
 def export_marts(
     star: Star, path: str, periods_per_year: int = m.PERIODS_PER_YEAR, mode: str = "errorifexists"
 ) -> None:
-    """Write the dashboard tables as JSON lines, one document per portfolio."""
-    daily = attribution.attribution_daily(star, within_lifespan=True)
+    """Write the dashboard tables as JSON lines, one document per portfolio.
+
+    Rows with a figure that is NULL, NaN or infinite are refused before anything is written.
+    """
+    daily = stored(attribution.attribution_daily(star, within_lifespan=True))
+    figures = ["wp", "wb", "rp", "rb_i", "rb_total", "allocation", "selection", "interaction"]
+    if not quality.non_finite(daily, figures).isEmpty():
+        raise ValueError("the daily effects hold figures that are not finite")
     tables = {
         "market": market_context(star),
         "sectors": sector_labels(star),

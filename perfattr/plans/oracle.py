@@ -7,7 +7,7 @@ windows and stored steps.
 
 from __future__ import annotations
 
-from perfattr.plans.inputs import MAX_HOLDINGS
+from perfattr.plans.inputs import LONG_SECTORS, MAX_HOLDINGS
 from perfattr.plans.inputs import PERIODS_PER_YEAR as P
 from perfattr.plans.queries import WINDOW
 
@@ -511,6 +511,17 @@ def oracle() -> dict[str, str]:
         "attribution_picked_portfolios": sql(effects(), period_select(
             where="WHERE portfolio_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")),
         "attribution_period": sql(effects(), period_select()),
+        "attribution_period_sold_out": sql(effects(positions="""(
+            SELECT s.* FROM sold_out s JOIN securities USING (security_id) JOIN sector_ranks USING (sector)
+            WHERE srank <> portfolio_id % (SELECT count(*) FROM sector_ranks))"""), period_select()),
+        "weights_matrix": sql(alive + "," + WEEKLY, """
+          SELECT portfolio_id, week_start, sector, string_agg(format('{:.5f}', wp), ',' ORDER BY week) AS weights
+          FROM weekly GROUP BY ALL"""),
+        "sector_labels_gics": sql("", f"""
+          SELECT name AS sector, CASE name WHEN 'Information Technology' THEN 'Info Tech'
+              WHEN 'Communication Services' THEN 'Comm. Svcs.' WHEN 'Consumer Discretionary' THEN 'Cons. Disc.'
+              WHEN 'Consumer Staples' THEN 'Cons. Staples' ELSE name END AS label
+          FROM (SELECT [{", ".join(f"'{name}'" for name in LONG_SECTORS)}][srank + 1] AS name FROM sector_ranks)"""),
         "attribution_lifespan": sql(short, daily_select()),
         "lifespan": sql("", """SELECT portfolio_id, a AS first_position, z AS last_position, min(date) AS first_day,
             max(date) AS last_day, CAST(count(date) AS INT) AS n_days

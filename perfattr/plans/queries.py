@@ -23,6 +23,7 @@ from perfattr.plans import inputs, marts
 from perfattr.sources import star as stars
 from perfattr.sources import testdata
 from perfattr.sources.star import Star
+from perfattr.sources.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -170,7 +171,7 @@ def attribution_window(star: Star) -> DataFrame:
 
 @over_star("attribution_bounded_lookback")
 def attribution_bounded_lookback(star: Star) -> DataFrame:
-    return att.attribution_period(att.attribution_daily(star, *WINDOW, bounded_lookback=True))
+    return att.attribution_over_period(star, *WINDOW, bounded_lookback=True)
 
 
 REGISTRY["attribution_picked_portfolios"] = lambda spark, sf_dir: rounded(
@@ -187,7 +188,12 @@ REGISTRY["attribution_picked_portfolios"] = lambda spark, sf_dir: rounded(
 
 @over_star("attribution_period")
 def attribution_period(star: Star) -> DataFrame:
-    return att.attribution_period(att.attribution_daily(star))
+    return att.attribution_over_period(star)
+
+
+@over_star("attribution_period_sold_out")
+def attribution_period_sold_out(star: Star) -> DataFrame:
+    return att.attribution_over_period(inputs.sold_out(inputs.tilted(star)))
 
 
 @over_star("attribution_lifespan")
@@ -355,10 +361,26 @@ def week_readout_short_lived(star: Star) -> DataFrame:
     return week_readout(inputs.short_lived(star))
 
 
+@over_star("weights_matrix")
+def weights_matrix(star: Star) -> DataFrame:
+    """The nested weekly weights, a row per portfolio and sector, as text."""
+    rows = marts.weights_matrix(weekly_weights(star)).select("portfolio_id", "week_start", F.inline("sectors"))
+    weights = F.array_join(F.transform("weights", lambda w: F.format_string("%.5f", w)), ",")
+    return rows.withColumn("weights", weights)
+
+
+@over_star("sector_labels_gics")
+def sector_labels_gics(star: Star) -> DataFrame:
+    """The part types under names of the public sector standard."""
+    names = dict(zip(inputs.sector_names(star), inputs.LONG_SECTORS))
+    named = star.securities.replace(names, subset="sector")
+    return marts.sector_labels(replace(star, securities=named))
+
+
 @over_star("portfolio_detail")
 def portfolio_detail(star: Star) -> DataFrame:
     """The nested documents as JSON text."""
-    detail = marts.portfolio_detail(star, att.attribution_daily(star, within_lifespan=True), P)
+    detail = marts.portfolio_detail(star, stored(att.attribution_daily(star, within_lifespan=True)), P)
     nested = [c for c in detail.columns if c not in ("portfolio_id", "name")]
     return detail.select("portfolio_id", "name", F.to_json(F.struct(*nested)).alias("document"))
 
