@@ -214,7 +214,8 @@ def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     shared = stored(each.join(pivots, "bucket").distinct(), "shared")
     involved = stored(shared.select("line").distinct(), "involved")
     # Lines of one hash are one text; grouped by another hash, so that copies are reduced before the shuffle.
-    texts = lines.select("line", "text").join(involved, "line", "left_semi")
+    # The same plan at every size: how many lines are involved follows the corpus.
+    texts = lines.select("line", "text").join(involved.hint("merge"), "line", "left_semi")
     texts = texts.groupBy(F.xxhash64("line", F.lit("text"))).agg(
         F.any_value("line").alias("line"), F.any_value("text").alias("text")
     )

@@ -171,7 +171,8 @@ def _texts(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """`node` and `text` of nodes with a `text_key`."""
     # Equal keys are equal texts. Grouped by another hash, copies are reduced before the next
     # shuffle, and a key with many copies can be split in this one.
-    texts = documents.join(nodes.select("text_key"), "text_key", "left_semi")
+    # The same plan at every size: how many nodes share a bucket follows the corpus.
+    texts = documents.join(nodes.select("text_key").hint("merge"), "text_key", "left_semi")
     texts = texts.groupBy(F.xxhash64("text_key", F.lit("text"))).agg(
         F.any_value("text_key").alias("text_key"), F.any_value("text").alias("text")
     )
