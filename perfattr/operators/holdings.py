@@ -144,6 +144,12 @@ def empty_accounts(accounts: DataFrame, claims: DataFrame) -> DataFrame:
     ).select("account", F.lit("no_rows").alias("rule"), F.lit(1).cast("long").alias("n"))
 
 
+def repeated_accounts(accounts: DataFrame) -> DataFrame:
+    """Accounts that are named more than once; their name would be ambiguous."""
+    counts = accounts.groupBy("account").agg((F.count("*") - 1).alias("k"))
+    return _violation(counts, "repeated_account", F.col("k"))
+
+
 def _contested(claims: DataFrame) -> DataFrame:
     """Tickers claimed with more than one sector."""
     sectors = claims.groupBy("ticker").agg(F.min("sector").alias("lo"), F.max("sector").alias("hi"))
@@ -215,7 +221,7 @@ def find_violations(
         .unionByName(master_conflicts(claims, star.securities))
     )
     if accounts is not None:
-        found = found.unionByName(empty_accounts(accounts, claims))
+        found = found.unionByName(empty_accounts(accounts, claims)).unionByName(repeated_accounts(accounts))
     found = stored(found)
     return found.unionByName(_earlier_claim_conflicts(claims, found, star.securities))
 

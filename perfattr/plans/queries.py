@@ -20,10 +20,11 @@ from perfattr.operators import contribution as con
 from perfattr.operators import holdings as imp
 from perfattr.operators import linking, models, quality, returns, risk
 from perfattr.plans import inputs, marts
+from perfattr.sources import batches, testdata
 from perfattr.sources import star as stars
-from perfattr.sources import testdata
+from perfattr.sources.holdings_csv import read_holdings
 from perfattr.sources.star import Star
-from perfattr.sources.storage import stored
+from perfattr.sources.storage import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -530,6 +531,32 @@ def _imported_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY["import_attribution"] = _imported_attribution
 
 
+@over_import("published_positions", 4)
+def published_positions(batch: imp.ImportBatch) -> DataFrame:
+    """Positions and cash flows of the import, published and read back."""
+    spark = batch.violations.sparkSession
+    root = new_path(spark, "published")
+    batches.publish(spark, batch.deltas, root, "import", base=0)
+    star = batches.read_published(spark, root)
+    flows = star.transactions.groupBy("portfolio_id", "date").agg(F.sum("amount").alias("cf"))
+    return (
+        star.positions_daily.groupBy("portfolio_id", "date")
+        .agg(F.count("*").alias("n"), F.sum("market_value").alias("market_value"))
+        .join(flows, ["portfolio_id", "date"], "left")
+    )
+
+
+def _holdings_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdings as delivered: written as CSV, a folder per account, and read with their types."""
+    path = new_path(spark, "csv")
+    rows = inputs.holdings(spark, sf_dir).repartition("account")
+    rows.write.option("header", True).partitionBy("account").csv(path)
+    return rounded(read_holdings(spark, path), 6)
+
+
+REGISTRY["holdings_from_csv"] = _holdings_from_csv
+
+
 # -- models ---------------------------------------------------------------------------------
 
 

@@ -11,28 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from perfattr.sources import schemas
-from perfattr.sources.star import Star
+from perfattr.sources.star import Star, write_table
 from perfattr.sources.storage import exists
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, batch_id: str) -> None:
+def version(spark: SparkSession, root: str) -> int:
+    """Number of published batches: what an import was made against."""
+    done = _published(spark, root)
+    return 0 if done is None else done.count()
+
+
+def publish(
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, batch_id: str, base: int | None = None
+) -> None:
     """Store a full star or the rows of an import as one batch.
 
-    A batch that failed before is written anew; a published one must not be.
+    A batch that failed before is written anew; a published one must not be.  Ids are
+    minted against what was published, so an import gives the `version` it read as
+    `base`; it is refused if another batch has come since.
     """
     done = _published(spark, root)
     if done is not None and not done.where(done.batch_id == batch_id).isEmpty():
         raise ValueError(f"batch {batch_id} is already published")
+    _check_base(spark, root, base)
     for name, table in tables.items():
-        rows = table.select(*schemas.STAR[name].fieldNames())
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(
-            f"{root}/{name}/batch_id={batch_id}"
-        )
+        write_table(table, name, f"{root}/{name}/batch_id={batch_id}", "overwrite")
+    _check_base(spark, root, base)
     spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("append").parquet(
         f"{root}/published"
     )
 
 
+def _check_base(spark: SparkSession, root: str, base: int | None) -> None:
+    found = version(spark, root)
+    if base is not None and found != base:
+        raise ValueError(f"the batch was made against version {base}, but {found} is published")
+
+
 def _published(spark: SparkSession, root: str) -> DataFrame | None:
     if not exists(spark, f"{root}/published"):
         return None

@@ -47,13 +47,17 @@ def read_star(spark: SparkSession, path: str) -> Star:
     )
 
 
+def write_table(table: DataFrame, name: str, path: str, mode: str = "errorifexists") -> None:
+    """Write one table as ZSTD Parquet, the fact clustered by its series."""
+    table = table.select(*schemas.STAR[name].fieldNames())
+    if name == "positions_daily":
+        table = table.repartitionByRange(*FACT_KEYS).sortWithinPartitions(*FACT_KEYS, "date")
+    table.write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 def write_star(star: Star, path: str, mode: str = "errorifexists") -> None:
-    """Write all tables as ZSTD Parquet, the fact clustered by its series."""
     for name, table in star.tables().items():
-        table = table.select(*schemas.STAR[name].fieldNames())
-        if name == "positions_daily":
-            table = table.repartitionByRange(*FACT_KEYS).sortWithinPartitions(*FACT_KEYS, "date")
-        table.write.mode(mode).option("compression", "zstd").parquet(f"{path}/{name}")
+        write_table(table, name, f"{path}/{name}", mode)
 
 
 def write_bucketed_positions(
@@ -61,7 +65,8 @@ def write_bucketed_positions(
 ) -> None:
     """Save the fact as a table bucketed by its series and sorted by date.
 
-    Prior-close windows over such a table need no shuffle.  Choose `buckets` so
+    Prior-close windows over such a table need no shuffle, if the session trusts a
+    bucket's single file to be sorted (`spark.sql.legacy.bucketedTableScan.outputOrdering`).  Choose `buckets` so
     that one bucket fits a task; rows are first moved to their bucket so every
     bucket is a single file.
     """
