@@ -237,10 +237,10 @@ def model_holdings(weights: DataFrame, star: Star) -> DataFrame:
 
 
 def checked_weights(
-    targets: DataFrame, star: Star, models: DataFrame | None = None
+    targets: DataFrame, star: Star, models: DataFrame | None = None, max_holdings: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Target violations and the weights of the valid models, both stored."""
-    violations = stored(target_violations(targets, star, models))
+    violations = stored(target_violations(targets, star, models, max_holdings))
     return violations, stored(model_weights(targets, violations))
 
 

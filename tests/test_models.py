@@ -89,7 +89,7 @@ def test_target_rules(spark, universe):
         + [("good", "SEC001", 99.95, "NONE")]
     )
     known = spark.createDataFrame([(m,) for m in ("empty", "good")], "model string")
-    violations, weights = models.checked_weights(targets(spark, rows), universe, known)
+    violations, weights = models.checked_weights(targets(spark, rows), universe, known, max_holdings=50)
     found = {(r.model, r.rule) for r in violations.collect()}
     assert found == {
         ("unknown", "unknown_ticker"), ("sum", "weights_off_sum"), ("twice", "duplicate_ticker"),
