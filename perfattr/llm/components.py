@@ -14,23 +14,22 @@ def components(edges: DataFrame) -> DataFrame:
     edges: `a`, `b`, longs in no meaningful order, as the number of rounds then grows with the
     logarithm of the longest chain. In each round every group joins its smallest neighbour and
     the edges move to the joined groups. Only min and distinct run over the edges of a node, both
-    with partial aggregation; every round's tables are stored, so no lineage grows.
+    with partial aggregation; every round's tables are stored, and the labels follow them in the end.
     """
-    live = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
-    labels = stored(
-        live.select("a").union(live.select("b")).distinct().toDF("node").withColumn("component", F.col("node")), "labels"
-    )
+    first = live = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
+    rounds = []
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         joins = both.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("least"))
         joins = stored(joins.select("old", F.least("old", "least").alias("new")), "joins")
-        labels = stored(
-            labels.join(joins, labels.component == joins.old, "left").select(
-                "node", F.coalesce("new", "component").alias("component")
-            ),
-            "labels",
-        )
+        rounds.append(joins)
         left, right = joins.toDF("a", "x"), joins.toDF("b", "y")
         moved = live.join(left, "a").join(right, "b").where("x != y")
         live = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return labels
+    nodes = first.select("a").union(first.select("b")).distinct().toDF("node")
+    labels = nodes.withColumn("component", F.col("node"))
+    for joins in rounds:
+        labels = labels.join(joins, labels.component == joins.old, "left").select(
+            "node", F.coalesce("new", "component").alias("component")
+        )
+    return stored(labels, "labels")
