@@ -34,8 +34,11 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: How far below the threshold a sketch's estimate may lie: over five standard deviations.
 SLACK = 0.3
-#: The same of the finer sketches for nodes that a pivot did not settle.
-FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 4096, 0.1
+#: Finer sketches for nodes that a pivot did not settle. Up to this many shingles the parity bitmap is of the set
+#: itself: its XOR count never exceeds the number of shingles in which two sets differ, so no link is lost by it.
+FINE_BITS, WHOLE_SET = 4096, 2048
+#: Larger sets: as above, with more samples.
+FINE_SAMPLES, FINE_SLACK = 1024, 0.1
 #: Pairs of one node that a task compares in a row.
 PART = 128
 
@@ -62,7 +65,11 @@ def samples(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
 
 def odd_sketch(least: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity of the samples that fall on each bit, as signed 64-bit words."""
-    place = words.mixed(least + _odd(len(least), 0xE7037ED1A0B428DB)) % np.uint64(bits)
+    return parity_bits(least + _odd(len(least), 0xE7037ED1A0B428DB), bits)
+
+
+def parity_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    place = words.mixed(values) % np.uint64(bits)
     parity = np.bincount(place.astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(bool), bitorder="little").view("<i8")
 
@@ -120,11 +127,17 @@ def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         starts, ends = words.spans(data, offsets, words.NOT_SPACE)
         found = words.hashes(data, starts, ends)
         bounds = words.rows_of(starts, offsets)
-        sketches = [
-            odd_sketch(samples(shingle_set(found, a, b), FINE_SAMPLES), FINE_BITS) for a, b in zip(bounds, bounds[1:])
-        ]
+        sizes, sketches = [], []
+        for first, after in zip(bounds, bounds[1:]):
+            own = shingle_set(found, first, after)
+            sizes.append(len(own))
+            if len(own) <= WHOLE_SET:
+                sketches.append(parity_bits(own, FINE_BITS))
+            else:
+                sketches.append(odd_sketch(samples(own, FINE_SAMPLES), FINE_BITS))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(sketches, pa.list_(pa.int64()))], ["node", "fine"]
+            [batch.column("node"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+            ["node", "n", "fine"],
         )
 
 
@@ -167,6 +180,24 @@ def _different_bits(a: str, b: str, bits: int) -> Column:
     return sum(counts[1:], counts[0])
 
 
+def _may_be_linked() -> Column:
+    """Whether the sizes a_n and b_n and the finer sketches of two nodes allow a link.
+
+    With s shingles in both sets, counted twice where shared, and d in which they differ, the similarity is
+    (s - d) / (s + d), so d is at most s * (of - least) / (of + least).
+    """
+    least, of = THRESHOLD
+    a, b = F.col("a_n"), F.col("b_n")
+    bits = _different_bits("a_fine", "b_fine", FINE_BITS)
+    most = most_different_bits(least / of - FINE_SLACK, FINE_SAMPLES, FINE_BITS)
+    by_sketch = (
+        F.when((a <= WHOLE_SET) & (b <= WHOLE_SET), bits * (of + least) <= (a + b) * (of - least))
+        .when((a > WHOLE_SET) & (b > WHOLE_SET), bits <= most)
+        .otherwise(True)
+    )
+    return (F.least(a, b) * of >= F.greatest(a, b) * least) & by_sketch
+
+
 def _texts(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """`node` and `text` of nodes with a `text_key`."""
     # Equal keys are equal texts. Grouped by another hash, copies are reduced before the next
@@ -251,19 +282,17 @@ def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str
     main = stored(main.where("groups > 1").select("bucket", "main"), "main")
     members = stored(placed.join(main, "bucket"), "members")
     open_ = stored(members.select("node").distinct(), "open")
-    fine = stored(texts.join(open_, "node", "left_semi").mapInArrow(_fine_sketches, "node long, fine array<long>"), "fine")
+    fine = texts.join(open_, "node", "left_semi").mapInArrow(_fine_sketches, "node long, n long, fine array<long>")
+    fine = stored(fine, "fine")
     members = stored(members.join(fine, "node"), "members")
-    left = members.where("component != main").select(
-        "bucket", F.col("node").alias("a"), F.col("component").alias("a_group"), F.col("fine").alias("a_fine")
-    )
-    right = members.select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("b_group"), "main", F.col("fine").alias("b_fine")
-    )
-    most = most_different_bits(THRESHOLD[0] / THRESHOLD[1] - FINE_SLACK, FINE_SAMPLES, FINE_BITS)
+    columns = {"node": "", "component": "_group", "n": "_n", "fine": "_fine"}
+    left = members.where("component != main")
+    left = left.select("bucket", *[F.col(c).alias(f"a{name}") for c, name in columns.items()])
+    right = members.select("bucket", "main", *[F.col(c).alias(f"b{name}") for c, name in columns.items()])
     rest = left.join(right, "bucket").where(
         (F.col("a_group") != F.col("b_group"))
         & ((F.col("b_group") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (_different_bits("a_fine", "b_fine", FINE_BITS) <= most)
+        & _may_be_linked()
     )
     rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if not rest.isEmpty():

@@ -157,6 +157,14 @@ def test_sketches_estimate_the_similarity():
     assert count <= near_duplicates.most_different_bits(700 / 900 - near_duplicates.SLACK)
 
 
+def test_parity_of_a_set_never_exceeds_the_difference():
+    draw = np.random.default_rng(5)
+    for n in (10, 200, 2000):
+        a, b = (draw.choice(3000, n, replace=False).astype(np.uint64) for _ in range(2))
+        xor = near_duplicates.parity_bits(np.unique(a), 4096) ^ near_duplicates.parity_bits(np.unique(b), 4096)
+        assert np.bitwise_count(xor.view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 # -- lines ---------------------------------------------------------------------------------------
 
 
