@@ -252,8 +252,11 @@ def _labeller(model):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, network = model.value
         for batch in slices(batches, "text", 1 << 20):
-            chance = pooled(network, *text_bytes(batch.column("text")), len(languages))
-            best = chance.argmax(axis=1) if languages else np.zeros(batch.num_rows, int)
+            if languages:
+                chance = pooled(network, *text_bytes(batch.column("text")), len(languages))
+            else:
+                chance = np.zeros((batch.num_rows, 1))
+            best = chance.argmax(axis=1)
             letters = batch.column("letters").to_pylist()
             known = [bool(x) and bool(languages) for x in letters]
             yield pa.RecordBatch.from_arrays(
