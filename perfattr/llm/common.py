@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import io
 import os
-import shutil
-import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -15,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfattr.sources.storage import application_folder
 from perfattr.sources.storage import new_path as scratch
 from perfattr.sources.storage import stored
 
@@ -41,12 +39,15 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.relpath(path, root))
-    folder = tempfile.mkdtemp(prefix="perfattr-code-")  # of the driver: executors fetch the file from there
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "perfattr_llm.zip")
-    with open(path, "wb") as out:
-        out.write(packed.getvalue())
-    context.addPyFile(path)
+    # In the shared folder, beside the intermediate tables: executors may come and go as long as the application runs.
+    jvm = context._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{application_folder(spark)}-code/perfattr_llm.zip")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    files.deleteOnExit(path.getParent())
+    context.addPyFile(str(files.makeQualified(path).toUri()))
     context._perfattr_shipped = True
 
 

@@ -45,7 +45,10 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def chunk_ends(
     data: np.ndarray, offsets: np.ndarray, bits: int = GEAR_BITS, least: int = LEAST_CHUNK, most: int = MOST_CHUNK
 ) -> np.ndarray:
-    """Ends of the chunks of all rows, ascending; every row's end is one (of empty rows, none)."""
+    """Ends of the chunks of all rows, ascending; every row's end is one (of empty rows, none).
+
+    They lie between characters.
+    """
     if not len(data):
         return np.zeros(0, np.int64)
     places = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1
@@ -54,16 +57,26 @@ def chunk_ends(
     places, row = places[inside], row[inside]
     near = np.zeros(len(places), bool)
     near[1:] = (np.diff(places) < least) & (row[1:] == row[:-1])
-    cuts = np.unique(np.concatenate([places[~near], offsets[1:][np.diff(offsets) > 0]]))
+    cuts = np.unique(np.concatenate([_at_characters(data, places[~near]), offsets[1:][np.diff(offsets) > 0]]))
     gaps = np.diff(cuts, prepend=0)
     more = (gaps - 1) // most
     if more.any():
         extra = np.repeat(np.arange(len(cuts)), more)
         step = np.arange(len(extra)) - np.repeat(np.cumsum(more) - more, more) + 1
-        cuts = np.sort(np.concatenate([cuts, cuts[extra] - gaps[extra] + step * most]))
+        forced = _at_characters(data, cuts[extra] - gaps[extra] + step * most)
+        cuts = np.unique(np.concatenate([cuts, forced]))
     return cuts
 
 
+def _at_characters(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places, moved behind the UTF-8 character that they are in."""
+    for _ in range(3):
+        inside = places < len(data)
+        inside[inside] = data[places[inside]] & 0xC0 == 0x80
+        places = places + inside
+    return places
+
+
 _CHUNKS = "row long, doc_id long, digests array<long>, ends array<int>"
 
 
@@ -172,7 +185,7 @@ def repeated_passages(
 
 
 def without_spans(text, spans):
-    """SQL: the text without the byte spans; what is cut may start within a character, which goes whole or stays whole."""
+    """SQL: the text without the byte spans, which begin and end between characters."""
     data = F.encode(text, "UTF-8")
     froms = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s.start + s.length))
     tos = F.concat(F.transform(spans, lambda s: s.start), F.array(F.octet_length(text).cast("long")))
@@ -181,4 +194,4 @@ def without_spans(text, spans):
         lambda p: F.substring(data, (p.a + 1).cast("int"), (p.b - p.a).cast("int")),
     )
     joined = F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
-    return F.regexp_replace(F.decode(joined, "UTF-8"), "�", "")
+    return F.decode(joined, "UTF-8")

@@ -83,6 +83,15 @@ def test_chunks_cover_rows_and_resist_insertions():
     assert alone.tolist() == first.tolist()
 
 
+def test_chunks_end_between_characters():
+    texts = ["é中" * 400, "aé" * 300, "😀" * 200]
+    data, offsets = text_bytes(pa.array(texts))
+    ends = substring_dedup.chunk_ends(data, offsets).tolist()
+    parts = [data[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+    assert "".join(p.decode() for p in parts) == "".join(texts)
+    assert max(map(len, parts)) <= substring_dedup.MOST_CHUNK + 3
+
+
 def plain_passages(docs, least=substring_dedup.LEAST_PASSAGE):
     """The result by dictionaries over the chunks' bytes; docs in the order read."""
     chunks = []
