@@ -97,7 +97,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, row = _distinct(*terms(*text_bytes(batch.column("text")), BUCKETS, PREFIXES), BUCKETS)
         bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "terms"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "terms"]
+        )
 
 
 def _scorer(model):
@@ -137,7 +139,8 @@ def train(documents: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_
     # Squared surplus of toxic documents over its expectation: chi-square of one cell.
     share = positive / n if n else 0.0
     surplus = (F.col("a") - F.col("n") * share) ** 2 / (F.col("n") * (share * (1 - share) + 1e-9))
-    best = seen.withColumn("surplus", surplus).where(F.col("surplus") >= LEAST_SURPLUS).orderBy(F.desc("surplus"), "term").limit(FEATURES).select("term")
+    apart = seen.withColumn("surplus", surplus).where(F.col("surplus") >= LEAST_SURPLUS)
+    best = apart.orderBy(F.desc("surplus"), "term").limit(FEATURES).select("term")
     chosen = np.array(sorted(r[0] for r in best.collect()), np.int64)
     number = np.full(BUCKETS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
