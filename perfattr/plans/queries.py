@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfattr.functions import measures as m
 from perfattr.operators import attribution as att
 from perfattr.operators import calendar as cal
 from perfattr.operators import contribution as con
