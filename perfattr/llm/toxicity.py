@@ -19,7 +19,7 @@ from perfattr.llm.common import bounded_sample, held_out, ship, slices, stored,
 from perfattr.llm.hashed import terms
 
 BUCKETS = 1 << 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 2048
 FACTORS = 8
 #: Labelled documents that the model is fitted on, at most.
