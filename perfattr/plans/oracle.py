@@ -651,7 +651,7 @@ all_securities AS (SELECT security_id, ticker, sector FROM securities
           SELECT portfolio_id, date, count(*) AS n, {r('sum(market_value)', 4)} AS market_value, {r('any_value(cf)', 4)} AS cf
           FROM new_positions LEFT JOIN new_flows USING (portfolio_id, date) GROUP BY ALL"""),
         "holdings_from_csv": sql(HOLDINGS, f"""SELECT account, date, ticker, sector,
-          {rs('quantity price dividend', 6)} FROM good_holdings"""),
+          {rs('quantity price dividend')} FROM good_holdings"""),
         "import_returns": sql(good, f"SELECT date, security_id, {rs('ret')} FROM new_returns"),
         "import_flows": sql(good, f"""SELECT date, portfolio_id, 'CASHFLOW' AS type,
             CAST(0 AS DOUBLE) AS quantity, {r('cf', 4)} AS amount FROM new_flows"""),

@@ -550,7 +550,7 @@ def _holdings_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "csv")
     rows = inputs.holdings(spark, sf_dir).repartition("account")
     rows.write.option("header", True).partitionBy("account").csv(path)
-    return rounded(read_holdings(spark, path), 6)
+    return rounded(read_holdings(spark, path))
 
 
 REGISTRY["holdings_from_csv"] = _holdings_from_csv

@@ -60,6 +60,9 @@ def read_published(spark: SparkSession, root: str) -> Star:
         raise ValueError(f"nothing is published in {root}")
     tables = {}
     for name, schema in schemas.STAR.items():
+        if not exists(spark, f"{root}/{name}"):  # no batch has had rows for it
+            tables[name] = spark.createDataFrame([], schema)
+            continue
         with_batch = T.StructType(list(schema.fields)).add("batch_id", "string")
         stored = spark.read.schema(with_batch).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
         tables[name] = stored.join(done, "batch_id", "left_semi").drop("batch_id")
