@@ -17,8 +17,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one up to two edits."""
-    return line_dedup.without_repeated_lines(docs)
+    """All documents, without lines that repeat an earlier one up to two edits; near copies keep those of their original."""
+    return line_dedup.without_repeated_lines(docs, linked_copies=True)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

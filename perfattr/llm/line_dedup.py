@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from perfattr.llm.common import keyed, stored, unpacked
 from perfattr.llm.components import components
+from perfattr.llm.near_duplicates import SHINGLE, THRESHOLD
 
 EDITS = 2
 #: Characters of a line that is compared at all. Shorter ones, such as brackets, are left alone.
@@ -259,24 +260,10 @@ def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     return components(edges.union(stored(_verified(rest, texts, edits, longest), "links")))
 
 
-def repeated_lines(
-    documents: DataFrame,
-    *,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    edits: int = EDITS,
-    least_chars: int = LEAST_CHARS,
-    copy_share: float = COPY_SHARE,
-) -> DataFrame:
-    """One row per document: doc_id, text_key, n_lines, n_repeated, n_removed, copied, removed.
+def _placed(documents: DataFrame, id_column: str, text_column: str, edits: int, least_chars: int) -> DataFrame:
+    """Compared lines of the documents, each given once: doc_id, text_key, line_no, chars, first, repeated.
 
-    Lines (between line feeds) of `least_chars` characters or more are in one class if they are equal or linked by
-    edit distances of `edits` or less. A class's first line stays: that of the smallest document id (null first),
-    then text key, then number; the others are repeated. `removed` has the numbers (from 0) of the repeated lines,
-    unless more than `copy_share` of the document's compared characters repeat: such a document is a copy as a whole
-    (`copied`), which is for document deduplication to decide, and keeps its lines. Null text has no line, empty text
-    one, and no line of them is compared. Rows that repeat id and text are one document, given once for each. Extra
-    columns are not read.
+    `first` is the place of the class's first line, or null if the class has no other.
     """
     lines = lines_of(documents, id_column, text_column)
     compared = lines.where(F.col("chars") >= max(least_chars, edits + 1))
@@ -298,9 +285,31 @@ def repeated_lines(
     place = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "text_key", "line_no")
     first = named.groupBy("class", "second").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = stored(first.where("n > 1").select("class", "second", "first"), "first")
-    again = named.join(first, ["class", "second"], "left").withColumn(
+    return named.join(first, ["class", "second"], "left").withColumn(
         "repeated", F.coalesce(place != F.col("first"), F.lit(False))
     )
+
+
+def repeated_lines(
+    documents: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    edits: int = EDITS,
+    least_chars: int = LEAST_CHARS,
+    copy_share: float = COPY_SHARE,
+) -> DataFrame:
+    """One row per document: doc_id, text_key, n_lines, n_repeated, n_removed, copied, removed.
+
+    Lines (between line feeds) of `least_chars` characters or more are in one class if they are equal or linked by
+    edit distances of `edits` or less. A class's first line stays: that of the smallest document id (null first),
+    then text key, then number; the others are repeated. `removed` has the numbers (from 0) of the repeated lines,
+    unless more than `copy_share` of the document's compared characters repeat: such a document is taken for a copy
+    (`copied`) and keeps its lines, also where they repeat within it or come from several documents; `removed_lines`
+    leaves lines to near duplicates only. Null text has no line, empty text one, and no line of them is compared. Rows
+    that repeat id and text are one document, given once for each. Extra columns are not read.
+    """
+    again = _placed(documents, id_column, text_column, edits, least_chars)
     marks = again.groupBy("doc_id", "text_key").agg(
         F.sum("chars").alias("n_chars"),
         F.sum(F.when(F.col("repeated"), F.col("chars")).otherwise(0)).alias("n_again"),
@@ -327,15 +336,131 @@ def repeated_lines(
     )
 
 
+def shingles(text: Column) -> Column:
+    """The distinct shingles that `near_duplicates` links documents by, as an array of hashes."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_remove(F.split(lower, r"[\x20\x09-\x0D]+"), "")
+
+    # Hashes skip the nulls behind the last word: fewer words are one shingle. Lambdas bind what is used twice.
+    def hashes(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
+        each = F.transform(starts, lambda k: F.xxhash64(*[F.get(w, k + j) for j in range(SHINGLE)]))
+        return F.when(F.size(w) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(words), hashes).getItem(0)
+
+
+def _main_source(repeats: Column, own: Column) -> Column:
+    """Of repeats sorted by source, `main`, the source other than the document itself that has the most characters,
+    and `most`, their number."""
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("at"), none.alias("n"), none.alias("main"), none.alias("most"))
+
+    def step(state: Column, r: Column) -> Column:
+        n = F.when(r.source == own, none).otherwise(F.when(r.source == state["at"], state["n"]).otherwise(none) + r.chars)
+        more = n > state["most"]
+        return F.struct(
+            r.source.alias("at"),
+            n.alias("n"),
+            F.when(more, r.source).otherwise(state["main"]).alias("main"),
+            F.when(more, n).otherwise(state["most"]).alias("most"),
+        )
+
+    return F.aggregate(repeats, start, step)
+
+
+def _cut(text: Column, removed: Column) -> Column:
+    kept = F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains(removed, k))
+    return F.when(removed.isNotNull(), F.array_join(kept, "\n")).otherwise(text)
+
+
+def removed_lines(
+    documents: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    edits: int = EDITS,
+    least_chars: int = LEAST_CHARS,
+    copy_share: float = COPY_SHARE,
+) -> DataFrame:
+    """doc_id, text_key and `removed` of the documents that lose lines, if only copies of a document keep any.
+
+    Repeated are the lines that `repeated_lines` says. All are removed, those of the document itself too, but for a
+    copy's: it keeps the lines that stand first in the one document it is a copy of. That is the document most of its
+    repeated characters come from, if these are more than `copy_share` of what the copy would keep, if the other is
+    not such a copy itself, and if `near_duplicates` links the two texts as this leaves them: the near duplicates'
+    stage then keeps one of both.
+    """
+    again = _placed(documents, id_column, text_column, edits, least_chars).select(
+        "doc_id",
+        "text_key",
+        "chars",
+        F.when(
+            F.col("repeated"),
+            F.struct(F.xxhash64("first.doc_id", "first.text_key").alias("source"), "line_no", "chars"),
+        ).alias("repeat"),
+    )
+    # A list per document, by source: no further shuffle of lines.
+    marks = again.groupBy("doc_id", "text_key").agg(
+        F.sum("chars").alias("n_chars"), F.sort_array(F.collect_list("repeat")).alias("repeats")
+    )
+    marks = stored(
+        marks.where(F.size("repeats") > 0).select("*", F.xxhash64("doc_id", "text_key").alias("doc")), "marks"
+    )
+    copies = marks.select(
+        "doc",
+        (F.col("n_chars") - F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + r.chars)).alias("n_own"),
+        _main_source(F.col("repeats"), F.col("doc")).alias("best"),
+    )
+    copies = copies.where("best.most > 0").where(F.col("best.most") > (F.col("n_own") + F.col("best.most")) * copy_share)
+    copies = stored(copies.select("doc", F.col("best.main").alias("of")), "copies")
+    copies = stored(copies.join(copies.select(F.col("doc").alias("of")), "of", "left_anti").select("doc", "of"), "copies")
+
+    def without(copies: DataFrame) -> DataFrame:
+        lost = F.filter("repeats", lambda r: F.col("of").isNull() | (r.source != F.col("of")))
+        removed = F.sort_array(F.transform(lost, lambda r: r.line_no))
+        rows = marks.join(copies, "doc", "left").select("doc", "doc_id", "text_key", removed.alias("removed"))
+        return rows.where(F.size("removed") > 0)
+
+    ends = stored(copies.select("doc").union(copies.select("of")).distinct(), "ends")
+    texts = documents.select(
+        F.xxhash64(F.col(id_column).cast("long"), F.xxhash64(text_column)).alias("doc"), F.col(text_column).alias("text")
+    )
+    # Copies of a row are reduced before the shuffle.
+    texts = texts.join(ends.hint("merge"), "doc", "left_semi")
+    texts = texts.groupBy(F.xxhash64("doc", F.lit("text"))).agg(
+        F.any_value("doc").alias("doc"), F.any_value("text").alias("text")
+    )
+    lost = without(copies).join(ends, "doc", "left_semi").select("doc", "removed")
+    sets = texts.join(lost, "doc", "left").select("doc", shingles(_cut(F.col("text"), F.col("removed"))).alias("set"))
+    sets = stored(sets, "sets")
+    pairs = copies.join(sets.toDF("doc", "a"), "doc").join(sets.toDF("of", "b"), "of")
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("a", "b")))
+    least, of = THRESHOLD
+    linked = pairs.where((F.col("both") > 0) & (of * F.col("both") >= least * (F.size("a") + F.size("b") - F.col("both"))))
+    return without(stored(linked.select("doc", "of"), "linked")).select("doc_id", "text_key", "removed")
+
+
 def without_repeated_lines(
-    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options
+    documents: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    linked_copies: bool = False,
+    **options,
 ) -> DataFrame:
-    """The documents with the removed lines taken out of their text; all rows and columns stay."""
-    found = repeated_lines(documents, id_column=id_column, text_column=text_column, **options)
-    cut = stored(found.where("n_removed > 0").select("doc_id", "text_key", "removed").distinct(), "removed")
+    """The documents with the removed lines taken out of their text; all rows and columns stay.
+
+    With `linked_copies` the lines of `removed_lines`, otherwise those of `repeated_lines`.
+    """
+    options = {"id_column": id_column, "text_column": text_column, **options}
+    if linked_copies:
+        cut = removed_lines(documents, **options)
+    else:
+        cut = repeated_lines(documents, **options).where("n_removed > 0").select("doc_id", "text_key", "removed")
+        cut = cut.distinct()
+    cut = stored(cut, "removed")
     rows = keyed(documents, id_column, text_column)
     rows = rows.join(cut, (rows.key == cut.text_key) & rows.id.eqNullSafe(cut.doc_id), "left")
-    whole = F.col("row").getField(text_column)
-    kept = F.filter(F.split(whole, "\n"), lambda _, k: ~F.array_contains(F.col("removed"), k))
-    text = F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(whole)
+    text = _cut(F.col("row").getField(text_column), F.col("removed"))
     return unpacked(rows, documents.columns, **{text_column: text})

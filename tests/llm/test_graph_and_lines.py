@@ -234,6 +234,47 @@ def test_repeated_lines_of_no_documents(spark):
     assert line_dedup.repeated_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_only_linked_copies_keep_repeated_lines(spark):
+    draw = random.Random(8)
+
+    def some(n):
+        return [" ".join("".join(draw.choice("abcdefghijklm") for _ in range(6)) for _ in range(8)) for _ in range(n)]
+
+    a, b, boiler, own = some(12), some(10), some(6), some(3)
+    docs = {
+        1: a,
+        2: [*a, own[0]],  # a near copy keeps its lines, for the next stage to remove it
+        3: [b[0], b[0], b[0], b[1]],  # repeats of its own lines alone
+        4: boiler[:3],
+        5: boiler[3:],
+        6: [*boiler, own[1]],  # repeats of several documents
+        7: [*a[:9], *some(7)],  # most characters of one document, but no near duplicate
+        8: [*b[2:], *boiler[:2]],
+        9: [*b[2:], *boiler[:2]],  # a copy, but for what its original loses too
+    }
+    want = {**docs, 3: b[:2], 6: own[1:2], 7: docs[7][9:], 8: b[2:], 9: b[2:]}
+    df = spark.createDataFrame(rows_of([(k, "\n".join(x)) for k, x in docs.items()]), SCHEMA)
+    cut = line_dedup.without_repeated_lines(df, linked_copies=True)
+    assert cut.columns == df.columns
+    assert {r.doc_id: r.text for r in cut.collect()} == {k: "\n".join(x) for k, x in want.items()}
+    assert sorted(r.doc_id for r in near_duplicates.deduplicated(cut).collect()) == [1, 3, 4, 5, 6, 7, 8]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert line_dedup.without_repeated_lines(empty, linked_copies=True).collect() == []
+
+
+def test_native_shingles_are_those_of_near_duplicates(spark):
+    texts = ["a b c d e f a b c d e", "One", "ONE two", "", " \t\n", None, "x\u00a0y z\x0bw\x1fv É é q", " a  b c d e "]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for r in found.select("t", F.size(line_dedup.shingles(F.col("t"))).alias("n")).collect():
+        assert max(r.n, 0) == len(plain_shingles(r.t))
+
+
+def test_pipeline_line_plan_has_no_python(spark):
+    df = spark.createDataFrame(rows_of(line_documents(1)), SCHEMA)
+    plan = line_dedup.without_repeated_lines(df, linked_copies=True)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 @pytest.mark.parametrize("edits", [0, 1, 2, 3])
 def test_banded_distance_equals_the_matrix(spark, edits):
     draw = random.Random(edits)
