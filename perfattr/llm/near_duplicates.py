@@ -237,6 +237,12 @@ def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str
     Repeated rows and equal texts share a class; an id that is null never is the smallest, and
     a component of such rows alone has a null id and is kept. Extra columns are not read.
     """
+    return _labelled(documents, id_column, text_column).drop("component")
+
+
+def _labelled(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """`classes` with `component`, which tells apart components without an id and those that repeat an id; it is null
+    for empty sets."""
     spark = documents.sparkSession
     ship(spark)
     rows = documents.select(
@@ -302,7 +308,7 @@ def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str
     known = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = stored(known, "known")
     smallest = stored(known.groupBy("component").agg(F.min("least_id").alias("component_id")), "smallest")
-    named = stored(known.join(smallest, "component").select("set_key", "component_id"), "named")
+    named = stored(known.join(smallest, "component").select("set_key", "component", "component_id"), "named")
     found = sets.select("text_key", "doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     found = found.withColumn("component_id", own)
@@ -312,21 +318,23 @@ def classes(documents: DataFrame, *, id_column: str = "doc_id", text_column: str
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         "text_key",
+        "component",
     )
 
 
 def deduplicated(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, one of each group: a row of the smallest id.
+    """The documents, one of each group of linked texts: a row of the smallest id.
 
     Documents without words are linked with nothing and all stay. Of rows that repeat the id and
-    the text of a group's smallest, one stays. All columns stay.
+    the text of a group's smallest, one stays. Texts that are not linked all stay, also if they
+    share an id or have none. All columns stay.
     """
-    found = classes(documents, id_column=id_column, text_column=text_column)
-    # A null id, the smallest of a group that has no other, may have several texts: the least key.
-    first = found.where("n_shingles > 0 and kept").groupBy(F.col("component_id")).agg(
-        F.min(F.struct("text_key")).alias("least"), F.count("*").alias("n")
+    found = _labelled(documents, id_column, text_column)
+    # The smallest id of a group, or null if it has no other, may have several texts there: the least key.
+    first = found.where("n_shingles > 0 and kept").groupBy("component").agg(
+        F.min(F.struct("text_key", F.col("doc_id").alias("component_id"))).alias("least"), F.count("*").alias("n")
     )
-    first = stored(first.select("component_id", "least.text_key", "n"), "first")
+    first = stored(first.select("least.component_id", "least.text_key", "n"), "first")
     empty = stored(found.where("n_shingles = 0").select(F.col("text_key").alias("key")).distinct(), "empty")
     rows = keyed(documents, id_column, text_column)
     same = (rows.key == first.text_key) & rows.id.eqNullSafe(first.component_id)

@@ -145,6 +145,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates.classes(empty).collect() == [] and near_duplicates.deduplicated(empty).collect() == []
 
 
+def test_unlinked_texts_without_an_id_or_of_one_id_all_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    texts = [(None, a), (None, a), (None, f"{a} more"), (None, b), (None, c), (4, d), (4, b + c), (4, d), (9, f"{d} more")]
+    texts += [(5, "x y"), (5, "x z"), (None, "x z"), (None, ""), (None, None), (4, " ")]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    kept = near_duplicates.deduplicated(df).collect()
+    left = sorted((r.doc_id or 0, r.text or "") for r in kept)
+    copy = next(t for k, t in left if t.startswith(a))
+    assert left == sorted([(0, copy), (0, b), (0, c), (4, d), (4, b + c), (5, "x y"), (5, "x z"), (0, ""), (0, ""), (4, " ")])
+
+
 def test_sketches_estimate_the_similarity():
     draw = np.random.default_rng(3)
     common, own = draw.integers(0, 1 << 62, 700).astype(np.uint64), draw.integers(0, 1 << 62, (2, 100)).astype(np.uint64)
