@@ -189,7 +189,8 @@ def top_k(
 
     Components become floor(scale * x). Vectors that are null, empty or hold null or non-finite
     components, and rows with a null id, take no part; vectors of different lengths do not meet. Candidates
-    that repeat an id and its vector count once, as do repeated queries. The queries are a stated set;
+    that repeat an id and its quantised vector count once, as do repeated queries; other vectors of an id are
+    candidates of their own. The queries are a stated set;
     they are sent in groups of `queries_at_once`, and every group runs over all blocks.
     """
     spark = candidates.sparkSession
@@ -201,7 +202,8 @@ def top_k(
             "vec_id", quantised(F.col("vector"), scale).alias("vector")
         )
 
-    blocks = index(prepared(candidates), block=block)
+    # Copies would fill the k places of a task; they are reduced before the shuffle.
+    blocks = index(prepared(candidates).distinct(), block=block)
     asked = stored(prepared(queries).distinct().withColumn("width", F.size("vector")), "queries")
     sizes = asked.groupBy("width").count().collect()
     tops = []
@@ -220,7 +222,7 @@ def top_k(
     every = tops[0]
     for other in tops[1:]:
         every = every.union(other)
-    # k rows a query and task: few, and repeated vectors meet here.
+    # k rows a query and task: few.
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = every.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

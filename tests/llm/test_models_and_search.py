@@ -357,6 +357,15 @@ def test_top_k_equals_brute_force(spark, at_once):
     assert top_k.top_k(df.limit(0), df).collect() == [] and top_k.top_k(asked, df.limit(0)).collect() == []
 
 
+def test_copies_of_the_best_candidate_take_one_rank(spark):
+    vectors = [(0, [1.0, 0.0])] + [(1, [9.0, 0.0])] * 12 + [(k, [9.0 - k, 1.0]) for k in range(2, 8)]
+    vectors += [(2, [8.5, 1.0]), (3, [6.0, 5.0])]  # other vectors of an id; the last has the score of the first one
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    found = top_k.top_k(df.where("vec_id = 0"), df).collect()
+    want = [(1, 1, 9.0), (2, 2, 8.5), (3, 2, 7.0), (4, 3, 6.0), (5, 3, 6.0)]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(n, i, int(x * 256 * 256)) for n, i, x in want]
+
+
 def test_blocks_below_the_bound_are_not_scored(monkeypatch):
     draw = np.random.default_rng(9)
     centres = draw.normal(0, 100, (20, 8))
