@@ -56,14 +56,14 @@ def weights(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> tuple[
 def cut_between(scores: np.ndarray, good: np.ndarray) -> float:
     """The threshold with the fewest labelled documents on the wrong side; 0 if one kind is missing.
 
-    Of equally good ones, the middle of the widest gap.
+    Documents of one score stay on one side. Of equally good thresholds, the middle of the widest gap.
     """
     if not len(scores) or good.all() or not good.any():
         return 0.0
-    order = np.argsort(scores)
-    scores, good = scores[order], good[order]
-    wrong = np.concatenate([[0], np.cumsum(good)]) + np.concatenate([[0], np.cumsum(~good[::-1])])[::-1]
-    edges = np.concatenate([[scores[0] - 1], scores, [scores[-1] + 1]])
+    levels, at = np.unique(scores, return_inverse=True)
+    n_good, n_bad = np.bincount(at, good), np.bincount(at, ~good)
+    wrong = np.concatenate([[0], np.cumsum(n_good)]) + np.concatenate([np.cumsum(n_bad[::-1])[::-1], [0]])
+    edges = np.concatenate([[levels[0] - 1], levels, [levels[-1] + 1]])
     best = np.flatnonzero(wrong == wrong.min())
     gaps = edges[best + 1] - edges[best]
     k = best[np.argmax(gaps)]

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from perfattr.llm import hashed, language, quality, substring_dedup, top_k, toxicity
@@ -210,6 +210,8 @@ def test_weights_equal_plain_counts():
 
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.tuples(st.integers(-5, 5), st.booleans()), max_size=30))
+@example([(0, False), (0, False), (0, True)])
+@example([(1, True), (1, False), (1, False), (0, True), (2, True)])
 def test_threshold_has_the_fewest_errors(pairs):
     scores, good = np.array([float(s) for s, _ in pairs]), np.array([g for _, g in pairs], bool)
     cut = quality.cut_between(scores, good)
