@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from perfattr.llm import (
     alignment,
     decontamination,
+    html_text,
     language,
     line_dedup,
     near_duplicates,
     packed_ids,
     packing,
+    prefix_trie,
     quality,
     substring_dedup,
     top_k,
@@ -75,6 +77,15 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment(table(spark, sf_dir, "documents"), byte_level, pieces)
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, runs = prefix_trie.ranked(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(turns, runs))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -87,6 +98,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -181,4 +194,65 @@ ORACLE: dict[str, str] = {
                array_to_string(removed, ',') as removed
         from (select *, case when copied then [] else coalesce(again, []) end as removed
               from (select *, coalesce(n_again > n_chars * 0.5, false) as copied from d left join marks using (r)))""",
+    "op12_conversation_prefix_trie": """
+        with said as (
+            select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (
+                       partition by conv_id order by turn nulls first, role, text) - 1 as r
+            from conversations where conv_id is not null),
+        own as (select c, count(*) as n from said group by c),
+        hashed as (
+            select *, c - c % 5 as base, xor(list_reduce(
+                       list_prepend(4294967295::ubigint, list_transform(string_split(cast(c as varchar), ''),
+                                                                        lambda s: cast(ascii(s) as ubigint))),
+                       lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z:
+                                                xor(u >> 1, (u & 1) * 3988292384::ubigint))),
+                   4294967295::ubigint) % 9 as h
+            from own),
+        convs as (
+            select a.c, a.base, a.h, a.n, least(a.h, coalesce(b.n, 0)) as m
+            from hashed a left join own b on b.c = a.base),
+        rebuilt as (
+            select v.c, s.r + 1 as pos, role, text from convs v join said s on s.c = v.base where s.r < v.h
+            union all
+            select v.c, m + s.r - h + 1, role, text from convs v join said s on s.c = v.c where s.r >= v.h),
+        paths as (
+            select c, pos as d, strlen(text) as bytes, max(pos) over (partition by c) as len,
+                   string_agg(sha256(role) || sha256(text), '') over (partition by c order by pos) as k
+            from rebuilt
+            union all
+            select c, 0, 0, coalesce((select max(pos) from rebuilt r where r.c = convs.c), 0), '' from convs),
+        named as (select *, min(c) over (partition by k) as rep, count(*) over (partition by k) as n from paths),
+        nodes as (
+            select k, any_value(d) as d, any_value(rep) as rep, any_value(n) as n,
+                   string_agg(c, ',' order by c) filter (d = len) as ends
+            from named group by k),
+        parents as (
+            select n.k, any_value(p.rep) as parent from nodes n
+            join named c on c.k = n.k and c.c = n.rep join named p on p.c = c.c and p.d = c.d - 1 group by n.k),
+        children as (
+            select p.k, count(*) as n from nodes n join named c on c.k = n.k and c.c = n.rep
+            join named p on p.c = c.c and p.d = c.d - 1 group by p.k),
+        below as (
+            select c, k, sum(case when c = rep then 0 else bytes end) over up as saved,
+                   max(case when d = len and c = rep and k not in (select k from children) then 1 else 0 end) over up as leaf
+            from named window up as (partition by c order by d desc)),
+        totals as (select k, sum(saved) as saved, sum(leaf) as leaves from below group by k)
+        select rep as conv_id, cast(d as bigint) as depth, parent as parent_conv_id, nodes.n as n_convs,
+               coalesce(children.n, 0) as n_children, cast(leaves as bigint) as n_leaves,
+               cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+        from nodes left join parents using (k) left join children using (k) join totals using (k)""",
+    # The pages of the test tables mark their article; its blocks hold few kinds of references.
+    "op13_html_extraction": r"""
+        with inner_html as (
+            select page_id, url, regexp_replace(
+                regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g') as t
+            from pages),
+        plain as (
+            select page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+                '&#x27;', chr(39)), '&#39;', chr(39)) as t
+            from inner_html),
+        spelt as (
+            select page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as text
+            from plain)
+        select page_id, url, text, length(text) as n_chars from spelt""",
 }
