@@ -66,10 +66,10 @@ def main() -> None:
     bucketed = star.with_positions(spark.table(table))
 
     def linked(s):
-        return linking.linked_attribution(attribution.attribution_daily(s, within_lifespan=True))
+        return linking.linked_attribution(attribution.held_sectors(s, within_lifespan=True))
 
     def risk_summary(s):
-        days = returns.day_returns(attribution.attribution_daily(s, within_lifespan=True))
+        days = returns.day_returns(attribution.held_sectors(s, within_lifespan=True))
         return risk.risk_summary(days, periods_per_year=P)
 
     headline = {

@@ -4,18 +4,25 @@ The fact is scanned once and shuffled once, by its series, for the prior close.
 It then meets returns and securities as plain tables, whose stored size tells
 Spark before the run whether they can be broadcast.  Everything after the
 (portfolio, date, sector) aggregate is small.
+
+An unheld sector's effect depends on the benchmark alone.  `held_sectors` therefore has
+rows for held sectors only, next to the benchmark's calendar; day returns, linked and
+summed effects are made of these.  Only `attribution_daily`, whose result it is, spells
+out every portfolio, date and sector.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.functions import measures as m
-from perfattr.operators.calendar import date_array
 from perfattr.operators.common import Day, Portfolios, as_date, in_range, over_time, pick_portfolios
 from perfattr.sources.star import Star
+from perfattr.sources.storage import stored
 
 
 def weight_basis(
@@ -93,6 +100,75 @@ def lifespans(positions: DataFrame) -> DataFrame:
     )
 
 
+def portfolio_spans(
+    star: Star, portfolios: Portfolios = None, within_lifespan: bool = False
+) -> DataFrame:
+    """(portfolio_id, after, until): a portfolio's days lie after `after` and up to `until`; null is no limit.
+
+    `within_lifespan` takes the days after the first and up to the last position.
+    """
+    ids = pick_portfolios(star.portfolios.select("portfolio_id"), portfolios)
+    if not within_lifespan:
+        none = F.lit(None).cast("date")
+        return ids.select("portfolio_id", none.alias("after"), none.alias("until"))
+    spans = lifespans(pick_portfolios(star.positions_daily, portfolios))
+    return ids.join(spans, "portfolio_id").select(
+        "portfolio_id", F.col("first_position").alias("after"), F.col("last_position").alias("until")
+    )
+
+
+def within(day: Column) -> Column:
+    """Whether a day lies in its portfolio's span."""
+    later = F.col("after").isNull() | (day > F.col("after"))
+    return later & (F.col("until").isNull() | (day <= F.col("until")))
+
+
+def market_calendar(market: DataFrame) -> DataFrame:
+    """One row: `days`, the benchmark's dates in order with their total return (date, rb)."""
+    days = market.groupBy("date").agg(F.max("rb_total").alias("rb"))
+    return days.agg(F.array_sort(F.collect_list(F.struct("date", "rb"))).alias("days"))
+
+
+@dataclass(frozen=True)
+class Held:
+    """Held sectors of all portfolios, and what the others need.
+
+    rows: portfolio_id, date, sector, wp, rp, own, selection, interaction; the allocation of a held sector
+    is `own` less what it would be unheld.  market: date, sector, wb, rb_i, rb_total, a stored table.
+    spans: portfolio_id, after, until.
+    """
+
+    rows: DataFrame
+    market: DataFrame
+    spans: DataFrame
+
+
+def held_sectors(
+    star: Star,
+    start: Day = None,
+    end: Day = None,
+    portfolios: Portfolios = None,
+    within_lifespan: bool = False,
+    bounded_lookback: bool = False,
+) -> Held:
+    """Effects of the sectors held by each portfolio; one without a weight or return of its own counts as unheld."""
+    market = stored(benchmark_sectors(star, start, end), "market")
+    wb, rb_i, rb = (F.col(c) for c in ("wb", "rb_i", "rb_total"))
+    wp, rp = F.coalesce("wp", F.lit(0.0)), F.coalesce("rp", rb_i)
+    rows = portfolio_sectors(star, start, end, portfolios, bounded_lookback).join(market, ["date", "sector"])
+    rows = rows.select(
+        "portfolio_id",
+        "date",
+        "sector",
+        wp.alias("wp"),
+        rp.alias("rp"),
+        (wp * (rb_i - rb)).alias("own"),
+        m.selection_effect(wb, rp, rb_i).alias("selection"),
+        m.interaction_effect(wp, wb, rp, rb_i).alias("interaction"),
+    )
+    return Held(rows, market, portfolio_spans(star, portfolios, within_lifespan))
+
+
 def spine(
     star: Star,
     start: Day = None,
@@ -100,27 +176,17 @@ def spine(
     portfolios: Portfolios = None,
     within_lifespan: bool = False,
 ) -> DataFrame:
-    """Every (portfolio, date, benchmark sector), held or not.
+    """Every (portfolio, date, benchmark sector), held or not, for results that have a row for each.
 
-    Each portfolio is spread over the benchmark dates (one array, as long as
-    the calendar) and picks up its sectors by date.  `within_lifespan` keeps
-    the days after the first and up to the last position of a portfolio.
+    The benchmark's sectors are one array in the order of the calendar, as long as dates times
+    sectors; each portfolio unfolds the part within its span, so nothing is joined by date.
     """
-    dates = date_array(in_range(star.benchmark_weights, start, end)).scalar()
-    ids = pick_portfolios(star.portfolios.select("portfolio_id"), portfolios)
-    if within_lifespan:
-        spans = lifespans(pick_portfolios(star.positions_daily, portfolios))
-        days = ids.join(spans, "portfolio_id").withColumn("dates", dates).select(
-            "portfolio_id",
-            F.explode(
-                F.filter(
-                    "dates", lambda d: (d > F.col("first_position")) & (d <= F.col("last_position"))
-                )
-            ).alias("date"),
-        )
-    else:
-        days = ids.withColumn("dates", dates).select("portfolio_id", F.explode("dates").alias("date"))
-    return days.join(benchmark_sectors(star, start, end), "date")
+    sectors = F.array_sort(F.collect_list(F.struct("sector", "wb", "rb_i", "rb_total")))
+    days = benchmark_sectors(star, start, end).groupBy("date").agg(sectors.alias("sectors"))
+    calendar = days.agg(F.array_sort(F.collect_list(F.struct("date", "sectors"))).alias("days")).scalar()
+    spans = portfolio_spans(star, portfolios, within_lifespan).withColumn("days", calendar)
+    unfolded = spans.select("portfolio_id", "after", "until", F.inline("days")).where(within(F.col("date")))
+    return unfolded.select("portfolio_id", "date", F.inline("sectors"))
 
 
 def attribution_daily(
@@ -187,28 +253,21 @@ def attribution_over_period(
     allocation that depends on the benchmark alone is one sum per sector; the rest are sums
     over held rows.
     """
-    held = portfolio_sectors(star, start, end, portfolios, bounded_lookback)
-    bench = benchmark_sectors(star, start, end)
+    held = held_sectors(star, start, end, portfolios, bounded_lookback=bounded_lookback)
     wb, rb_i, rb = (F.col(c) for c in ("wb", "rb_i", "rb_total"))
-    wp, rp = F.coalesce("wp", F.lit(0.0)), F.coalesce("rp", rb_i)
-    own = (
-        held.join(bench, ["date", "sector"])
-        .groupBy("portfolio_id", "sector")
-        .agg(
-            F.sum(wp).alias("wp"),
-            F.sum(wp * (rb_i - rb)).alias("held"),
-            F.sum(m.selection_effect(wb, rp, rb_i)).alias("selection"),
-            F.sum(m.interaction_effect(wp, wb, rp, rb_i)).alias("interaction"),
-        )
+    own = held.rows.groupBy("portfolio_id", "sector").agg(
+        F.sum("wp").alias("wp"),
+        F.sum("own").alias("held"),
+        F.sum("selection").alias("selection"),
+        F.sum("interaction").alias("interaction"),
     )
-    by_sector = bench.groupBy("sector").agg(
+    by_sector = held.market.groupBy("sector").agg(
         F.count("*").alias("n_days"),
         F.avg("wb").alias("avg_wb"),
         F.sum(wb * (rb_i - rb)).alias("market"),
     )
     sectors = by_sector.agg(F.collect_list(F.struct("sector", "n_days", "avg_wb", "market")).alias("sectors")).scalar()
-    ids = pick_portfolios(star.portfolios.select("portfolio_id"), portfolios)
-    every = ids.withColumn("sectors", sectors).select("portfolio_id", F.inline("sectors"))
+    every = held.spans.withColumn("sectors", sectors).select("portfolio_id", F.inline("sectors"))
 
     def or_zero(name: str) -> Column:
         return F.coalesce(name, F.lit(0.0))

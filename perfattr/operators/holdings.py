@@ -8,15 +8,17 @@ account that breaks a rule contributes nothing and does not block the others.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.operators.calendar import date_array
 from perfattr.operators.common import number_rows, over_time
+from perfattr.operators.graph import connected
 from perfattr.sources.schemas import GICS_SECTORS
 from perfattr.sources.star import Star
 from perfattr.sources.storage import stored
@@ -156,54 +158,56 @@ def _contested(claims: DataFrame) -> DataFrame:
     return sectors.where(F.col("lo") != F.col("hi")).select("ticker")
 
 
+def _settled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Accounts that contradict an accepted earlier one, with the number of such tickers.
+
+    Rows (component, account, claims) come in the order of component and account.  What is kept
+    is one sector per contested ticker of the component at hand.
+    """
+    component, sectors = None, {}
+    for batch in rows:
+        lost = []
+        for number, account, claims in zip(*(batch.column(c).to_pylist() for c in ("component", "account", "claims"))):
+            if number != component:
+                component, sectors = number, {}
+            clashes = {c["ticker"] for c in claims if sectors.get(c["ticker"], c["sector"]) != c["sector"]}
+            if clashes:
+                lost.append((account, len(clashes)))
+            else:
+                sectors.update((c["ticker"], c["sector"]) for c in claims)
+        accounts, counts = zip(*lost) if lost else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(accounts, pa.string()), pa.array(counts, pa.int64())], ["account", "k"]
+        )
+
+
 def _earlier_claim_conflicts(claims: DataFrame, found: DataFrame, securities: DataFrame) -> DataFrame:
     """Otherwise valid accounts that give a new ticker another sector than an accepted earlier account.
 
     Only tickers with more than one sector matter; usually there are none.
-    Whether an account is accepted depends on the ones before it, so rounds
-    settle the accounts from the front: one is accepted once no open account
-    before it contradicts it, and rejected once an accepted one does.  The
-    first open account settles in every round.
+    Whether an account is accepted depends on the ones before it, but only on those it
+    is linked to by contested tickers: the accounts are cut into connected components, and
+    each is settled by one pass over its accounts in name order.  An account that
+    gives one ticker two sectors breaks a rule of its own and takes no part.
     """
     unknown = claims.select("account", "ticker", "sector").join(
         securities.select("ticker"), "ticker", "left_anti"
     )
-    nothing = claims.select("account").limit(0)
     if _contested(unknown).isEmpty():
-        return _violation(nothing, "sector_conflict", F.lit(0))
+        return _violation(claims.select("account").limit(0), "sector_conflict", F.lit(0))
     mine = unknown.join(found, "account", "left_anti")
-    open_claims = stored(mine.join(_contested(mine), "ticker", "left_semi"))
-
-    before = W.partitionBy("ticker").orderBy("account").rowsBetween(W.unboundedPreceding, -1)
-    state = open_claims.withColumn("accepted", F.lit(False))
-    rejected = nothing.withColumn("k", F.lit(0).cast("long"))
-    while not state.where(~F.col("accepted")).isEmpty():
-        fixed_sector = F.first(F.when(F.col("accepted"), F.col("sector")), ignorenulls=True).over(before)
-        open_other = F.when(~F.col("accepted"), F.col("sector"))
-        contradicted = (F.min(open_other).over(before) != F.col("sector")) | (
-            F.max(open_other).over(before) != F.col("sector")
-        )
-        judged = state.select(
-            "*",
-            F.coalesce(fixed_sector != F.col("sector"), F.lit(False)).alias("loses"),
-            F.coalesce(contradicted, F.lit(False)).alias("waits"),
-        )
-        verdicts = judged.groupBy("account").agg(
-            F.max("accepted").alias("was_accepted"),
-            F.count_if(F.col("loses") & ~F.col("accepted")).alias("k"),
-            F.max("waits").alias("waits"),
-        )
-        verdicts = stored(verdicts)
-        out = verdicts.where(~F.col("was_accepted") & (F.col("k") > 0)).select("account", "k")
-        rejected = rejected.unionByName(out)
-        state = stored(
-            state.drop("accepted")
-            .join(verdicts, "account")
-            .where(F.col("was_accepted") | (F.col("k") == 0))
-            .withColumn("accepted", F.col("was_accepted") | ~F.col("waits"))
-            .select("account", "ticker", "sector", "accepted")
-        )
-    return _violation(rejected, "sector_conflict", F.col("k"))
+    contested = stored(mine.join(_contested(mine), "ticker", "left_semi"))
+    node = F.xxhash64("account")
+    first = contested.groupBy("ticker").agg(F.min("account").alias("first"))
+    links = contested.join(first, "ticker").select(node.alias("a"), F.xxhash64("first").alias("b"))
+    own = contested.groupBy("account").agg(
+        F.array_sort(F.collect_list(F.struct("ticker", "sector"))).alias("claims")
+    )
+    placed = own.withColumn("a", node).join(connected(links), "a", "left")
+    placed = placed.select(F.coalesce("component", "a").alias("component"), "account", "claims")
+    ordered = placed.repartition("component").sortWithinPartitions("component", "account")
+    lost = ordered.mapInArrow(_settled, "account string, k long")
+    return _violation(lost, "sector_conflict", F.col("k"))
 
 
 def find_violations(
@@ -302,20 +306,18 @@ def estimated_flows(holdings: DataFrame, accounts: DataFrame, min_flow: float =
 
     Amounts up to `min_flow` either way are rounding of the delivered figures and no flow.
     """
-    series = over_time("account", "ticker")
-    changes = holdings.select(
-        "account",
+    series = over_time("portfolio_id", "ticker")
+    changes = holdings.join(accounts.select("account", "portfolio_id"), "account").select(
+        "portfolio_id",
         "date",
         (F.col("quantity") - F.lag("quantity").over(series)).alias("dq"),
         F.lag("price").over(series).alias("p_prev"),
     )
     return (
         changes.where(F.col("dq").isNotNull())
-        .groupBy("account", "date")
+        .groupBy("portfolio_id", "date")
         .agg(F.sum(F.col("dq") * F.col("p_prev")).alias("cf"))
         .where(F.abs("cf") > min_flow)
-        .join(accounts.select("account", "portfolio_id"), "account")
-        .select("portfolio_id", "date", "cf")
     )
 
 

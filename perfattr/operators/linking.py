@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.functions import measures as m
+from perfattr.operators.attribution import Held, market_calendar
+from perfattr.operators.returns import held_days
 
 
 def link_factors(days: DataFrame) -> DataFrame:
@@ -26,37 +28,94 @@ def link_factors(days: DataFrame) -> DataFrame:
     )
 
 
-def linked_attribution(daily: DataFrame) -> DataFrame:
+def market_arrays(market: DataFrame) -> DataFrame:
+    """One row: `sectors`, for each benchmark sector its weights and its effects where unheld, by calendar index.
+
+    An entry is null on dates without the sector.  The arrays are as long as the calendar.
+    """
+    calendar = market_calendar(market).scalar()
+    grid = market.select("sector").distinct().withColumn("days", calendar)
+    grid = grid.select("sector", F.posexplode("days")).select("sector", F.col("pos").alias("idx"), "col.date")
+    lost = F.col("wb") * (F.col("rb_i") - F.col("rb_total"))
+    cells = grid.join(market, ["date", "sector"], "left").select("sector", "idx", "wb", lost.alias("lost"))
+    lists = cells.groupBy("sector").agg(F.array_sort(F.collect_list(F.struct("idx", "wb", "lost"))).alias("cells"))
+    rows = lists.select("sector", F.col("cells.wb").alias("wb"), F.col("cells.lost").alias("lost"))
+    return rows.agg(F.collect_list(F.struct("sector", "wb", "lost")).alias("sectors"))
+
+
+def _total(values: Column) -> Column:
+    """Sum of an array's defined values."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+
+
+def linked_attribution(held: Held) -> DataFrame:
     """Effects per portfolio and sector that add up to the linked active return.
 
     They are NULL for a portfolio with days that cannot be linked; `unlinked_days`
     counts these.
 
-    The sectors of a day are held in one row while the factors are computed,
-    so the daily table is read once.
+    What held sectors add is summed over their rows.  What a sector loses where it is unheld, and the
+    part of the benchmark in every held one, is the dot product of the portfolio's
+    factors, one array per portfolio, with the sector's array of the market: no row per
+    portfolio, date and sector is made.
     """
-    effects = F.struct("sector", "wp", "wb", "allocation", "selection", "interaction")
-    days = daily.groupBy("portfolio_id", "date").agg(
-        F.sum(F.col("wp") * F.col("rp")).alias("rp"),
-        F.max("rb_total").alias("rb"),
-        F.collect_list(effects).alias("sectors"),
-    )
     whole = W.partitionBy("portfolio_id")
-    factors = (
-        link_factors(days)
+    days = (
+        link_factors(held_days(held, with_sectors=True))
         .withColumn("n_days", F.count("*").over(whole))
         .withColumn("unlinked", F.count_if(F.col("k_day").isNull()).over(whole))
     )
-    return (
-        factors.select("portfolio_id", "n_days", "unlinked", "factor", F.inline("sectors"))
+    f = F.col("factor")
+    own = (
+        days.select("portfolio_id", "factor", F.inline("sectors"))
         .groupBy("portfolio_id", "sector")
         .agg(
-            F.try_divide(F.sum("wp"), F.max("n_days")).alias("avg_wp"),
-            F.try_divide(F.sum("wb"), F.max("n_days")).alias("avg_wb"),
-            F.sum(F.col("factor") * F.col("allocation")).alias("allocation"),
-            F.sum(F.col("factor") * F.col("selection")).alias("selection"),
-            F.sum(F.col("factor") * F.col("interaction")).alias("interaction"),
-            F.max("unlinked").alias("unlinked_days"),
+            F.sum("wp").alias("wp"),
+            F.sum(f * F.col("own")).alias("own"),
+            F.sum(f * F.col("selection")).alias("selection"),
+            F.sum(f * F.col("interaction")).alias("interaction"),
+        )
+    )
+    folded = days.groupBy("portfolio_id").agg(
+        F.min("idx").alias("first"),
+        F.max("n_days").alias("n_days"),
+        F.max("unlinked").alias("unlinked_days"),
+        F.count("factor").alias("linked"),
+        F.array_sort(F.collect_list(F.struct("idx", "factor"))).alias("factors"),
+    )
+    every = folded.withColumn("sectors", market_arrays(held.market).scalar()).select(
+        "portfolio_id", "first", "n_days", "unlinked_days", "linked", "factors", F.inline("sectors")
+    )
+    part = [F.slice(c, F.col("first") + 1, F.col("n_days").cast("int")) for c in ("wb", "lost")]
+    products = F.zip_with("factors", "lost", lambda d, x: d["factor"] * x)
+    every = every.withColumn("wb", part[0]).withColumn("lost", part[1])
+    every = every.where(F.exists("wb", lambda x: x.isNotNull())).select(
+        "portfolio_id",
+        "sector",
+        "n_days",
+        "unlinked_days",
+        "linked",
+        _total(F.col("wb")).alias("wb"),
+        _total(products).alias("lost"),
+    )
+
+    def effect(value: Column) -> Column:
+        return F.when(F.col("linked") > 0, value)
+
+    def or_zero(name: str) -> Column:
+        return F.coalesce(name, F.lit(0.0))
+
+    return (
+        every.join(own, ["portfolio_id", "sector"], "left")
+        .select(
+            "portfolio_id",
+            "sector",
+            F.try_divide(or_zero("wp"), "n_days").alias("avg_wp"),
+            F.try_divide("wb", "n_days").alias("avg_wb"),
+            effect(or_zero("own") - F.col("lost")).alias("allocation"),
+            effect(or_zero("selection")).alias("selection"),
+            effect(or_zero("interaction")).alias("interaction"),
+            "unlinked_days",
         )
         .withColumn("total", F.col("allocation") + F.col("selection") + F.col("interaction"))
     )

@@ -168,15 +168,15 @@ def total_return_index(star: Star, tickers: DataFrame | None = None) -> DataFram
     )
 
 
-def segmented_index(index: DataFrame, star: Star) -> DataFrame:
-    """The index per rebalance rule, with segment numbers and the price orders are sized at.
+def segmented_index(index: DataFrame, used: DataFrame, star: Star) -> DataFrame:
+    """The index per rebalance rule in use, with segment numbers and the price orders are sized at.
 
-    A segment starts on a rebalance date; its orders use the prior close.
+    `used` holds the (ticker, rebalance) pairs that some model has.  A segment starts on a
+    rebalance date; its orders use the prior close.
     """
     flags = rebalance_flags(trading_calendar(star.benchmark_returns)).select(
         "date", "month_start", "quarter_start"
     )
-    rules = F.explode(F.array(*(F.lit(r) for r in REBALANCES)))
     starts = (
         F.when(F.col("rebalance") == "MONTHLY", F.col("month_start"))
         .when(F.col("rebalance") == "QUARTERLY", F.col("quarter_start"))
@@ -189,47 +189,70 @@ def segmented_index(index: DataFrame, star: Star) -> DataFrame:
     return (
         index.withColumn("prev_px", F.lag("px").over(series))
         .join(flags, "date")
-        .withColumn("rebalance", rules)
+        .join(used, "ticker")
         .withColumn("starts", starts)
-        .withColumn("segment", F.count_if("starts").over(so_far))
+        .withColumn("segment", F.count_if("starts").over(so_far).cast("int"))
         .withColumn("order_px", F.last(order_px, ignorenulls=True).over(so_far))
         .select("ticker", "sector", "rebalance", "date", "px", "segment", "order_px")
     )
 
 
-def segment_values(weights: DataFrame, paths: DataFrame) -> DataFrame:
-    """(model, segment, value): value at the prior close of every rebalance."""
-    closes = (
-        paths.groupBy("ticker", "rebalance", "segment")
-        .agg(F.max("order_px").alias("order_px"))
-        .withColumn(
-            "next_px", F.lead("order_px").over(W.partitionBy("ticker", "rebalance").orderBy("segment"))
-        )
+def price_paths(segmented: DataFrame) -> DataFrame:
+    """One row per ticker and rule: `path`, its days in order, and `growth` of each segment up to the next order.
+
+    The growth of the last segment is null.  Both are as long as the calendar at most.
+    """
+    entry = F.struct("date", "px", "segment", "order_px")
+    folded = segmented.groupBy("ticker", "sector", "rebalance").agg(
+        F.array_sort(F.collect_list(entry)).alias("path")
+    )
+    before = lambda i: F.get("path", i - 1)["segment"]
+    opened = F.filter("path", lambda x, i: F.coalesce(before(i) != x["segment"], F.lit(True)))
+    orders = F.transform(opened, lambda x: x["order_px"])
+    return folded.withColumn("orders", orders).select(
+        "ticker",
+        "sector",
+        "rebalance",
+        "path",
+        F.zip_with(F.slice("orders", 2, F.size("orders")), "orders", lambda to, at: F.try_divide(to, at)).alias("growth"),
     )
+
+
+def segment_values(weights: DataFrame, paths: DataFrame) -> DataFrame:
+    """(model, values): value at the prior close of every rebalance, by segment number."""
     growth = (
-        weights.join(closes, ["ticker", "rebalance"])
+        weights.join(paths.select("ticker", "rebalance", "growth"), ["ticker", "rebalance"])
+        .select("model", "weight", F.posexplode("growth").alias("segment", "growth"))
         .groupBy("model", "segment")
-        .agg(F.sum(F.col("weight") * F.try_divide(F.col("next_px"), F.col("order_px"))).alias("growth"))
+        .agg(F.sum(F.col("weight") * F.col("growth")).alias("growth"))
     )
     before = W.partitionBy("model").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     grown = F.coalesce(F.product("growth").over(before), F.lit(1.0))
-    return growth.select("model", "segment", (F.lit(INITIAL_VALUE) * grown).alias("value"))
+    values = growth.select("model", "segment", (F.lit(INITIAL_VALUE) * grown).alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("segment", "value")))
+    return values.groupBy("model").agg(ordered["value"].alias("values"))
 
 
 def model_holdings(weights: DataFrame, star: Star) -> DataFrame:
-    """Holdings rows of the models, ready for the importer; the model is the account."""
-    paths = stored(segmented_index(total_return_index(star, weights), star))
+    """Holdings rows of the models, ready for the importer; the model is the account.
+
+    A target meets its model's values and its ticker's path as one row each; days are spelt out last, so
+    no row per target and day is shuffled.
+    """
+    used = weights.select("ticker", "rebalance").distinct()
+    paths = stored(price_paths(segmented_index(total_return_index(star, weights), used, star)))
     values = segment_values(weights, paths)
-    quantity = F.try_divide(F.col("weight") * F.col("value"), F.col("order_px"))
+    value = F.element_at("values", F.col("segment") + 1)
     return (
-        weights.join(paths, ["ticker", "rebalance"])
-        .join(values, ["model", "segment"])
+        weights.join(values, "model")
+        .join(paths.select("ticker", "sector", "rebalance", "path"), ["ticker", "rebalance"])
+        .select("model", "ticker", "sector", "weight", "values", F.inline("path"))
         .select(
             F.col("model").alias("account"),
             "date",
             "ticker",
             "sector",
-            quantity.alias("quantity"),
+            F.try_divide(F.col("weight") * value, F.col("order_px")).alias("quantity"),
             F.col("px").alias("price"),
             F.lit(0.0).alias("dividend"),
         )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfattr.functions import measures as m
+from perfattr.operators.attribution import Held
 from perfattr.operators.returns import day_returns, sub_period_returns
 
 TOLERANCE = 1e-10
@@ -41,13 +42,13 @@ def invariant_violations(daily: DataFrame, tolerance: float = TOLERANCE) -> Data
     return invariant_gaps(daily).where(gaps > tolerance)
 
 
-def return_gap(valued: DataFrame, daily: DataFrame) -> DataFrame:
+def return_gap(valued: DataFrame, held: Held) -> DataFrame:
     """Market-value return against weight-based return, day by day.
 
     Days that one side lacks are rows too: `only` says which side has them.
     """
     by_value = sub_period_returns(valued).select("portfolio_id", "date", F.col("rp").alias("rp_mv"))
-    by_weight = day_returns(daily).select("portfolio_id", "date", F.col("rp").alias("rp_weight"))
+    by_weight = day_returns(held).select("portfolio_id", "date", F.col("rp").alias("rp_weight"))
     by_value = by_value.withColumn("has_value", F.lit(True))
     by_weight = by_weight.withColumn("has_weight", F.lit(True))
     only = F.when(F.col("has_weight").isNull(), "value").when(F.col("has_value").isNull(), "weight")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfattr.functions import measures as m
+from perfattr.operators.attribution import Held, market_calendar, within
 from perfattr.operators.common import Day, Portfolios, as_date, in_range, over_time, pick_portfolios
 from perfattr.sources.star import Star
 
@@ -48,11 +49,30 @@ def benchmark_days(star: Star, start: Day = None, end: Day = None) -> DataFrame:
     )
 
 
-def day_returns(daily: DataFrame) -> DataFrame:
-    """(portfolio_id, date, rp, rb): weight-based returns out of daily sector rows."""
-    return daily.groupBy("portfolio_id", "date").agg(
-        F.sum(F.col("wp") * F.col("rp")).alias("rp"), F.max("rb_total").alias("rb")
-    )
+def held_days(held: Held, with_sectors: bool = False) -> DataFrame:
+    """(portfolio_id, idx, date, rp, rb) for every benchmark date in a portfolio's span, out of its held sectors.
+
+    `idx` is the date's place in the benchmark's calendar.  `with_sectors` adds the day's held rows as a
+    list, so they need not be computed again.
+    """
+    calendar = market_calendar(held.market).scalar()
+    days = held.spans.withColumn("days", calendar).select("portfolio_id", "after", "until", F.posexplode("days"))
+    days = days.select("portfolio_id", "after", "until", F.col("pos").alias("idx"), "col.date", "col.rb")
+    days = days.where(within(F.col("date"))).drop("after", "until")
+    figures = [F.sum(F.col("wp") * F.col("rp")).alias("own")]
+    if with_sectors:
+        entry = F.struct("sector", "wp", "own", "selection", "interaction")
+        figures.append(F.collect_list(entry).alias("sectors"))
+    own = held.rows.groupBy("portfolio_id", "date").agg(*figures)
+    # A day without holdings returns 0, as cash would.
+    rp = F.coalesce("own", F.when(F.col("rb").isNotNull(), 0.0))
+    joined = days.join(own, ["portfolio_id", "date"], "left")
+    return joined.select("portfolio_id", "idx", "date", rp.alias("rp"), "rb", *(["sectors"] if with_sectors else []))
+
+
+def day_returns(held: Held) -> DataFrame:
+    """(portfolio_id, date, rp, rb): weight-based returns of every day."""
+    return held_days(held).drop("idx")
 
 
 def market_value_days(

@@ -177,13 +177,13 @@ def week_readout(weekly: DataFrame, week: int | None = None) -> DataFrame:
 
 
 def portfolio_detail(
-    star: Star, daily: DataFrame, periods_per_year: int = m.PERIODS_PER_YEAR
+    star: Star, held: attribution.Held, periods_per_year: int = m.PERIODS_PER_YEAR
 ) -> DataFrame:
     """One nested row per portfolio: series, risk, attribution and contributors.
 
     Every list is bounded by the calendar, the sectors or the ranks shown.
     """
-    days = returns.day_returns(daily)
+    days = returns.day_returns(held)
     series = days.groupBy("portfolio_id").agg(
         F.sort_array(F.collect_list(F.struct("date", m.export_number(F.col("rp")).alias("rp")))).alias("series")
     )
@@ -192,7 +192,7 @@ def portfolio_detail(
         "portfolio_id", F.struct(*(m.export_number(F.col(c)).alias(c) for c in figures)).alias("risk")
     )
     effects = ("avg_wp", "avg_wb", "allocation", "selection", "interaction")
-    linked = linking.linked_attribution(daily).groupBy("portfolio_id").agg(
+    linked = linking.linked_attribution(held).groupBy("portfolio_id").agg(
         F.sort_array(
             F.collect_list(F.struct("sector", *(m.export_number(F.col(c)).alias(c) for c in effects)))
         ).alias("attribution")
@@ -237,7 +237,9 @@ def export_marts(
         "sectors": sector_labels(star),
         "portfolios": star.portfolios.select("portfolio_id", "name"),
         "securities": models.eligible_securities(star).withColumn("label", m.short_sector(F.col("sector"))),
-        "portfolio": portfolio_detail(star, daily, periods_per_year),
+        "portfolio": portfolio_detail(
+            star, attribution.held_sectors(star, within_lifespan=True), periods_per_year
+        ),
         "weights": weights_matrix(weekly_weights(daily, star)),
     }
     for name, table in tables.items():

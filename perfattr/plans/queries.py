@@ -128,7 +128,7 @@ def active_return(star: Star) -> DataFrame:
 
 @over_star("portfolio_day_returns")
 def portfolio_day_returns(star: Star) -> DataFrame:
-    return returns.day_returns(att.attribution_daily(star))
+    return returns.day_returns(att.held_sectors(star))
 
 
 # -- attribution ---------------------------------------------------------------------------
@@ -208,12 +208,12 @@ def lifespan(star: Star) -> DataFrame:
 
 @over_star("carino_factors", 8)
 def carino_factors(star: Star) -> DataFrame:
-    return linking.link_factors(returns.day_returns(att.attribution_daily(star, within_lifespan=True)))
+    return linking.link_factors(returns.day_returns(att.held_sectors(star, within_lifespan=True)))
 
 
 @over_star("attribution_linked")
 def attribution_linked(star: Star) -> DataFrame:
-    return linking.linked_attribution(att.attribution_daily(star, within_lifespan=True))
+    return linking.linked_attribution(att.held_sectors(star, within_lifespan=True))
 
 
 @over_star("attribution_linked_short_lived")
@@ -224,15 +224,15 @@ def attribution_linked_short_lived(star: Star) -> DataFrame:
 @over_star("linked_with_bad_days")
 def linked_with_bad_days(star: Star) -> DataFrame:
     """Every third portfolio is geared so that some of its days cannot be linked."""
-    daily = att.attribution_daily(star, within_lifespan=True)
+    held = att.held_sectors(star, within_lifespan=True)
     gear = F.when(F.col("portfolio_id") % 3 == 0, 25.0).otherwise(1.0)
-    return linking.linked_attribution(daily.withColumn("rp", F.col("rp") * gear))
+    return linking.linked_attribution(replace(held, rows=held.rows.withColumn("rp", F.col("rp") * gear)))
 
 
 @over_star("attribution_totals")
 def attribution_totals(star: Star) -> DataFrame:
     return linking.attribution_totals(
-        linking.linked_attribution(att.attribution_daily(star, within_lifespan=True))
+        linking.linked_attribution(att.held_sectors(star, within_lifespan=True))
     )
 
 
@@ -250,7 +250,7 @@ def top_bottom_contributors(star: Star) -> DataFrame:
 
 
 def _weight_days(star: Star) -> DataFrame:
-    return returns.day_returns(att.attribution_daily(star, within_lifespan=True))
+    return returns.day_returns(att.held_sectors(star, within_lifespan=True))
 
 
 @over_star("risk_summary", 8)
@@ -328,7 +328,7 @@ def sector_labels(star: Star) -> DataFrame:
 
 @over_star("waterfall", 5)
 def waterfall(star: Star) -> DataFrame:
-    return marts.waterfall(linking.linked_attribution(att.attribution_daily(star, within_lifespan=True)))
+    return marts.waterfall(linking.linked_attribution(att.held_sectors(star, within_lifespan=True)))
 
 
 @over_star("active_weights", 8)
@@ -380,7 +380,7 @@ def sector_labels_gics(star: Star) -> DataFrame:
 @over_star("portfolio_detail")
 def portfolio_detail(star: Star) -> DataFrame:
     """The nested documents as JSON text."""
-    detail = marts.portfolio_detail(star, stored(att.attribution_daily(star, within_lifespan=True)), P)
+    detail = marts.portfolio_detail(star, att.held_sectors(star, within_lifespan=True), P)
     nested = [c for c in detail.columns if c not in ("portfolio_id", "name")]
     return detail.select("portfolio_id", "name", F.to_json(F.struct(*nested)).alias("document"))
 
@@ -406,7 +406,7 @@ def uncovered_sectors(star: Star) -> DataFrame:
 
 @over_star("return_gap")
 def return_gap(star: Star) -> DataFrame:
-    return quality.return_gap(returns.valuations(star), att.attribution_daily(star, within_lifespan=True))
+    return quality.return_gap(returns.valuations(star), att.held_sectors(star, within_lifespan=True))
 
 
 @over_star("return_gap_holes")

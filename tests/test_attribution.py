@@ -46,7 +46,7 @@ def test_contributions(golden):
 
 
 def test_waterfall(golden):
-    linked = linking.linked_attribution(attribution.attribution_daily(golden))
+    linked = linking.linked_attribution(attribution.held_sectors(golden))
     rows = marts.waterfall(linked).orderBy("step").collect()
     assert [r.label for r in rows] == ["Energy", "Tech", "Active return"]
     assert [r.bar_start for r in rows] == pytest.approx([0, -3, 0], abs=1e-9)
@@ -54,9 +54,9 @@ def test_waterfall(golden):
 
 
 def test_linked_effects_reconcile(universe):
-    daily = attribution.attribution_daily(universe, within_lifespan=True)
-    total = linking.attribution_totals(linking.linked_attribution(daily)).first()
-    active = returns.active_returns(returns.day_returns(daily)).first()
+    held = attribution.held_sectors(universe, within_lifespan=True)
+    total = linking.attribution_totals(linking.linked_attribution(held)).first()
+    active = returns.active_returns(returns.day_returns(held)).first()
     assert total.total == pytest.approx(active.active_return, abs=1e-12)
     assert total.avg_wp == pytest.approx(1, abs=1e-12)
 

@@ -201,6 +201,6 @@ def test_zero_flow_twr_is_value_ratio(spark, universe):
 
 
 def test_return_gap_is_zero_for_constant_quantities(spark, universe):
-    gap = quality.return_gap(returns.valuations(universe), attribution.attribution_daily(universe))
+    gap = quality.return_gap(returns.valuations(universe), attribution.held_sectors(universe))
     assert gap.count() == 60
     assert gap.agg(F.max(F.abs("gap"))).first()[0] < 1e-12

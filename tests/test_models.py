@@ -64,7 +64,7 @@ def test_single_ticker_model_is_the_security(spark, universe):
     got = batch.summary.first()
     assert (got.position_rows, got.flow_days, got.new_securities) == (60, 0, 0)
     grown = universe.append(batch.deltas)
-    days = returns.day_returns(attribution.attribution_daily(grown, DAYS[2], portfolios=[2]))
+    days = returns.day_returns(attribution.held_sectors(grown, DAYS[2], portfolios=[2]))
     rets = universe.benchmark_returns.where("security_id = 1").select("date", "ret")
     worst = days.join(rets, "date").agg(F.max(F.abs(F.col("rp") - F.col("ret"))), F.count("*")).first()
     assert worst[0] < 1e-12 and worst[1] == 59

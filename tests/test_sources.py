@@ -94,8 +94,8 @@ def test_exported_marts(spark, universe, tmp_path):
     doc = spark.read.json(f"{path}/portfolio").first()
     assert doc.name == "Portfolio 001" and len(doc.series) == 60 and len(doc.attribution) == 3
     assert len(doc.top) == 6 and doc.bottom == []
-    daily = attribution.attribution_daily(universe, within_lifespan=True)
-    twr = returns.active_returns(returns.day_returns(daily)).first().twr
+    held = attribution.held_sectors(universe, within_lifespan=True)
+    twr = returns.active_returns(returns.day_returns(held)).first().twr
     assert doc.risk.twr == pytest.approx(twr, abs=1e-7)
     weights = spark.read.json(f"{path}/weights").first()
     assert len(weights.sectors) == 3 and len(weights.sectors[0].weights) == 12
@@ -113,7 +113,7 @@ def test_performance_summary_counts_days_to_the_requested_end(universe):
 
 
 def test_period_kpis_keep_two_days(spark, universe):
-    days = returns.day_returns(attribution.attribution_daily(universe, within_lifespan=True))
+    days = returns.day_returns(attribution.held_sectors(universe, within_lifespan=True))
     early = days.where("date <= '2024-01-12'")
     got = {r.period: r for r in marts.period_kpis(early, universe.benchmark_returns).collect()}
     assert got["SI"].n_days == 8 and got["MTD"].n_days == 2 and got["MTD"].te is not None

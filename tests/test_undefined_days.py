@@ -34,14 +34,15 @@ def test_full_withdrawal_leaves_no_linked_return(spark):
 
 
 def geared(universe, date, returns_):
-    daily = attribution.attribution_daily(universe)
-    return daily.withColumn("rp", F.when(F.col("date") == date, returns_).otherwise(F.col("rp")))
+    held = attribution.held_sectors(universe)
+    rp = F.when(F.col("date") == date, returns_).otherwise(F.col("rp"))
+    return replace(held, rows=held.rows.withColumn("rp", rp))
 
 
 def test_unlinkable_day_leaves_no_linked_effects(universe):
     linked = linking.linked_attribution(geared(universe, "2024-02-01", F.lit(-2.5))).collect()
     assert len(linked) == 3 and all(r.selection is None and r.total is None and r.unlinked_days == 1 for r in linked)
-    whole = linking.linked_attribution(attribution.attribution_daily(universe)).collect()
+    whole = linking.linked_attribution(attribution.held_sectors(universe)).collect()
     assert all(r.total is not None and r.unlinked_days == 0 for r in whole)
 
 
@@ -66,7 +67,7 @@ def test_each_series_is_linked_over_its_own_days(universe):
     assert part.bench_twr != pytest.approx(full.bench_twr)
     days = returns.market_value_days(holes)
     assert returns.active_returns(days).first().twr == pytest.approx(full.twr)
-    gaps = quality.return_gap(returns.valuations(holes), attribution.attribution_daily(holes)).collect()
+    gaps = quality.return_gap(returns.valuations(holes), attribution.held_sectors(holes)).collect()
     assert len(gaps) == 60 and sum(r.only == "value" for r in gaps) == 7
 
 
