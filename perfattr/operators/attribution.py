@@ -1,9 +1,8 @@
 """Sector attribution: allocation, selection and interaction per portfolio and day.
 
-The fact is scanned once and shuffled once, by its series, for the prior close.
-It then meets returns and securities as plain tables, whose stored size tells
-Spark before the run whether they can be broadcast.  Everything after the
-(portfolio, date, sector) aggregate is small.
+The fact is scanned once and shuffled once, for the prior close, and meets returns and
+sectors as one row per security (`series`).  Everything after the (portfolio, date,
+sector) aggregate is small.
 
 An unheld sector's effect depends on the benchmark alone.  `held_sectors` therefore has
 rows for held sectors only, next to the benchmark's calendar; day returns, linked and
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.functions import measures as m
-from perfattr.operators.common import Day, Portfolios, as_date, in_range, over_time, pick_portfolios
+from perfattr.operators.common import Day, Portfolios, in_range, pick_portfolios
+from perfattr.operators.series import basis_returns, prior_closes
 from perfattr.sources.star import Star
 from perfattr.sources.storage import stored
 
@@ -30,25 +30,14 @@ def weight_basis(
     start: Day = None,
     end: Day = None,
     portfolios: Portfolios = None,
-    bounded_lookback: bool = False,
 ) -> DataFrame:
     """(portfolio_id, security_id, date, basis): prior-close value of every holding.
 
     The lag is taken before the lower date bound, so the first day still sees
-    its prior close.  `bounded_lookback` reads only from the last trading day
-    before `start`; it is right for series without gaps.
+    its prior close.
     """
     positions = pick_portfolios(in_range(star.positions_daily, end=end), portfolios)
-    if bounded_lookback and start is not None:
-        before = star.benchmark_returns.where(F.col("date") < as_date(start))
-        positions = in_range(positions, before.agg(F.max("date")).first()[0])
-    lagged = positions.select(
-        "portfolio_id",
-        "security_id",
-        "date",
-        F.lag("market_value").over(over_time("portfolio_id", "security_id")).alias("basis"),
-    )
-    return in_range(lagged.where(F.col("basis").isNotNull()), start)
+    return in_range(prior_closes(positions), start)
 
 
 def portfolio_sectors(
@@ -56,13 +45,10 @@ def portfolio_sectors(
     start: Day = None,
     end: Day = None,
     portfolios: Portfolios = None,
-    bounded_lookback: bool = False,
 ) -> DataFrame:
     """(portfolio_id, date, sector, wp, rp); NULL weight or return on a zero basis."""
-    basis = weight_basis(star, start, end, portfolios, bounded_lookback)
     collapsed = (
-        basis.join(in_range(star.benchmark_returns, start, end), ["security_id", "date"])
-        .join(star.securities.select("security_id", "sector"), "security_id")
+        basis_returns(star, start, end, portfolios)
         .groupBy("portfolio_id", "date", "sector")
         .agg(F.sum("basis").alias("basis"), F.sum(F.col("basis") * F.col("ret")).alias("basis_ret"))
     )
@@ -149,13 +135,12 @@ def held_sectors(
     end: Day = None,
     portfolios: Portfolios = None,
     within_lifespan: bool = False,
-    bounded_lookback: bool = False,
 ) -> Held:
     """Effects of the sectors held by each portfolio; one without a weight or return of its own counts as unheld."""
     market = stored(benchmark_sectors(star, start, end), "market")
     wb, rb_i, rb = (F.col(c) for c in ("wb", "rb_i", "rb_total"))
     wp, rp = F.coalesce("wp", F.lit(0.0)), F.coalesce("rp", rb_i)
-    rows = portfolio_sectors(star, start, end, portfolios, bounded_lookback).join(market, ["date", "sector"])
+    rows = portfolio_sectors(star, start, end, portfolios).join(market, ["date", "sector"])
     rows = rows.select(
         "portfolio_id",
         "date",
@@ -195,14 +180,13 @@ def attribution_daily(
     end: Day = None,
     portfolios: Portfolios = None,
     within_lifespan: bool = False,
-    bounded_lookback: bool = False,
 ) -> DataFrame:
     """Effects per portfolio, date and sector.
 
     A sector without a weight or return of its own counts as unheld: weight 0
     and the benchmark's return, which leaves its allocation effect only.
     """
-    held = portfolio_sectors(star, start, end, portfolios, bounded_lookback)
+    held = portfolio_sectors(star, start, end, portfolios)
     grid = spine(star, start, end, portfolios, within_lifespan)
     wp, wb, rp, rb_i, rb = (F.col(c) for c in ("wp", "wb", "rp", "rb_i", "rb_total"))
     return (
@@ -245,7 +229,6 @@ def attribution_over_period(
     start: Day = None,
     end: Day = None,
     portfolios: Portfolios = None,
-    bounded_lookback: bool = False,
 ) -> DataFrame:
     """The same as `attribution_period` over all benchmark dates, without a row per portfolio and day.
 
@@ -253,7 +236,7 @@ def attribution_over_period(
     allocation that depends on the benchmark alone is one sum per sector; the rest are sums
     over held rows.
     """
-    held = held_sectors(star, start, end, portfolios, bounded_lookback=bounded_lookback)
+    held = held_sectors(star, start, end, portfolios)
     wb, rb_i, rb = (F.col(c) for c in ("wb", "rb_i", "rb_total"))
     own = held.rows.groupBy("portfolio_id", "sector").agg(
         F.sum("wp").alias("wp"),

@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from perfattr.operators.attribution import weight_basis
-from perfattr.operators.common import Day, Portfolios, in_range
+from perfattr.operators.common import Day, Portfolios
+from perfattr.operators.series import basis_returns
 from perfattr.sources.star import Star
+from perfattr.sources.storage import stored
 
 TOP, BOTTOM = 8, 5
 
 
+def _dense(listed: str) -> Column:
+    """Array by place from the first one on, null in between, out of an ordered list of (place, total)."""
+    none = F.lit(None).cast("double")
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(listed, i - 1)["place"], x["place"] - 1)
+        return F.concat(F.array_repeat(none, x["place"] - before - 1), F.array(x["total"]))
+
+    return F.flatten(F.transform(listed, step))
+
+
 def contributions(
     star: Star, start: Day = None, end: Day = None, portfolios: Portfolios = None
 ) -> DataFrame:
     """(portfolio_id, ticker, sector, contribution): sum of daily weight times return.
 
     Weights are shares of the holdings that have a return that day, so the day
-    total is taken after the join with returns.
+    total is taken after the fact has met its returns.
+
+    Basis and return are worked out once and stored, one row per series.  A portfolio's day
+    totals are one row with an array by calendar index, from which each day of a series
+    picks its own; only these rows meet by portfolio.
     """
-    held = weight_basis(star, start, end, portfolios).join(
-        in_range(star.benchmark_returns, start, end), ["security_id", "date"]
-    )
-    # Day totals are combined before they are shuffled; the prior-close exchange serves both branches.
-    totals = held.groupBy("portfolio_id", "date").agg(F.sum("basis").alias("total"))
-    by_security = (
-        held.join(totals, ["portfolio_id", "date"])
-        .groupBy("portfolio_id", "security_id")
-        .agg(F.sum(F.try_divide(F.col("basis") * F.col("ret"), F.col("total"))).alias("contribution"))
+    held = basis_returns(star, start, end, portfolios)
+    days = F.collect_list(F.struct("place", "basis", "ret")).alias("days")
+    series = stored(held.groupBy("portfolio_id", "security_id").agg(days), "series")
+    listed = (
+        series.select("portfolio_id", F.inline("days"))
+        .groupBy("portfolio_id", "place")
+        .agg(F.sum("basis").alias("total"))
+        .groupBy("portfolio_id")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("listed"))
     )
+    totals = listed.select("portfolio_id", F.get("listed", F.lit(0))["place"].alias("first"), _dense("listed").alias("totals"))
+    total = F.get("totals", F.col("place") - F.col("first"))
     return (
-        by_security.join(star.securities.select("security_id", "ticker", "sector"), "security_id")
+        series.join(star.securities.select("security_id", "ticker", "sector"), "security_id")
+        .join(stored(totals, "totals"), "portfolio_id")
+        .select("portfolio_id", "ticker", "sector", "first", "totals", F.inline("days"))
+        .select("portfolio_id", "ticker", "sector", F.try_divide(F.col("basis") * F.col("ret"), total).alias("part"))
         .groupBy("portfolio_id", "ticker", "sector")
-        .agg(F.sum("contribution").alias("contribution"))
+        .agg(F.sum("part").alias("contribution"))
     )
 
 

@@ -68,6 +68,15 @@ def short_lived(star: Star) -> Star:
     )
 
 
+def gapped(star: Star) -> Star:
+    """Every seventh series is missing for a while, some of them for more than two years."""
+    dates = trading_calendar(star.benchmark_returns).select("date", "idx")
+    held = star.positions_daily.join(dates, "date", "left")
+    kind = (F.col("portfolio_id") * 3 + F.col("security_id")) % 7
+    gone = (kind == 2) & F.col("idx").between(38, 64) | (kind == 4) & F.col("idx").between(57, 60)
+    return star.with_positions(held.where(~F.coalesce(gone, F.lit(False))).drop("idx"))
+
+
 def benchmark_holes(star: Star) -> Star:
     """The benchmark has no weights in March and no returns in August."""
     return replace(

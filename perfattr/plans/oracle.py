@@ -79,6 +79,10 @@ sold_out AS (
            CASE WHEN idx BETWEEN 6 AND 8 AND srank = (portfolio_id + 1) % (SELECT count(*) FROM sector_ranks) THEN 0.0 ELSE quantity END AS quantity
     FROM positions_daily p JOIN securities USING (security_id) JOIN sector_ranks USING (sector)
     LEFT JOIN tcal ON tcal.date = p.date)),
+gapped AS (
+  SELECT p.* FROM positions_daily p LEFT JOIN tcal USING (date)
+  WHERE NOT coalesce((portfolio_id * 3 + security_id) % 7 = 2 AND idx BETWEEN 38 AND 64
+                     OR (portfolio_id * 3 + security_id) % 7 = 4 AND idx BETWEEN 57 AND 60, false)),
 short_lived AS (
   SELECT p.* FROM positions_daily p, (SELECT date AS turn FROM tcal WHERE idx = (SELECT count(*) // 2 FROM tcal)) t
   WHERE (portfolio_id % 5 <> 0 OR date <= turn) AND (portfolio_id % 5 <> 1 OR date >= turn)),
@@ -507,7 +511,8 @@ def oracle() -> dict[str, str]:
         "attribution_daily_tilted": sql(effects(positions="tilted"), daily_select()),
         "attribution_zero_basis": sql(effects(positions="sold_out"), daily_select()),
         "attribution_window": sql(window, daily_select()),
-        "attribution_bounded_lookback": sql(window, period_select()),
+        "attribution_bounded_lookback": sql(effects(positions="gapped", start=start, end=end), period_select()),
+        "attribution_gapped": sql(effects(positions="gapped", start=start, end=end), period_select()),
         "attribution_picked_portfolios": sql(effects(), period_select(
             where="WHERE portfolio_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")),
         "attribution_period": sql(effects(), period_select()),

@@ -22,6 +22,7 @@ from perfattr.plans import inputs, marts
 from perfattr.sources import batches, testdata
 from perfattr.sources import star as stars
 from perfattr.sources.holdings_csv import read_holdings
+from perfattr.sources.periods import read_window, write_by_period
 from perfattr.sources.star import Star
 from perfattr.sources.storage import new_path, stored
 
@@ -169,9 +170,24 @@ def attribution_window(star: Star) -> DataFrame:
     return att.attribution_daily(star, *WINDOW)
 
 
-@over_star("attribution_bounded_lookback")
-def attribution_bounded_lookback(star: Star) -> DataFrame:
-    return att.attribution_over_period(star, *WINDOW, bounded_lookback=True)
+def _bounded_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of a fact with gaps, from the periods it touches and what is carried into them."""
+    star = testdata.load(spark, sf_dir).star
+
+    def write(path: str) -> None:
+        write_by_period(inputs.gapped(star).positions_daily, path)
+
+    path = testdata.write_once(spark, sf_dir, "gapped", write)
+    return rounded(att.attribution_over_period(star.with_positions(read_window(spark, path, *WINDOW)), *WINDOW))
+
+
+REGISTRY["attribution_bounded_lookback"] = _bounded_lookback
+
+
+@over_star("attribution_gapped")
+def attribution_gapped(star: Star) -> DataFrame:
+    """The same window out of the whole fact."""
+    return att.attribution_over_period(inputs.gapped(star), *WINDOW)
 
 
 REGISTRY["attribution_picked_portfolios"] = lambda spark, sf_dir: rounded(

@@ -55,3 +55,25 @@ def modification_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     files, hadoop_path = _file_system(spark, path)
     size = files.getContentSummary(hadoop_path).getLength()
     return size, files.getFileStatus(hadoop_path).getModificationTime()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    files, hadoop_path = _file_system(spark, path)
+    files.delete(hadoop_path, True)
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether the files of a stored table are small enough for the session to broadcast it.
+
+    Files are compressed, so a quarter of the threshold is allowed.
+    """
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = sum(modification_stamp(table.sparkSession, path)[0] for path in table.inputFiles())
+    return size <= limit // 4
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right below a folder."""
+    files, hadoop_path = _file_system(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(hadoop_path)]

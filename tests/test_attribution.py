@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import day, make_star
 from perfattr.operators import attribution, contribution, linking, quality, returns
 from perfattr.plans import marts
+from perfattr.sources.periods import read_window, write_by_period
 
 
 def test_valuations_and_twr(golden):
@@ -61,12 +62,20 @@ def test_linked_effects_reconcile(universe):
     assert total.avg_wp == pytest.approx(1, abs=1e-12)
 
 
-def test_bounded_lookback_equals_full_scan(universe):
-    args = ("2024-02-01", "2024-03-01")
-    full = attribution.attribution_daily(universe, *args)
-    short = attribution.attribution_daily(universe, *args, bounded_lookback=True)
-    diff = quality.max_abs_diff(full, short, ["portfolio_id", "date", "sector"], ["wp", "rp", "allocation"]).first()
-    assert diff.n_keys > 0 and diff.only_left == diff.only_right == 0 and diff.max_abs_diff < 1e-15
+def test_window_of_periods_equals_full_scan(spark, universe, tmp_path):
+    """Series with gaps, one of them over a whole period, another that ends before the window."""
+    gone = "(security_id = 2 and date between '2024-01-10' and '2024-02-20') or (security_id = 3 and date > '2024-01-20')"
+    star = universe.with_positions(universe.positions_daily.where(f"not ({gone})"))
+    write_by_period(star.positions_daily, str(tmp_path / "p"), months=1)
+    for args in (("2024-02-01", "2024-03-01"), ("2024-02-15", None), (None, "2024-02-10"), ("2025-01-01", "2025-02-01")):
+        window = star.with_positions(read_window(spark, str(tmp_path / "p"), *args))
+        full, short = (attribution.attribution_daily(s, *args) for s in (star, window))
+        diff = quality.max_abs_diff(full, short, ["portfolio_id", "date", "sector"], ["wp", "rp", "allocation"]).first()
+        assert diff.only_left == diff.only_right == 0 and (diff.max_abs_diff or 0) < 1e-15
+    window = read_window(spark, str(tmp_path / "p"), "2024-02-15", "2024-03-01")
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(period") == 2 and len(window.inputFiles()) > 0
+    assert window.where("date < '2024-02-01'").count() == 6  # one row per series
 
 
 def test_windowed_attribution_equals_part_of_full(universe):
