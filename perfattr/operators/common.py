@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from perfattr.sources.storage import fits_broadcast
+
 Day = date | str | None
 Portfolios = DataFrame | Iterable[int] | None
 
@@ -42,6 +44,19 @@ def running(*keys: str) -> W:
     return over_time(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+def join_spread(rows: DataFrame, small: DataFrame, key: str, spread_by: str, salts: int = 16) -> DataFrame:
+    """Inner join with a stored table that has one row per key, however many rows share a key.
+
+    Broadcast if its files are small enough; else rows of a key are dealt to `salts` tasks by another column, and the
+    other table has a copy of its row in each.
+    """
+    if fits_broadcast(small):
+        return rows.join(F.broadcast(small), key)
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
+
+
 def number_rows(df: DataFrame, order_by: list[str], column: str, splitters: int | None = None) -> DataFrame:
     """Number rows 1, 2, ... in the order of a unique key without sorting them in one task.
 

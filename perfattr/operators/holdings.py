@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.operators.calendar import date_array
-from perfattr.operators.common import number_rows, over_time
+from perfattr.operators.common import join_spread, number_rows, over_time
 from perfattr.operators.graph import connected
 from perfattr.sources.schemas import GICS_SECTORS
 from perfattr.sources.star import Star
@@ -270,9 +270,10 @@ def map_securities(holdings: DataFrame, accounts: DataFrame, star: Star) -> Data
 
 
 def imported_positions(holdings: DataFrame, accounts: DataFrame, security_map: DataFrame) -> DataFrame:
+    """Both tables are stored; a ticker or an account may have a large part of all rows."""
+    named = join_spread(holdings, accounts.select("account", "portfolio_id"), "account", "ticker")
     return (
-        holdings.join(accounts.select("account", "portfolio_id"), "account")
-        .join(security_map.select("ticker", "security_id"), "ticker")
+        join_spread(named, security_map.select("ticker", "security_id"), "ticker", "account")
         .select(
             "date",
             "portfolio_id",
@@ -307,7 +308,7 @@ def estimated_flows(holdings: DataFrame, accounts: DataFrame, min_flow: float =
     Amounts up to `min_flow` either way are rounding of the delivered figures and no flow.
     """
     series = over_time("portfolio_id", "ticker")
-    changes = holdings.join(accounts.select("account", "portfolio_id"), "account").select(
+    changes = join_spread(holdings, accounts.select("account", "portfolio_id"), "account", "ticker").select(
         "portfolio_id",
         "date",
         (F.col("quantity") - F.lag("quantity").over(series)).alias("dq"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perfattr.functions import measures as m
 from perfattr.operators.attribution import Held
@@ -95,3 +96,25 @@ def non_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for name in columns:
         ok = ok & m.is_finite(F.col(name))
     return df.where(~ok)
+
+
+def _holds_non_finite(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a value has NaN or infinity anywhere inside; None if its type has no such figures."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value.isNotNull() & ~m.is_finite(value)
+    if isinstance(kind, T.ArrayType):
+        if _holds_non_finite(F.lit(None), kind.elementType) is None:
+            return None
+        return F.exists(value, lambda x: F.coalesce(_holds_non_finite(x, kind.elementType), F.lit(False)))
+    if isinstance(kind, T.StructType):
+        parts = [_holds_non_finite(value[f.name], f.dataType) for f in kind.fields]
+        parts = [F.coalesce(p, F.lit(False)) for p in parts if p is not None]
+        return F.array_contains(F.array(*parts), True) if parts else None
+    return None
+
+
+def not_finite_inside(df: DataFrame) -> DataFrame:
+    """Rows with NaN or infinity in any figure, in lists and nested rows too.  NULL is an undefined figure, not one of these."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    found = _holds_non_finite(whole, df.schema)
+    return df.where(found) if found is not None else df.limit(0)

@@ -160,7 +160,10 @@ def account_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_faults(rows: DataFrame, sectors: list[str]) -> DataFrame:
-    """One fault for nine of ten accounts, chosen by the last digit of the account number."""
+    """One fault for nine of ten accounts, chosen by the last digit of the account number.
+
+    The others each give the new tickers of one brand another sector, so they contradict one another.
+    """
     number = F.substring("account", 2, 8).cast("int")
     kind, year, month = number % 10, F.year("date"), F.month("date")
     first_sector, last_sector = F.lit(sectors[0]), F.lit(sectors[-1])
@@ -170,7 +173,7 @@ def _with_faults(rows: DataFrame, sectors: list[str]) -> DataFrame:
         F.when((kind == 1) & (brand == "7"), F.lit("PETROLEUM"))
         .when((kind == 6) & (brand == "3") & (month == 5), other)
         .when((kind == 7) & (brand == "5"), other)
-        .when((number % 20 == 10) & (F.col("ticker") == "N-ECONOMY-Brand#1"), other)
+        .when((kind == 0) & F.col("ticker").startswith("N-") & (brand.cast("int") == F.floor(number / 10) % 25 + 1), other)
         .otherwise(F.col("sector"))
     )
     spoilt = rows.select(
@@ -274,12 +277,12 @@ def broken_targets(star: Star) -> DataFrame:
 
 
 def late_returns(star: Star) -> Star:
-    """The largest brand number of every type has returns in the last twelve dates only."""
+    """The last ticker has returns in the last twelve dates only."""
     dates = trading_calendar(star.benchmark_returns)
     n_dates = dates.agg(F.count("*").alias("n_dates")).scalar()
     recent = dates.where(F.col("idx") >= n_dates - 12).select("date")
-    last_of_type = star.securities.groupBy("sector").agg(F.max("ticker").alias("ticker"))
-    late = star.securities.join(last_of_type, ["sector", "ticker"], "left_semi").select("security_id")
+    last_ticker = star.securities.agg(F.max("ticker").alias("ticker")).scalar()
+    late = star.securities.where(F.col("ticker") == last_ticker).select("security_id")
     full = star.benchmark_returns.join(late, "security_id", "left_anti")
     short = star.benchmark_returns.join(late, "security_id", "left_semi").join(recent, "date", "left_semi")
     return replace(star, benchmark_returns=full.unionByName(short))

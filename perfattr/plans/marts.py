@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.functions import measures as m
 from perfattr.operators import attribution, calendar, contribution, linking, models, quality, returns, risk
 from perfattr.operators.common import Day, Portfolios, as_date
+from perfattr.sources import commits
 from perfattr.sources.star import Star, portfolio_names
-from perfattr.sources.storage import stored
+from perfattr.sources.storage import remove, stored
 
 
 def performance_summary(
@@ -221,26 +224,47 @@ def weights_matrix(weekly: DataFrame) -> DataFrame:
     )
 
 
-def export_marts(
-    star: Star, path: str, periods_per_year: int = m.PERIODS_PER_YEAR, mode: str = "errorifexists"
-) -> None:
-    """Write the dashboard tables as JSON lines, one document per portfolio.
+def export_marts(star: Star, path: str, periods_per_year: int = m.PERIODS_PER_YEAR) -> int:
+    """Write the dashboard tables as JSON lines, one document per portfolio; returns the number of the export.
 
-    Rows with a figure that is NULL, NaN or infinite are refused before anything is written.
+    All six are there together or not at all: they are written to a folder of their own, which one commit then
+    names.  Daily effects that are not finite or NULL, and figures of any table that are NaN or infinite, are refused
+    before anything is written.
     """
+    spark = star.portfolios.sparkSession
     daily = stored(attribution.attribution_daily(star, within_lifespan=True))
     figures = ["wp", "wb", "rp", "rb_i", "rb_total", "allocation", "selection", "interaction"]
     if not quality.non_finite(daily, figures).isEmpty():
         raise ValueError("the daily effects hold figures that are not finite")
+    held = attribution.held_sectors(star, within_lifespan=True)
     tables = {
         "market": market_context(star),
         "sectors": sector_labels(star),
         "portfolios": star.portfolios.select("portfolio_id", "name"),
         "securities": models.eligible_securities(star).withColumn("label", m.short_sector(F.col("sector"))),
-        "portfolio": portfolio_detail(
-            star, attribution.held_sectors(star, within_lifespan=True), periods_per_year
-        ),
+        "portfolio": portfolio_detail(star, held, periods_per_year),
         "weights": weights_matrix(weekly_weights(daily, star)),
     }
+    tables = {name: stored(table, name) for name, table in tables.items()}
     for name, table in tables.items():
-        table.write.mode(mode).json(f"{path}/{name}")
+        if not quality.not_finite_inside(table).isEmpty():
+            raise ValueError(f"{name} holds figures that are not finite")
+    folder = f"export={uuid.uuid4().hex}"
+    try:
+        for name, table in tables.items():
+            table.write.json(f"{path}/{folder}/{name}")
+        number = len(commits.entries(spark, path)) + 1
+        commits.commit(spark, path, number, {"folder": folder, "outputs": list(tables)})
+    except Exception:
+        remove(spark, f"{path}/{folder}")
+        raise
+    return number
+
+
+def read_marts(spark: SparkSession, path: str, export: int | None = None) -> dict[str, DataFrame]:
+    """The tables of an export, by default the last."""
+    made = commits.entries(spark, path)
+    if not made:
+        raise ValueError(f"nothing is exported to {path}")
+    entry = made[-1 if export is None else export - 1]
+    return {name: spark.read.json(f"{path}/{entry['folder']}/{name}") for name in entry["outputs"]}

@@ -104,6 +104,11 @@ def rs(columns: str, digits: int = 9) -> str:
     return ", ".join(f"{r(c, digits)} AS {c}" for c in columns.split())
 
 
+def text(expr: str) -> str:
+    """A figure as text with seven digits."""
+    return "coalesce(format('{:.7f}', round(" + expr + ", 7) + 0.0), 'null')"
+
+
 def sql(ctes: str, select: str) -> str:
     body = STAR + ("," + ctes if ctes else "")
     return f"WITH {body}\n{select}"
@@ -290,7 +295,7 @@ spoilt AS (
     CASE WHEN kind = 3 AND m = 2 AND y = 1997 THEN CAST(date + INTERVAL 1 DAY AS DATE) ELSE date END AS date, ticker,
     CASE WHEN kind = 1 AND brand = '7' THEN 'PETROLEUM'
          WHEN (kind = 6 AND brand = '3' AND m = 5) OR (kind = 7 AND brand = '5')
-           OR (no % 20 = 10 AND ticker = 'N-ECONOMY-Brand#1') THEN other
+           OR (kind = 0 AND starts_with(ticker, 'N-') AND CAST(brand AS INT) = no // 10 % 25 + 1) THEN other
          ELSE sector END AS sector,
     CASE WHEN kind = 8 AND m = 7 THEN NULL ELSE quantity END AS quantity,
     CASE WHEN kind = 2 AND m = 12 THEN -price ELSE price END AS price, dividend
@@ -332,16 +337,26 @@ own AS (
   WHERE EXISTS (SELECT 1 FROM securities s WHERE s.ticker = h.ticker AND s.sector <> h.sector) GROUP BY account
   UNION ALL
   SELECT account, 'no_rows', 1 FROM expected WHERE account NOT IN (SELECT account FROM holdings)),
--- The contested ticker keeps the sector of the first account that passes its own checks.
+-- Accounts in order: one that contradicts what accepted ones before it have settled settles nothing.
 fresh_claims AS (
   SELECT DISTINCT account, ticker, sector FROM holdings
   WHERE account NOT IN (SELECT account FROM own) AND ticker NOT IN (SELECT ticker FROM securities)),
+queue AS (
+  SELECT account, list({'ticker': ticker, 'sector': sector}) AS claims, row_number() OVER (ORDER BY account) AS place
+  FROM fresh_claims WHERE ticker IN (SELECT ticker FROM fresh_claims GROUP BY ticker HAVING count(DISTINCT sector) > 1)
+  GROUP BY account),
+settled AS (
+  SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS account, CAST(0 AS BIGINT) AS lost,
+         CAST([] AS STRUCT(ticker VARCHAR, sector VARCHAR)[]) AS known
+  UNION ALL
+  SELECT place, account, lost, CASE WHEN lost = 0 THEN list_concat(known, claims) ELSE known END FROM (
+    SELECT q.place, q.account, q.claims, s.known, CAST(len(list_filter(q.claims, lambda c: len(list_filter(
+             s.known, lambda x: x.ticker = c.ticker AND x.sector <> c.sector)) > 0)) AS BIGINT) AS lost
+    FROM settled s JOIN queue q ON q.place = s.place + 1)),
 violations AS (
   SELECT account, rule, n FROM own
   UNION ALL
-  SELECT c.account, 'sector_conflict', count(*) FROM fresh_claims c
-  JOIN (SELECT ticker, arg_min(sector, account) AS settled FROM fresh_claims GROUP BY ticker) f USING (ticker)
-  WHERE c.sector <> settled GROUP BY c.account)"""
+  SELECT account, 'sector_conflict', lost FROM settled WHERE lost > 0)"""
 
 
 GOOD = """
@@ -406,7 +421,7 @@ targets AS (
   JOIN securities USING (security_id))"""
 
 LATE = """
-late AS (SELECT max(ticker) AS ticker FROM securities GROUP BY sector),
+late AS (SELECT max(ticker) AS ticker FROM securities),
 late_returns AS (
   SELECT b.date, b.security_id, b.ret FROM benchmark_returns b JOIN securities s USING (security_id) JOIN tcal USING (date)
   WHERE s.ticker NOT IN (SELECT ticker FROM late) OR idx >= (SELECT count(*) FROM tcal) - 12)"""
@@ -432,17 +447,19 @@ def model_path(rebalance: str) -> str:
         "NONE": "false",
         "MONTHLY": "date_trunc('month', c.date) <> date_trunc('month', c.prev_date)",
         "QUARTERLY": "date_trunc('month', c.date) <> date_trunc('month', c.prev_date) AND month(c.date) IN (1, 4, 7, 10)",
+        "OWN": """(v.rebalance <> 'NONE' AND date_trunc('month', c.date) <> date_trunc('month', c.prev_date)
+                   AND (v.rebalance = 'MONTHLY' OR month(c.date) IN (1, 4, 7, 10)))""",
     }[rebalance]
     return f"""
 weights AS (
-  SELECT model, ticker, (weight / 100) / total AS w
+  SELECT model, ticker, rebalance, (weight / 100) / total AS w
   FROM targets JOIN (SELECT model, sum(weight) / 100 AS total FROM targets GROUP BY 1) USING (model)),
 cells AS (
-  SELECT model, ticker, w, idx, px.px AS px FROM weights JOIN px USING (ticker) JOIN tcal USING (date)),
+  SELECT model, ticker, rebalance, w, idx, px.px AS px FROM weights JOIN px USING (ticker) JOIN tcal USING (date)),
 walk AS (
-  SELECT model, ticker, w, 0 AS idx, w * 1000000 / px AS quantity, px FROM cells WHERE idx = 0
+  SELECT model, ticker, rebalance, w, 0 AS idx, w * 1000000 / px AS quantity, px FROM cells WHERE idx = 0
   UNION ALL
-  SELECT v.model, v.ticker, v.w, c.idx,
+  SELECT v.model, v.ticker, v.rebalance, v.w, c.idx,
          CASE WHEN {boundary} THEN v.w * sum(v.quantity * v.px) OVER (PARTITION BY v.model) / v.px ELSE v.quantity END,
          n.px
   FROM walk v JOIN tcal c ON c.idx = v.idx + 1
@@ -519,6 +536,37 @@ def oracle() -> dict[str, str]:
         "attribution_period_sold_out": sql(effects(positions="""(
             SELECT s.* FROM sold_out s JOIN securities USING (security_id) JOIN sector_ranks USING (sector)
             WHERE srank <> portfolio_id % (SELECT count(*) FROM sector_ranks))"""), period_select()),
+        "portfolio_detail": sql(alive + "," + linking() + "," + curve("daily_days") + "," + CONTRIBUTED + """,
+          ranked AS (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS n,
+            row_number() OVER (PARTITION BY portfolio_id ORDER BY contribution DESC, ticker, sector) AS k FROM contributed),
+          sides AS (SELECT portfolio_id, ticker, sector, k AS rank, 'top' AS side, contribution FROM ranked WHERE k <= 8
+            UNION ALL SELECT portfolio_id, ticker, sector, n - k + 1, 'bottom', contribution FROM ranked WHERE k > 8 AND k > n - 5),
+          spelt AS (SELECT portfolio_id, side, string_agg(concat_ws('|', rank, ticker, sector, """ + text("contribution") + """),
+            ';' ORDER BY rank) AS list FROM sides GROUP BY ALL)""", f"""
+          SELECT d.portfolio_id, coalesce(p.name, 'Portfolio ' || d.portfolio_id) AS name, d.series, c.risk, l.attribution,
+            coalesce(t.list, '') AS top, coalesce(b.list, '') AS bottom
+          FROM (SELECT portfolio_id, string_agg(strftime(date, '%Y-%m-%d') || '|' || {text('rp')}, ';' ORDER BY date) AS series
+                FROM daily_days GROUP BY 1) d
+          JOIN (SELECT portfolio_id, concat_ws('|', {text('product(1 + rp) - 1')}, {text('product(1 + rb) - 1')},
+                  {text(f'stddev_samp(rp - rb) * sqrt({P})')},
+                  {text(f'avg(rp - rb) * {P} / nullif(stddev_samp(rp - rb) * sqrt({P}), 0)')},
+                  {text('least(min(dd), 0)')}) AS risk FROM curve GROUP BY 1) c USING (portfolio_id)
+          JOIN (SELECT portfolio_id, string_agg(concat_ws('|', sector, {text('avg_wp')}, {text('avg_wb')}, {text('allocation')},
+                  {text('selection')}, {text('interaction')}), ';' ORDER BY sector) AS attribution
+                FROM linked GROUP BY 1) l USING (portfolio_id)
+          LEFT JOIN (SELECT * FROM spelt WHERE side = 'top') t USING (portfolio_id)
+          LEFT JOIN (SELECT * FROM spelt WHERE side = 'bottom') b USING (portfolio_id)
+          LEFT JOIN portfolios p USING (portfolio_id)"""),
+        "weekday_calendar": sql("", """
+          SELECT date, lag(date) OVER (ORDER BY date) AS prev_date, CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS idx
+          FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date, min(date) AS lo
+                FROM benchmark_returns) WHERE isodow(date) <= 5 OR date = lo"""),
+        "unexportable_sectors": sql(effects(positions="sold_out"), """
+          SELECT portfolio_id, date, sector FROM daily_held WHERE rp IS NULL OR wp IS NULL OR portfolio_id % 3 = 0"""),
+        "ordered_attribution": sql(effects(), f"""
+          SELECT portfolio_id, sector, {r('sum(allocation) + sum(selection) + sum(interaction)')} AS total,
+                 row_number() OVER (ORDER BY portfolio_id DESC, sector) AS place
+          FROM daily GROUP BY portfolio_id, sector"""),
         "weights_matrix": sql(alive + "," + WEEKLY, """
           SELECT portfolio_id, week_start, sector, string_agg(format('{:.5f}', wp), ',' ORDER BY week) AS weights
           FROM weekly GROUP BY ALL"""),
@@ -639,14 +687,18 @@ all_positions AS (SELECT * FROM positions_daily UNION ALL SELECT * FROM new_posi
     imported = effects(positions="all_positions")
     imported = imported.replace("JOIN benchmark_returns", "JOIN all_returns").replace("JOIN securities", "JOIN all_securities")
     imported = imported.replace("FROM portfolios pf", "FROM accepted pf")
+    grown = imported.replace("FROM accepted pf",
+                             "FROM (SELECT portfolio_id FROM portfolios UNION ALL SELECT portfolio_id FROM accepted) pf")
     merged += """,
 all_returns AS (SELECT * FROM benchmark_returns UNION ALL SELECT * FROM new_returns),
 all_securities AS (SELECT security_id, ticker, sector FROM securities
   UNION ALL SELECT security_id, ticker, sector FROM security_map WHERE existing_id IS NULL),"""
+    every = merged + grown
     out |= {
-        "import_violations": sql(broken, "SELECT account, rule, n FROM violations"),
-        "import_summary": sql(broken + "," + IMPORTED, SUMMARY.format(
-            name="coalesce(e.name, account)", names="LEFT JOIN expected e USING (account)")),
+        "import_violations": recursive(sql(broken, "SELECT account, rule, n FROM violations")),
+        "import_summary": recursive(sql(broken + "," + IMPORTED, SUMMARY.format(
+            name="coalesce(e.name, account)", names="LEFT JOIN expected e USING (account)"))),
+        "compacted_attribution": sql(every, period_select()),
         "import_unknown_sectors": sql(HOLDINGS + "," + BROKEN, "SELECT account, sector, count(*) AS n FROM holdings "
                                       "WHERE sector NOT IN (SELECT sector FROM sector_ranks) GROUP BY ALL"),
         "import_security_map": sql(good, "SELECT ticker, sector, security_id, first_account, existing_id IS NULL AS is_new FROM security_map"),
@@ -712,12 +764,16 @@ target_sums AS (
            for name, e in (("model_weights", full), ("model_weights_late", late))},
         "model_index": sql(eligible("benchmark_returns"), f"SELECT ticker, sector, date, {rs('px', 6)} FROM px"),
         "model_index_late": sql(LATE + "," + eligible("late_returns"), f"SELECT ticker, sector, date, {rs('px', 6)} FROM px"),
-        "model_flow_check": sql(TARGETS, """
-          SELECT account, CAST((SELECT max(portfolio_id) FROM portfolios) + row_number() OVER (ORDER BY account) AS INT)
-                   AS portfolio_id, account AS name, tickers * (SELECT count(*) FROM tcal) AS position_rows, tickers,
-                 CAST(0 AS BIGINT) AS new_securities, (SELECT min(date) FROM tcal) AS from_date, (SELECT max(date) FROM tcal) AS to_date,
-                 CAST(0 AS BIGINT) AS flow_days
-          FROM (SELECT model AS account, count(*) AS tickers FROM targets GROUP BY model)"""),
+        "model_flow_check": recursive(sql(TARGETS + "," + eligible("benchmark_returns") + "," + model_path("OWN") + """,
+          moved AS (SELECT model, idx, (quantity - lag(quantity) OVER w) * lag(px) OVER w AS spent FROM walk
+                    WINDOW w AS (PARTITION BY model, ticker ORDER BY idx)),
+          paid AS (SELECT model, idx, sum(spent) AS cf FROM moved GROUP BY ALL HAVING abs(sum(spent)) > 0.01)""", """
+          SELECT model AS account, CAST((SELECT max(portfolio_id) FROM portfolios) + row_number() OVER (ORDER BY model) AS INT)
+                   AS portfolio_id, model AS name, position_rows, tickers, CAST(0 AS BIGINT) AS new_securities, from_date, to_date,
+                 coalesce(flow_days, 0) AS flow_days
+          FROM (SELECT model, count(*) AS position_rows, count(DISTINCT ticker) AS tickers, min(date) AS from_date,
+                       max(date) AS to_date FROM walk JOIN tcal USING (idx) GROUP BY model)
+          LEFT JOIN (SELECT model, count(*) AS flow_days FROM paid GROUP BY model) USING (model)""")),
         "equal_weights": sql("", f"""
           SELECT CAST(portfolio_id AS VARCHAR) AS model, ticker,
                  {r('CASE WHEN k = 1 THEN 100 - (n - 1) * (floor(10000 / n) / 100) ELSE floor(10000 / n) / 100 END', 4)} AS weight

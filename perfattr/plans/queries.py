@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,10 @@ from perfattr.plans import inputs, marts
 from perfattr.sources import batches, testdata
 from perfattr.sources import star as stars
 from perfattr.sources.holdings_csv import read_holdings
+from perfattr.sources.ordered import read_places, write_ordered
 from perfattr.sources.periods import read_window, write_by_period
 from perfattr.sources.star import Star
-from perfattr.sources.storage import new_path, stored
+from perfattr.sources.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -393,12 +394,64 @@ def sector_labels_gics(star: Star) -> DataFrame:
     return marts.sector_labels(replace(star, securities=named))
 
 
+def _spelt(*figures: Column) -> Column:
+    """Fields of a nested row as one text; numbers with seven digits, undefined ones as null."""
+    return F.concat_ws("|", *figures)
+
+
+def _figure(value: Column) -> Column:
+    return F.coalesce(F.format_string("%.7f", value + 0.0), F.lit("null"))
+
+
 @over_star("portfolio_detail")
 def portfolio_detail(star: Star) -> DataFrame:
-    """The nested documents as JSON text."""
+    """The nested documents, every list as canonical text."""
     detail = marts.portfolio_detail(star, att.held_sectors(star, within_lifespan=True), P)
-    nested = [c for c in detail.columns if c not in ("portfolio_id", "name")]
-    return detail.select("portfolio_id", "name", F.to_json(F.struct(*nested)).alias("document"))
+
+    def listed(name: str, spell: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.array_join(F.transform(name, spell), ";"), F.lit("")).alias(name)
+
+    def ranked(x: Column) -> Column:
+        return _spelt(x["rank"].cast("string"), x["ticker"], x["sector"], _figure(x["contribution"]))
+
+    effects = ("avg_wp", "avg_wb", "allocation", "selection", "interaction")
+    figures = ("twr", "bench_twr", "te", "ir", "max_drawdown")
+    return detail.select(
+        "portfolio_id",
+        "name",
+        listed("series", lambda x: _spelt(x["date"].cast("string"), _figure(x["rp"]))),
+        _spelt(*(_figure(F.col("risk")[c]) for c in figures)).alias("risk"),
+        listed("attribution", lambda x: _spelt(x["sector"], *(_figure(x[c]) for c in effects))),
+        listed("top", ranked),
+        listed("bottom", ranked),
+    )
+
+
+def _weekday_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All weekdays from the first to the last date with returns."""
+    span = stars.data_range(testdata.load(spark, sf_dir).star).first()
+    days = (span.max_date - span.min_date).days
+    return cal.weekday_calendar(spark, span.min_date, days).where(F.col("date") <= span.max_date)
+
+
+REGISTRY["weekday_calendar"] = _weekday_calendar
+
+
+@over_star("unexportable_sectors")
+def unexportable_sectors(star: Star) -> DataFrame:
+    """Zero bases leave NULL, and every third portfolio has infinite returns."""
+    held = att.portfolio_sectors(inputs.sold_out(star))
+    infinite = F.when(F.col("portfolio_id") % 3 == 0, float("inf")).otherwise(F.col("rp"))
+    return quality.non_finite(held.withColumn("rp", infinite), ["wp", "rp"]).select("portfolio_id", "date", "sector")
+
+
+@over_star("ordered_attribution")
+def ordered_attribution(star: Star) -> DataFrame:
+    """Period effects written in order, with the place each row has among all files."""
+    path = new_path(star.portfolios.sparkSession, "ordered")
+    effects = att.attribution_over_period(star).select("portfolio_id", "sector", "total")
+    write_ordered(effects, path, F.desc("portfolio_id"), "sector")
+    return read_places(star.portfolios.sparkSession, path)
 
 
 # -- checks ---------------------------------------------------------------------------------
@@ -546,6 +599,18 @@ def _imported_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY["import_attribution"] = _imported_attribution
 
 
+def _compacted_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution of all portfolios over the star and an import, published one after the other and compacted."""
+    root = new_path(spark, "compacted")
+    batches.publish(spark, testdata.load(spark, sf_dir).star.tables(), root, "star", base=0)
+    batches.publish(spark, _good_import(spark, sf_dir).deltas, root, "import", base=1)
+    batches.compact(spark, root)
+    return rounded(att.attribution_over_period(batches.read_published(spark, root)))
+
+
+REGISTRY["compacted_attribution"] = _compacted_attribution
+
+
 @over_import("published_positions", 4)
 def published_positions(batch: imp.ImportBatch) -> DataFrame:
     """Positions and cash flows of the import, published and read back."""

@@ -24,6 +24,8 @@ from perfattr.sources.storage import exists, modification_stamp, new_path
 PRICE_STEPS = 64
 RETURN_STEPS = 2**20
 WEIGHT_STEPS = 2**46
+#: Amounts up to this are no cash flow, as in an import.
+MIN_FLOW = 0.01
 
 
 def _grid(col: Column, steps: int) -> Column:
@@ -197,7 +199,7 @@ def derive(spark: SparkSession, sf_dir: str, market: DataFrame, buys: DataFrame)
         .where(F.col("month") > F.col("inception"))
         .groupBy("portfolio_id", "month")
         .agg(F.sum(F.col("quantity") * F.col("prev_price")).alias("amount"))
-        .where(F.abs("amount") > 0.01)
+        .where(F.abs("amount") > MIN_FLOW)
         .select(
             _month_start("month").alias("date"),
             "portfolio_id",

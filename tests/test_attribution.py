@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from conftest import day, make_star
 from perfattr.operators import attribution, contribution, linking, quality, returns
+from perfattr.operators.series import basis_returns
 from perfattr.plans import marts
+from perfattr.sources import star as stars
 from perfattr.sources.periods import read_window, write_by_period
 
 
@@ -159,3 +161,68 @@ def test_picked_portfolios(spark, golden):
 def test_plan_keeps_fact_out_of_single_task_and_cross_joins(universe):
     plan = attribution.attribution_daily(universe)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def test_beyond_the_broadcast_the_fact_moves_once(universe, tmp_path, spark, without_broadcasts):
+    stars.write_star(universe, str(tmp_path / "star"))
+    star = stars.read_star(spark, str(tmp_path / "star"))
+    met = basis_returns(star)
+    plan = plan_of(met)
+    # One exchange of the fact, one of the securities' arrays; nothing is joined by date.
+    assert plan.count("Exchange") == 2 and "ShuffledHashJoin [security_id" in plan and "date" not in plan.split("ShuffledHashJoin")[1].split("]")[0]
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    rows = attribution.attribution_over_period(star).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    assert "BroadcastHashJoin" in plan_of(basis_returns(star))
+    assert len(rows) == 3
+    for a, b in zip(sorted(rows), sorted(attribution.attribution_over_period(star).collect())):
+        assert a.sector == b.sector and a.total == pytest.approx(b.total, abs=1e-14)
+
+
+def test_linked_effects_make_no_row_per_portfolio_day_and_sector(universe):
+    held = attribution.held_sectors(universe, within_lifespan=True)
+    plan = linking.linked_attribution(held)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    keys = ("portfolio_id#", "sector#", "security_id#")
+    by_date = [line for line in joins if "date#" in line and not any(key in line for key in keys)]
+    assert joins and by_date == []
+    spelt = linking.link_factors(returns.day_returns(held)).select("portfolio_id", "date", "factor")
+    daily = attribution.attribution_daily(universe, within_lifespan=True).join(spelt, ["portfolio_id", "date"])
+    effects = ["allocation", "selection", "interaction"]
+    slow = daily.groupBy("portfolio_id", "sector").agg(
+        *(F.sum(F.col("factor") * F.col(c)).alias(c) for c in effects), F.avg("wp").alias("avg_wp"), F.avg("wb").alias("avg_wb")
+    )
+    diff = quality.max_abs_diff(linking.linked_attribution(held), slow, ["portfolio_id", "sector"], [*effects, "avg_wp", "avg_wb"])
+    assert diff.first().n_keys == 3 and diff.first().max_abs_diff < 1e-14
+
+
+def test_unheld_sectors_and_days_are_linked(universe):
+    """A portfolio that holds one sector for part of its life, next to days without any holding."""
+    kept = "security_id in (1, 2) and date < '2024-02-01' or security_id = 5 and date > '2024-03-01'"
+    star = universe.with_positions(universe.positions_daily.where(kept))
+    held = attribution.held_sectors(star, within_lifespan=True)
+    daily = attribution.attribution_daily(star, within_lifespan=True)
+    days = daily.groupBy("portfolio_id", "date").agg(F.sum(F.col("wp") * F.col("rp")).alias("rp"), F.max("rb_total").alias("rb"))
+    diff = quality.max_abs_diff(days, returns.day_returns(held), ["portfolio_id", "date"], ["rp", "rb"]).first()
+    assert diff.n_keys > 30 and diff.only_left == diff.only_right == 0 and diff.max_abs_diff < 1e-15
+    factors = linking.link_factors(days).select("portfolio_id", "date", "factor")
+    slow = daily.join(factors, ["portfolio_id", "date"]).groupBy("portfolio_id", "sector").agg(
+        F.sum(F.col("factor") * (F.col("allocation") + F.col("selection") + F.col("interaction"))).alias("total")
+    )
+    diff = quality.max_abs_diff(linking.linked_attribution(held), slow, ["portfolio_id", "sector"], ["total"]).first()
+    assert diff.n_keys == 3 and diff.only_left == diff.only_right == 0 and diff.max_abs_diff < 1e-14

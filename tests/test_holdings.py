@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import day, weekdays
-from perfattr.operators import attribution, quality, returns
+from perfattr.operators import attribution, holdings, quality, returns
 from perfattr.operators.common import number_rows
+from perfattr.operators.graph import connected
 from perfattr.operators.holdings import import_holdings, unknown_sectors
 from perfattr.sources.schemas import GICS_SECTORS
+from perfattr.sources.storage import stored
 
 DAYS = weekdays(day("2024-01-02"), 60)
 SCHEMA = "account string, date date, ticker string, sector string, quantity double, price double, dividend double"
@@ -148,3 +152,73 @@ def test_number_rows_is_dense_and_ordered(spark):
     rows = number_rows(keys, ["key"], "n", splitters=16).orderBy("key").collect()
     assert [r.n for r in rows] == list(range(1, 5001))
     assert number_rows(keys.limit(0), ["key"], "n").count() == 0
+
+
+def settled(claims):
+    """Accounts in order: the first claim of a ticker by an accepted account holds."""
+    known, lost = {}, {}
+    for account in sorted({a for a, _, _ in claims}):
+        own = [(t, s) for a, t, s in claims if a == account]
+        clashes = sum(known.get(t, s) != s for t, s in own)
+        if clashes:
+            lost[account] = clashes
+        else:
+            known.update(own)
+    return lost
+
+
+def conflicts(spark, universe, claims):
+    rows = spark.createDataFrame(claims, "account string, ticker string, sector string")
+    found = spark.createDataFrame([], "account string, rule string, n long")
+    got = holdings._earlier_claim_conflicts(rows, found, universe.securities).collect()
+    assert all(r.rule == "sector_conflict" for r in got)
+    return {r.account: r.n for r in got}
+
+
+def test_a_chain_of_a_thousand_accounts_is_settled_in_few_jobs(spark, universe):
+    """Every account contradicts the one before it, so every other one is accepted."""
+    claims = [(f"A{k:04d}", f"T{k}", "Energy") for k in range(1000)] + [(f"A{k:04d}", f"T{k - 1}", "Utilities") for k in range(1, 1000)]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = conflicts(spark, universe, claims)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert got == settled(claims) == {f"A{k:04d}": 1 for k in range(1, 1000, 2)}
+    assert jobs < 200
+
+
+def test_many_contested_tickers(spark, universe):
+    draw = random.Random(4)
+    claims = sorted({(f"A{draw.randrange(40):02d}", f"T{draw.randrange(60)}"): draw.choice(["Energy", "Energy", "Utilities"]) for _ in range(160)}.items())
+    claims = [(a, t, s) for (a, t), s in claims] + [("A00", "SEC001", "Energy"), ("A01", "SEC001", "Utilities")]
+    expected = settled([c for c in claims if c[1] != "SEC001"])
+    assert conflicts(spark, universe, claims) == expected and 3 < len(expected) < 35
+
+
+def test_connected_components(spark):
+    draw = random.Random(9)
+    label = [draw.getrandbits(60) for _ in range(400)]
+    pairs = [(label[k], label[k + 1]) for k in range(0, 299) if k % 100 != 99] + [(label[350], label[351]), (label[360], label[360])]
+    found = {r.a: r.component for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert len(found) == 302 and len(set(found.values())) == 4
+    assert all(found[a] == found[b] for a, b in pairs if a != b)
+
+
+def test_positions_of_a_hot_ticker_are_spread(spark, universe):
+    """Beyond the broadcast the tasks that share a ticker have copies of its row."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    rows = [(f"A{k}", DAYS[1], "HOT", "Energy", 1.0, 2.0, None) for k in range(300)]
+    accounts = stored(spark.createDataFrame([(f"A{k}", k) for k in range(300)], "account string, portfolio_id int"))
+    mapped = stored(spark.createDataFrame([("HOT", 7)], "ticker string, security_id int"))
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    try:
+        got = holdings.imported_positions(frame(spark, rows), accounts, mapped)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(ticker" in plan and "_salt" in plan.split("hashpartitioning(ticker")[1][:60]
+        assert got.count() == 300 and got.where("security_id = 7").count() == 300
+        placed = got.groupBy(F.spark_partition_id().alias("p")).count()
+        assert placed.agg(F.max("count")).first()[0] < 200
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
