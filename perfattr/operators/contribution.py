@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.operators.common import Day, Portfolios
-from perfattr.operators.series import basis_returns
+from perfattr.operators.series import basis_returns, from_place_0
 from perfattr.sources.star import Star
 from perfattr.sources.storage import stored
 
 TOP, BOTTOM = 8, 5
 
 
-def _dense(listed: str) -> Column:
-    """Array by place from the first one on, null in between, out of an ordered list of (place, total)."""
-    none = F.lit(None).cast("double")
-
-    def step(x: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(listed, i - 1)["place"], x["place"] - 1)
-        return F.concat(F.array_repeat(none, x["place"] - before - 1), F.array(x["total"]))
-
-    return F.flatten(F.transform(listed, step))
-
-
 def contributions(
     star: Star, start: Day = None, end: Day = None, portfolios: Portfolios = None
 ) -> DataFrame:
@@ -47,12 +36,12 @@ def contributions(
         .groupBy("portfolio_id")
         .agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("listed"))
     )
-    totals = listed.select("portfolio_id", F.get("listed", F.lit(0))["place"].alias("first"), _dense("listed").alias("totals"))
-    total = F.get("totals", F.col("place") - F.col("first"))
+    totals = listed.select("portfolio_id", from_place_0("listed", "total").alias("totals"))
+    total = F.get("totals", F.col("place"))
     return (
         series.join(star.securities.select("security_id", "ticker", "sector"), "security_id")
         .join(stored(totals, "totals"), "portfolio_id")
-        .select("portfolio_id", "ticker", "sector", "first", "totals", F.inline("days"))
+        .select("portfolio_id", "ticker", "sector", "totals", F.inline("days"))
         .select("portfolio_id", "ticker", "sector", F.try_divide(F.col("basis") * F.col("ret"), total).alias("part"))
         .groupBy("portfolio_id", "ticker", "sector")
         .agg(F.sum("part").alias("contribution"))

@@ -9,14 +9,15 @@ held by all portfolios lies in as many tasks as there are salts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfattr.operators.common import Day, Portfolios, in_range, over_time, pick_portfolios
 from perfattr.sources.star import Star
-from perfattr.sources.storage import fits_broadcast, stored
+from perfattr.sources.storage import broadcast_limit
 
 #: Parts a security's portfolios are dealt to where returns are too large for a broadcast.
 SALTS = 16
@@ -24,35 +25,48 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class Returns:
-    """rows: security_id, sector, rets, a stored table; days: the dates of the arrays, one row."""
+    """rows: security_id, sector, rets; places: the calendar's index of each day from its first date on."""
 
     rows: DataFrame
-    days: DataFrame
+    first: date | None
+    places: list[int]
+    n_bytes: int
 
-    def index(self, date: Column) -> Column:
+    def index(self, day: Column) -> Column:
         """A date's place in the arrays; null if nothing has a return on it."""
-        first = F.get(self.days.select("days").scalar(), F.lit(0))
-        return F.get(self.days.select("places").scalar(), F.datediff(date, first))
+        if self.first is None:
+            return F.lit(None).cast("int")
+        places = F.split(F.lit(",".join(map(str, self.places))), ",").cast("array<int>")  # folded to a constant
+        return F.nullif(F.get(places, F.datediff(day, F.lit(self.first))), F.lit(-1))
 
 
 def returns_by_security(star: Star, start: Day = None, end: Day = None) -> Returns:
-    """Returns of the securities in the master, null on dates without one.
+    """Returns of the securities in the master as arrays by calendar index, null on dates without one.
 
-    `places` has an entry per day of the year between the first and the last date, so a date is looked up by
-    its distance from the first.
+    The calendar is read to the driver: a number per day of the year between its first and last date.
     """
     returns = in_range(star.benchmark_returns, start, end)
-    days = returns.agg(F.array_sort(F.collect_set("date")).alias("days"))
-    span = F.sequence(F.element_at("days", 1), F.element_at("days", -1))
-    by_day = days.where(F.size("days") > 0).select(F.explode(span).alias("day"))
-    by_day = by_day.join(days.select(F.posexplode("days").alias("place", "day")), "day", "left")
-    places = by_day.agg(F.array_sort(F.collect_list(F.struct("day", "place")))["place"].alias("places"))
-    days = stored(days.withColumn("places", places.scalar()), "calendar")
-    grid = star.securities.select("security_id", "sector").withColumn("days", days.select("days").scalar())
-    grid = grid.select("security_id", "sector", F.posexplode("days").alias("place", "date"))
-    cells = grid.join(returns, ["security_id", "date"], "left")
-    rets = F.array_sort(F.collect_list(F.struct("place", "ret")))["ret"]
-    return Returns(stored(cells.groupBy("security_id", "sector").agg(rets.alias("rets")), "returns"), days)
+    known = returns.agg(F.collect_set("date").alias("dates"), F.count_distinct("security_id").alias("n")).first()
+    dates = sorted(known.dates)
+    places = [-1] * ((dates[-1] - dates[0]).days + 1 if dates else 0)
+    for place, day in enumerate(dates):
+        places[(day - dates[0]).days] = place
+    found = Returns(returns, dates[0] if dates else None, places, known.n * len(dates) * 9)
+    listed = F.array_sort(F.collect_list(F.struct("place", "ret"))).alias("listed")
+    rows = returns.withColumn("place", found.index(F.col("date"))).groupBy("security_id").agg(listed)
+    rows = star.securities.select("security_id", "sector").join(rows, "security_id")
+    return replace(found, rows=rows.select("security_id", "sector", from_place_0("listed", "ret").alias("rets")))
+
+
+def from_place_0(listed: str, name: str) -> Column:
+    """Array by place, null where the ordered list of (place, value) has none."""
+    none = F.lit(None).cast("double")
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(listed, i - 1)["place"], F.lit(-1))
+        return F.concat(F.array_repeat(none, x["place"] - before - 1), F.array(x[name]))
+
+    return F.flatten(F.transform(listed, step))
 
 
 def prior_closes(positions: DataFrame, *placed: str) -> DataFrame:
@@ -72,7 +86,7 @@ def basis_returns(
     """
     returns = returns_by_security(star, start, end)
     positions = pick_portfolios(in_range(star.positions_daily, end=end), portfolios)
-    if fits_broadcast(returns.rows):
+    if returns.n_bytes <= broadcast_limit(star.benchmark_returns.sparkSession):
         met = prior_closes(positions).join(F.broadcast(returns.rows), "security_id")
     else:
         salt = F.pmod(F.xxhash64("portfolio_id"), F.lit(SALTS)).cast("int")

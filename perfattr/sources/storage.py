@@ -63,14 +63,18 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which the session broadcasts one side of a join; negative if it never does."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def fits_broadcast(table: DataFrame) -> bool:
     """Whether the files of a stored table are small enough for the session to broadcast it.
 
     Files are compressed, so a quarter of the threshold is allowed.
     """
-    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = sum(modification_stamp(table.sparkSession, path)[0] for path in table.inputFiles())
-    return size <= limit // 4
+    return size <= broadcast_limit(table.sparkSession) // 4
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
