@@ -33,3 +33,20 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.coalesce("new", "component").alias("component")
         )
     return stored(labels, "labels")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of a graph with further edges: only components that these link are joined, not all edges gone through again."""
+    known = labels.toDF("a", "x"), labels.toDF("b", "y")
+    between = edges.select("a", "b").join(known[0], "a", "left").join(known[1], "b", "left")
+    between = between.select("a", "b", F.coalesce("x", "a").alias("of_a"), F.coalesce("y", "b").alias("of_b"))
+    between = stored(between, "between")
+    joined = components(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    old = labels.join(joined.toDF("component", "to"), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")
+    )
+    # A node without a label so far stands for itself among the joined ones.
+    alone = between.where("a = of_a").select(F.col("a").alias("node"))
+    alone = alone.union(between.where("b = of_b").select("b")).distinct()
+    new = alone.join(labels, "node", "left_anti").join(joined, "node")
+    return stored(old.unionByName(new), "labels")

@@ -6,8 +6,8 @@ Each line therefore names the hashes of its own segments and of those of its sub
 segment of a line as long or a little shorter. Lines that meet in a hash are candidates; a banded
 bit-parallel edit distance decides.
 
-Only lines whose hash is shared go further than the first pass. Within a hash all lines are compared with
-its pivot; then only lines outside their hash's main group are compared with the others, and letter counts
+Every text is one line, however many documents have it, before hashes are named. Only lines whose hash is shared
+go further than the first pass. Within a hash all lines are compared with its pivot; then only lines outside their hash's main group are compared with the others, and letter counts
 decide inside that join which pairs to verify.
 """
 
@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfattr.llm.common import keyed, stored, unpacked
-from perfattr.llm.components import components
+from perfattr.llm.components import components, merged
 from perfattr.llm.near_duplicates import SHINGLE, THRESHOLD
 
 EDITS = 2
-#: Characters of a line that is compared at all. Shorter ones, such as brackets, are left alone.
+#: Characters from which on a line is compared within edits; shorter ones are only found equal.
 LEAST_CHARS = 20
-#: Share of a document's compared characters up to which repeated lines are taken out.
+#: A line without any of these is never compared: blank lines, rules, brackets.
+SAYS_SOMETHING = r"[\p{L}\p{N}]"
+#: Share of its remaining characters that a copy must have from one document.
 COPY_SHARE = 0.5
 #: Letters whose counts bound the distance from below.
 LETTERS = "enirtasodhlucmgk"
@@ -65,7 +67,7 @@ def with_buckets(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     found = hashes(0)
     for rest in range(1, of):
         found = F.when(F.col("rest") == rest, hashes(rest)).otherwise(found)
-    return sized.select("line", found.alias("buckets"))
+    return sized.select("line", F.array_distinct(found).alias("buckets"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -208,22 +210,18 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     """`node` (xxhash64 of a line) and `component` of all lines that are linked with another text."""
+    # Copies are reduced before the shuffle; lines of one hash are one text.
+    known = lines.groupBy("line").agg(F.any_value("text").alias("text"))
+    known = stored(known.withColumn("chars", F.length("text")), "known")
     # The outer form: the other one would add a filter that computes the array twice.
-    each = with_buckets(lines, edits).select("line", F.explode_outer("buckets").alias("bucket"))
+    each = with_buckets(known, edits).select("line", F.explode_outer("buckets").alias("bucket"))
     pivots = each.groupBy("bucket").agg(F.min("line").alias("pivot"), F.max("line").alias("last"))
     pivots = stored(pivots.where("pivot < last").select("bucket", "pivot"), "pivots")
-    shared = stored(each.join(pivots, "bucket").distinct(), "shared")
+    shared = stored(each.join(pivots, "bucket"), "shared")
     involved = stored(shared.select("line").distinct(), "involved")
-    # Lines of one hash are one text; grouped by another hash, so that copies are reduced before the shuffle.
     # The same plan at every size: how many lines are involved follows the corpus.
-    texts = lines.select("line", "text").join(involved.hint("merge"), "line", "left_semi")
-    texts = texts.groupBy(F.xxhash64("line", F.lit("text"))).agg(
-        F.any_value("line").alias("line"), F.any_value("text").alias("text")
-    )
-    texts = stored(
-        texts.select("line", "text", F.length("text").alias("chars"), letter_counts(F.col("text")).alias("letters")),
-        "texts",
-    )
+    texts = known.join(involved.hint("merge"), "line", "left_semi")
+    texts = stored(texts.withColumn("letters", letter_counts(F.col("text"))), "texts")
     longest = texts.agg(F.max("chars")).first()[0] or 1
     known = texts.select("line", "chars", "letters")
 
@@ -257,7 +255,7 @@ def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     rest = stored(rest, "rest")
     if rest.isEmpty():
         return labels
-    return components(edges.union(stored(_verified(rest, texts, edits, longest), "links")))
+    return merged(labels, stored(_verified(rest, texts, edits, longest), "links"))
 
 
 def _placed(documents: DataFrame, id_column: str, text_column: str, edits: int, least_chars: int) -> DataFrame:
@@ -266,13 +264,14 @@ def _placed(documents: DataFrame, id_column: str, text_column: str, edits: int,
     `first` is the place of the class's first line, or null if the class has no other.
     """
     lines = lines_of(documents, id_column, text_column)
-    compared = lines.where(F.col("chars") >= max(least_chars, edits + 1))
+    compared = lines.where(F.col("text").rlike(SAYS_SOMETHING))
     # Two hashes tell equal lines at any size of corpus; links were verified on texts.
     places = compared.select(
         "doc_id", "text_key", "line_no", "chars", "line", F.xxhash64(F.lit(1), "text").alias("second")
     )
     places = stored(places.distinct(), "places")
-    near = near_lines(compared.select("line", "text", "chars"), edits=edits)
+    longer = compared.where(F.col("chars") >= max(least_chars, edits + 1))
+    near = near_lines(longer.select("line", "text"), edits=edits)
     named = places.join(near.withColumnRenamed("node", "line"), "line", "left").select(
         "doc_id",
         "text_key",
@@ -297,24 +296,18 @@ def repeated_lines(
     text_column: str = "text",
     edits: int = EDITS,
     least_chars: int = LEAST_CHARS,
-    copy_share: float = COPY_SHARE,
 ) -> DataFrame:
-    """One row per document: doc_id, text_key, n_lines, n_repeated, n_removed, copied, removed.
-
-    Lines (between line feeds) of `least_chars` characters or more are in one class if they are equal or linked by
-    edit distances of `edits` or less. A class's first line stays: that of the smallest document id (null first),
-    then text key, then number; the others are repeated. `removed` has the numbers (from 0) of the repeated lines,
-    unless more than `copy_share` of the document's compared characters repeat: such a document is taken for a copy
-    (`copied`) and keeps its lines, also where they repeat within it or come from several documents; `removed_lines`
-    leaves lines to near duplicates only. Null text has no line, empty text one, and no line of them is compared. Rows
-    that repeat id and text are one document, given once for each. Extra columns are not read.
+    """One row per document: doc_id, text_key, n_lines, n_repeated, removed.
+
+    Lines (between line feeds) with a letter or digit are in one class if they are equal, or linked by edit distances of
+    `edits` or less between lines of `least_chars` characters or more. A class's first line stays: that of the smallest
+    document id (null first), then text key, then number; all others are repeated, whichever documents they stand in
+    and however much of one they are. `removed` has their numbers (from 0). Null text has no line, empty text one, and
+    no line of them is compared. Rows that repeat id and text are one document, given once for each. Extra columns are
+    not read.
     """
-    again = _placed(documents, id_column, text_column, edits, least_chars)
-    marks = again.groupBy("doc_id", "text_key").agg(
-        F.sum("chars").alias("n_chars"),
-        F.sum(F.when(F.col("repeated"), F.col("chars")).otherwise(0)).alias("n_again"),
-        F.sort_array(F.collect_list(F.when(F.col("repeated"), F.col("line_no")))).alias("again"),
-    )
+    again = _placed(documents, id_column, text_column, edits, least_chars).where("repeated")
+    marks = again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     rows = documents.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.xxhash64(text_column).alias("text_key"),
@@ -322,16 +315,12 @@ def repeated_lines(
     )
     marks = marks.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
     found = rows.join(marks, rows.doc_id.eqNullSafe(marks.id) & (rows.text_key == marks.key), "left")
-    again_ = F.coalesce("again", F.array().cast("array<int>"))
-    copied = F.coalesce(F.col("n_again") > F.col("n_chars") * copy_share, F.lit(False))
-    removed = F.when(copied, F.array().cast("array<int>")).otherwise(again_)
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
     return found.select(
         "doc_id",
         "text_key",
         F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"),
-        F.size(again_).cast("long").alias("n_repeated"),
-        F.size(removed).cast("long").alias("n_removed"),
-        copied.alias("copied"),
+        F.size(removed).cast("long").alias("n_repeated"),
         removed.alias("removed"),
     )
 
@@ -457,7 +446,7 @@ def without_repeated_lines(
     if linked_copies:
         cut = removed_lines(documents, **options)
     else:
-        cut = repeated_lines(documents, **options).where("n_removed > 0").select("doc_id", "text_key", "removed")
+        cut = repeated_lines(documents, **options).where("n_repeated > 0").select("doc_id", "text_key", "removed")
         cut = cut.distinct()
     cut = stored(cut, "removed")
     rows = keyed(documents, id_column, text_column)

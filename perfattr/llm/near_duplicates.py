@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from perfattr.llm import words
 from perfattr.llm.common import keyed, ship, slices, stored, text_bytes, unpacked
-from perfattr.llm.components import components
+from perfattr.llm.components import components, merged
 
 SHINGLE = 5
 #: The threshold as a fraction of whole numbers, so that it is exact.
@@ -302,7 +302,7 @@ def _labelled(documents: DataFrame, id_column: str, text_column: str) -> DataFra
     )
     rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        labels = components(edges.union(_links(rest, texts)))
+        labels = merged(labels, _links(rest, texts))
 
     known = copies.select("set_key", "least_id", _spread(F.col("row")).alias("node"))
     known = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -162,15 +162,15 @@ ORACLE: dict[str, str] = {
         s as (
             select q.vec_id as query_id, c.vec_id,
                    cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
-            from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
+            from (select distinct * from v where vec_id % 50 = 0) q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
-    "op7_line_dedup": """
+    "op7_line_dedup": r"""
         with recursive d as (select row_number() over () as r, doc_id, string_split(text, chr(10)) as w from documents),
         l as (
             select r, doc_id, i - 1 as line_no, w[i] as line
-            from (select *, unnest(range(1, len(w) + 1)) as i from d) where length(w[i]) >= 20),
-        t as (select distinct line, length(line) as n from l),
+            from (select *, unnest(range(1, len(w) + 1)) as i from d) where regexp_matches(w[i], '[\p{L}\p{N}]')),
+        t as (select distinct line, length(line) as n from l where length(line) >= 20),
         links as (
             select a.line as a, b.line as b
             from t a join (select *, n + unnest([-2, -1, 0, 1, 2]) as m from t) b on a.n = b.m
@@ -181,19 +181,16 @@ ORACLE: dict[str, str] = {
             select reach.line, links.b from reach join links on links.a = reach.other),
         named as (select line, min(other) as class from reach group by line),
         ranked as (
-            select r, line_no, length(l.line) as chars, row_number() over (
+            select r, line_no, row_number() over (
                 partition by coalesce(class, l.line) order by doc_id nulls first, r, line_no) as place
             from l left join named using (line)),
         marks as (
-            select r, sum(chars) as n_chars, sum(chars) filter (place > 1) as n_again,
-                   list(cast(line_no as integer) order by line_no) filter (place > 1) as again
-            from ranked group by r)
+            select r, list(cast(line_no as integer) order by line_no) as removed
+            from ranked where place > 1 group by r)
         select doc_id, cast(coalesce(len(w), 0) as bigint) as n_lines,
-               cast(coalesce(len(again), 0) as bigint) as n_repeated,
-               cast(len(removed) as bigint) as n_removed, copied,
-               array_to_string(removed, ',') as removed
-        from (select *, case when copied then [] else coalesce(again, []) end as removed
-              from (select *, coalesce(n_again > n_chars * 0.5, false) as copied from d left join marks using (r)))""",
+               cast(coalesce(len(removed), 0) as bigint) as n_repeated,
+               coalesce(array_to_string(removed, ','), '') as removed
+        from d left join marks using (r)""",
     "op12_conversation_prefix_trie": """
         with said as (
             select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (

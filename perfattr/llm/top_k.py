@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfattr.llm.common import ship, stored
+from perfattr.llm.common import scratch, ship, stored
 
 SCALE = 256
 BLOCK = 256
@@ -142,6 +142,9 @@ def best_of_blocks(blocks: list[tuple], queries: np.ndarray, query_ids: np.ndarr
     return list(zip(q.tolist(), top[q, place].tolist(), ids[q, place].tolist()))
 
 
+_FOUND = "query_id long, score long, vec_id long"
+
+
 def _searcher(known, k: int, width: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = known.value
@@ -188,10 +191,10 @@ def top_k(
     """query_id, rank, vec_id, score: each query's k best candidates but its own id, ties to the smaller id.
 
     Components become floor(scale * x). Vectors that are null, empty or hold null or non-finite
-    components, and rows with a null id, take no part; vectors of different lengths do not meet. Candidates
-    that repeat an id and its quantised vector count once, as do repeated queries; other vectors of an id are
-    candidates of their own. The queries are a stated set;
-    they are sent in groups of `queries_at_once`, and every group runs over all blocks.
+    components, and rows with a null id, take no part; vectors of different lengths do not meet. Every row of the
+    candidates takes a rank of its own, also one that repeats another; repeated queries count once. The queries
+    are a stated set; they are sent in groups of `queries_at_once`. A group runs over all blocks and its
+    results are stored before the next one is sent, so the driver and the tasks hold one group at a time.
     """
     spark = candidates.sparkSession
     ship(spark)
@@ -202,11 +205,10 @@ def top_k(
             "vec_id", quantised(F.col("vector"), scale).alias("vector")
         )
 
-    # Copies would fill the k places of a task; they are reduced before the shuffle.
-    blocks = index(prepared(candidates).distinct(), block=block)
+    blocks = index(prepared(candidates), block=block)
     asked = stored(prepared(queries).distinct().withColumn("width", F.size("vector")), "queries")
     sizes = asked.groupBy("width").count().collect()
-    tops = []
+    found = scratch(spark, "found")
     for width, n in sorted((r.width, r["count"]) for r in sizes):
         groups = -(-n // queries_at_once)
         group = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
@@ -215,13 +217,12 @@ def top_k(
             ids = np.array([r.vec_id for r in rows], np.int64)
             some = np.array([r.vector for r in rows], np.int64).reshape(len(rows), width)
             known = spark.sparkContext.broadcast((ids, some))
-            found = blocks.mapInArrow(_searcher(known, k, width), "query_id long, score long, vec_id long")
-            tops.append(found)
-    if not tops:
+            best = blocks.mapInArrow(_searcher(known, k, width), _FOUND)
+            best.write.mode("append").parquet(found)
+            known.destroy()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = tops[0]
-    for other in tops[1:]:
-        every = every.union(other)
+    every = spark.read.schema(_FOUND).parquet(found)
     # k rows a query and task: few.
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

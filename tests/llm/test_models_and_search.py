@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from perfattr.llm import hashed, language, quality, substring_dedup, top_k, toxicity
 from perfattr.llm.common import bounded_sample, slices, text_bytes
@@ -231,6 +233,50 @@ def test_kth_largest(spark, k):
     assert quality.kth_largest(rows, "place", k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_selection_equals_a_plain_choice_of_the_largest_keys(spark):
+    """Keys from the stated ratio and noise, and the documents kept, by plain loops; ids and texts repeat."""
+    draw = random.Random(12)
+    docs = [(k, prose(draw, draw.randint(1, 40), 30), "en") for k in range(120)]
+    docs += [(k, " ".join("##" + w for w in prose(draw, 20, 30).split()), "en") for k in range(120, 160)]
+    docs += docs[:3] + [(5, docs[9][1], "en"), (300, None, "en"), (301, "", "en"), (None, docs[2][1], "en")]
+    labels = [(k, int(k < 120)) for k in range(0, 160, 2)]
+    df = frame(spark, docs)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    text_of = dict((k, t) for k, t, _ in docs[:160])
+    raw, good = Counter(), Counter()
+    grams_of = {}
+    for k, text, _ in docs:
+        column = pa.array([text], pa.string())
+        found = hashed.grams(*text_bytes(column), quality.BUCKETS)[0].tolist()
+        grams_of[text] = found
+        raw.update(found)
+    label = dict(labels)
+    for k, text, _ in docs:
+        if label.get(k) == 1:
+            good.update(grams_of[text])
+    counts = np.zeros((2, quality.BUCKETS), np.int64)
+    for j, each in enumerate((raw, good)):
+        for bucket, n in each.items():
+            counts[j, bucket] = n
+    ratios = quality.log_ratios(*counts)
+    hashes = df.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(0)).alias("h")).collect()
+    noise = {(r.doc_id, r.text): (r.h % (1 << 40) + 0.5) / (1 << 40) for r in hashes}
+
+    def key(k, text):
+        mean = sum(ratios[g] for g in grams_of[text]) / len(grams_of[text])
+        return mean * quality.LENGTH - math.log(-math.log(noise[k, text]))
+
+    keys = sorted((key(k, t) for k, t, _ in docs if grams_of[t]), reverse=True)
+    for k in (1, 40, 500):
+        found = quality.selection(df, known, k=k).collect()
+        assert len(found) == len(docs)
+        least = keys[min(k, len(keys)) - 1]
+        want = Counter((i, bool(grams_of[t]) and key(i, t) >= least - 1e-9) for i, t, _ in docs)
+        assert Counter((r.doc_id, r.kept) for r in found) == want
+        assert sorted((r.key for r in found if r.key is not None), reverse=True) == pytest.approx(keys)
+    assert text_of
+
+
 # -- toxicity --------------------------------------------------------------------------------------
 
 
@@ -274,6 +320,31 @@ def test_toxic_documents_are_found(spark):
     assert toxicity.toxicity(df.limit(0), known).collect() == []
 
 
+def test_scores_equal_sums_over_all_pairs_of_terms(spark):
+    """The model's scores by plain loops over the terms of each whole text and all pairs of them."""
+    draw = random.Random(8)
+    docs = []
+    for k in range(150):
+        words_ = prose(draw, draw.randint(1, 50), 25).split()
+        marks = [w for w in ("vileness", "awfully", "nastiest") if draw.random() < 0.7]
+        docs.append((k, " ".join([*words_, *marks] if k % 3 == 0 else words_), "en"))
+    docs += [(900, None, "en"), (901, "", "en"), (902, " ".join(docs[0][1] for _ in range(300)), "en"), docs[0], docs[0]]
+    df = frame(spark, docs)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int")
+    number, machine = toxicity.train(df.select("doc_id", "text"), labels)
+    assert len(machine.weights) > 5
+    for r in toxicity.toxicity(df, labels).collect():
+        text = dict((k, t) for k, t, _ in docs)[r.doc_id]
+        found = hashed.terms(*text_bytes(pa.array([text], pa.string())), toxicity.BUCKETS, toxicity.PREFIXES)[0]
+        own = sorted({int(number[x]) for x in found if number[x] >= 0})
+        total = machine.bias + sum(machine.weights[a] for a in own)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                total += sum(x * y for x, y in zip(machine.factors[a], machine.factors[b]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.5)
+
+
 # -- language --------------------------------------------------------------------------------------
 
 SYLLABLES = {"aa": ["ba", "du", "ki"], "bb": ["schö", "ung", "ter"], "cc": ["ción", "ado", "que"]}
@@ -327,19 +398,15 @@ def test_gradients_equal_differences():
 
 
 def plain_top(vectors, queries, k):
-    known = {}
-    for vec_id, x in vectors:
-        if vec_id is not None and x and all(v is not None and np.isfinite(v) for v in x):
-            known[vec_id] = [int(np.floor(256 * float(np.float32(v)))) for v in x]
+    known = [
+        (vec_id, [int(np.floor(256 * float(np.float32(v)))) for v in x])
+        for vec_id, x in vectors
+        if vec_id is not None and x and all(v is not None and np.isfinite(v) for v in x)
+    ]
     out = set()
-    for q in queries:
-        if q in known:
-            scores = [
-                (-sum(a * b for a, b in zip(known[q], x)), i)
-                for i, x in known.items()
-                if i != q and len(x) == len(known[q])
-            ]
-            out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)}
+    for q, y in {(q, tuple(y)) for q, y in known if q in queries}:
+        scores = [(-sum(a * b for a, b in zip(y, x)), i) for i, x in known if i != q and len(x) == len(y)]
+        out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)}
     return out
 
 
@@ -359,13 +426,15 @@ def test_top_k_equals_brute_force(spark, at_once):
     assert top_k.top_k(df.limit(0), df).collect() == [] and top_k.top_k(asked, df.limit(0)).collect() == []
 
 
-def test_copies_of_the_best_candidate_take_one_rank(spark):
+def test_every_row_of_a_candidate_takes_a_rank(spark):
+    """A third of all rows are one candidate, far more than there are ranks."""
     vectors = [(0, [1.0, 0.0])] + [(1, [9.0, 0.0])] * 12 + [(k, [9.0 - k, 1.0]) for k in range(2, 8)]
-    vectors += [(2, [8.5, 1.0]), (3, [6.0, 5.0])]  # other vectors of an id; the last has the score of the first one
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    vectors += [(2, [9.5, 1.0]), (3, [9.0, 5.0])]  # other vectors of an id
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
     found = top_k.top_k(df.where("vec_id = 0"), df).collect()
-    want = [(1, 1, 9.0), (2, 2, 8.5), (3, 2, 7.0), (4, 3, 6.0), (5, 3, 6.0)]
+    want = [(1, 2, 9.5), (2, 1, 9.0), (3, 1, 9.0), (4, 1, 9.0), (5, 1, 9.0)]
     assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(n, i, int(x * 256 * 256)) for n, i, x in want]
+    assert plain_top(vectors, {0}, 5) == {(0, n, i, int(x * 256 * 256)) for n, i, x in want}
 
 
 def test_blocks_below_the_bound_are_not_scored(monkeypatch):
