@@ -33,13 +33,21 @@ def clear(spark: SparkSession) -> None:
     files.delete(path, True)
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write an intermediate table to the shared folder and go on from there."""
+def stored(df: DataFrame, name: str = "step", codec: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there; `codec` if it should take less room."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them has been stored itself."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove(table.sparkSession, folder)
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
