@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from perfattr.llm.common import keyed, stored, unpacked
 from perfattr.llm.components import components, merged
 from perfattr.llm.near_duplicates import SHINGLE, THRESHOLD
+from perfattr.sources.storage import release
 
 EDITS = 2
 #: Characters from which on a line is compared within edits; shorter ones are only found equal.
@@ -212,7 +213,7 @@ def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     """`node` (xxhash64 of a line) and `component` of all lines that are linked with another text."""
     # Copies are reduced before the shuffle; lines of one hash are one text.
     known = lines.groupBy("line").agg(F.any_value("text").alias("text"))
-    known = stored(known.withColumn("chars", F.length("text")), "known")
+    known = stored(known.withColumn("chars", F.length("text")), "known", "zstd")
     # The outer form: the other one would add a filter that computes the array twice.
     each = with_buckets(known, edits).select("line", F.explode_outer("buckets").alias("bucket"))
     pivots = each.groupBy("bucket").agg(F.min("line").alias("pivot"), F.max("line").alias("last"))
@@ -221,7 +222,8 @@ def near_lines(lines: DataFrame, *, edits: int = EDITS) -> DataFrame:
     involved = stored(shared.select("line").distinct(), "involved")
     # The same plan at every size: how many lines are involved follows the corpus.
     texts = known.join(involved.hint("merge"), "line", "left_semi")
-    texts = stored(texts.withColumn("letters", letter_counts(F.col("text"))), "texts")
+    texts = stored(texts.withColumn("letters", letter_counts(F.col("text"))), "texts", "zstd")
+    release(known, pivots, involved)
     longest = texts.agg(F.max("chars")).first()[0] or 1
     known = texts.select("line", "chars", "letters")
 
@@ -281,6 +283,7 @@ def _placed(documents: DataFrame, id_column: str, text_column: str, edits: int,
         F.when(F.col("component").isNull(), F.col("second")).otherwise(0).alias("second"),
     )
     named = stored(named, "named")
+    release(places)
     place = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "text_key", "line_no")
     first = named.groupBy("class", "second").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = stored(first.where("n > 1").select("class", "second", "first"), "first")
