@@ -14,6 +14,7 @@ from perfattr.operators.common import number_rows
 from perfattr.operators.holdings import find_violations, unknown_sectors
 from perfattr.plans import marts
 from perfattr.sources import batches
+from perfattr.sources import star as stars
 from perfattr.sources.schemas import GICS_SECTORS
 from perfattr.sources.storage import application_folder, clear, exists, stored
 from test_holdings import frame, golden_rows
@@ -140,7 +141,9 @@ def test_stale_imports_are_refused(spark, universe, tmp_path):
     batches.publish(spark, few, root, "one", base=read)
     with pytest.raises(ValueError, match="made against version 1"):
         batches.publish(spark, few, root, "two", base=read)
-    files = [f for f in (tmp_path / "lake" / "positions_daily" / "batch_id=base").iterdir() if f.suffix == ".parquet"]
+    # A star's own files are ranges of series; published ones are buckets.
+    stars.write_star(universe, str(tmp_path / "star"))
+    files = [f for f in (tmp_path / "star" / "positions_daily").iterdir() if f.suffix == ".parquet"]
     spans = []
     for f in files:
         r = spark.read.parquet(str(f)).agg(F.min("security_id"), F.max("security_id")).first()
