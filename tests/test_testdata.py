@@ -11,7 +11,7 @@ from perfattr.operators import attribution, holdings, returns
 from perfattr.plans import inputs
 from perfattr.plans.queries import REGISTRY
 from perfattr.sources import testdata
-from perfattr.sources.storage import list_names
+from perfattr.sources.storage import list_names, stored
 
 # (part, supplier, quantity, price, day); part 3 has no row in the parts table.
 LINES = [
@@ -32,6 +32,7 @@ def raw(spark, tmp_path):
     tables = {
         "lineitem": (lines, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"),
         "part": ([(1, "Brand#1", "STEEL"), (2, "Brand#2", "TIN")], "p_partkey long, p_brand string, p_type string"),
+        "nation": ([(1, "Land")], "n_nationkey int, n_name string"),
         "supplier": ([(1, "One"), (2, "Two")], "s_suppkey long, s_name string"),
     }
     for name, (rows, schema) in tables.items():
@@ -69,3 +70,55 @@ def test_positions_are_not_stored_and_do_not_move(spark, raw):
 def test_buckets_grow_with_the_lines(spark, raw, monkeypatch):
     monkeypatch.setattr(testdata, "BUCKET_LINES", 1)
     assert testdata.n_buckets(spark, raw) == len(LINES)
+
+
+def test_holdings_stay_in_place_by_account(spark, raw):
+    rows = inputs.holdings(spark, raw)
+    assert rows.count() == 4 * 5  # every series on every month but the first
+    for df in (holdings.sector_claims(rows), holdings.account_days(rows), rows.groupBy("account", "date", "ticker").count()):
+        assert "Exchange hashpartitioning" not in plan(df)
+    accounts = stored(spark.createDataFrame([("A00000001", 7), ("A00000002", 8)], "account string, portfolio_id int"))
+    flows = holdings.estimated_flows(rows, accounts)
+    assert "Window" in plan(flows)
+    assert "Exchange hashpartitioning(account" not in plan(flows).split("Window")[1]  # below the lag
+    # Only the buy of April is after the first month of the matrix in portfolio 7's first series.
+    prices = {(r.ticker, r.date): r.price for r in rows.collect()}
+    cf = {(r.portfolio_id, r.date): r.cf for r in flows.collect()}
+    first = "STEEL-Brand#1"
+    assert cf[7, date(1995, 4, 1)] == 5.0 * prices[first if (first, date(1995, 3, 1)) in prices else f"N-{first}", date(1995, 3, 1)]
+
+
+def test_import_equals_its_figures_by_account(spark, raw):
+    """Repeated rows, days and spans out of one table of days and the claims."""
+    day = lambda n: date(1995, n, 1)
+    schema = "account string, date date, ticker string, sector string, quantity double, price double, dividend double"
+    rows = spark.createDataFrame(
+        [
+            ("A", day(1), "X", "S", 1.0, 1.0, None),
+            ("A", day(1), "X", "S", 1.0, 1.0, None),
+            ("A", day(1), None, "S", 1.0, 1.0, None),
+            ("A", None, None, "S", 1.0, 1.0, None),
+            ("A", None, None, "S", 1.0, 1.0, None),
+            ("B", day(2), "X", "S", 1.0, 1.0, None),
+            (None, day(3), "X", "S", 1.0, 1.0, None),
+            (None, day(3), "X", "S", 1.0, 1.0, None),
+        ],
+        schema,
+    )
+    days = holdings.account_days(rows)
+    assert {(r.account, r.date): (r.rows, r.repeated) for r in days.collect()} == {
+        ("A", day(1)): (3, 1), ("A", None): (2, 1), ("B", day(2)): (1, 0), (None, day(3)): (2, 1)
+    }
+    assert {r.account: r.n for r in holdings.duplicate_violations(days).collect()} == {"A": 2, None: 1}
+    claims = {(r.account, r.ticker): (r.rows, r.from_date, r.to_date) for r in holdings.sector_claims(rows).collect()}
+    assert claims["A", None] == (3, day(1), day(1)) and claims["B", "X"] == (1, day(2), day(2))
+
+
+def test_csv_is_delivered_compressed(spark, raw):
+    read = REGISTRY["holdings_from_csv"](spark, raw)
+    assert all(f.endswith(".csv.gz") for f in read.inputFiles())
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, delivered(spark, raw)))
+
+
+def delivered(spark, raw):
+    return inputs.holdings(spark, raw).select("date", "ticker", "sector", "quantity", "price", F.round("dividend", 9).alias("dividend"), "account").collect()
