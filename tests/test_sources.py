@@ -173,6 +173,52 @@ def test_imports_stay_bucketed_and_compact(spark, universe, tmp_path):
     assert batches.read_published(spark, root).positions_daily.count() == 61 * 6 + 3 * 20
 
 
+def test_compaction_and_sums_by_portfolio_move_nothing(spark, universe, tmp_path, monkeypatch):
+    root, plans, write = str(tmp_path / "lake"), [], batches._write
+
+    def watched(tables, root, folder, buckets, *keys):
+        placed = tables["positions_daily"].repartition(buckets, "portfolio_id")
+        plans.append(placed._jdf.queryExecution().executedPlan().toString())
+        write(tables, root, folder, buckets, *keys)
+
+    batches.publish(spark, universe.tables(), root, "base", buckets=4)
+    star = batches.read_published(spark, root)
+    batches.publish(spark, import_holdings(frame(spark, golden_rows()), star).deltas, root, "import", base=1)
+    grown = batches.read_published(spark, root)
+    met = basis_returns(grown).groupBy("portfolio_id", "date", "sector").agg(F.sum("basis"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(portfolio_id" not in plan and "Bucketed: true" in plan
+    before = sorted(map(repr, grown.positions_daily.collect()))
+    monkeypatch.setattr(batches, "_write", watched)
+    batches.compact(spark, root)
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Bucketed: true" in plans[0]
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+    assert sorted(map(repr, batches.read_published(spark, root).positions_daily.collect())) == before
+
+
+def test_batches_bucketed_by_series_are_read_and_compacted(spark, universe, tmp_path, monkeypatch):
+    """Commits of before name no keys."""
+    root, commit = str(tmp_path / "lake"), commits.commit
+
+    def without_keys(spark, root, version, entry):
+        commit(spark, root, version, {k: v for k, v in entry.items() if k != "keys"})
+
+    monkeypatch.setattr(batches, "published", lambda *_: batches.Published(0, (), {}, 4, stars.FACT_KEYS))
+    monkeypatch.setattr(commits, "commit", without_keys)
+    batches.publish(spark, universe.tables(), root, "base")
+    monkeypatch.undo()
+    star = batches.read_published(spark, root)
+    assert batches.published(spark, root).keys == stars.FACT_KEYS
+    batches.publish(spark, import_holdings(frame(spark, golden_rows()), star).deltas, root, "import", base=1)
+    grown = batches.read_published(spark, root)
+    assert batches.published(spark, root).keys == stars.FACT_KEYS and grown.positions_daily.count() == 61 * 6 + 20
+    before = sorted(map(repr, attribution.weight_basis(grown).collect()))
+    batches.compact(spark, root)
+    assert batches.published(spark, root).keys == stars.BUCKET_KEYS
+    after = attribution.weight_basis(batches.read_published(spark, root))
+    assert sorted(map(repr, after.collect())) == before
+
+
 def test_exported_marts(spark, universe, tmp_path):
     path = str(tmp_path / "marts")
     assert marts.export_marts(universe, path) == 1
