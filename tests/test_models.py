@@ -115,3 +115,19 @@ def test_equal_weights_and_spelling(spark, universe):
     typed = targets(spark, [("m", "sec001", 1.0, "NONE"), ("m", "nope", 1.0, "NONE")])
     fixed = {r.ticker for r in models.canonical_tickers(typed, universe.securities).collect()}
     assert fixed == {"SEC001", "nope"}
+
+
+def test_targets_are_worked_out_once_and_spelt_out_in_many_tasks(spark, universe):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(ticker):
+        made.add(1)
+        return ticker
+
+    rows = [(f"m{k}", t, w, "MONTHLY") for k in range(8) for t, w in THREE]
+    given = targets(spark, rows).withColumn("ticker", counted.asNondeterministic()("ticker"))
+    violations, weights = models.checked_weights(given, universe)
+    assert violations.isEmpty() and weights.count() == len(rows)
+    assert made.value == len(rows)
+    assert models.model_holdings(weights, universe).rdd.getNumPartitions() == 4  # not merged for their few bytes
