@@ -114,6 +114,27 @@ def test_import_equals_its_figures_by_account(spark, raw):
     assert claims["A", None] == (3, day(1), day(1)) and claims["B", "X"] == (1, day(2), day(2))
 
 
+def test_days_by_bits_equal_those_of_told_rows(spark):
+    """Accounts that are whole, thin, repeated, off the calendar or without a name, over more dates than a word has bits."""
+    days = [date(1990 + n // 12, n % 12 + 1, 1) for n in range(130)]
+    dated = spark.createDataFrame([(d,) for d in days[:128]] + [(days[0],)], "date date")
+    rows = [(a, d, t) for a in ("whole", "thin", "twice", "later", "off", None) for d in days[:128] for t in ("X", "Y", None)]
+    rows = [r for r in rows if r[0] != "thin" or (r[1].month + len(r[2] or "")) % 4]
+    rows += [("twice", days[63], "X"), ("twice", days[63], "X"), (None, days[64], None), ("off", days[129], "X")]
+    rows += [("off", None, "X"), ("off", None, "X"), ("later", days[127], "Z")]
+    table = spark.createDataFrame(rows, "account string, date date, ticker string")
+
+    def found(df):
+        return sorted((str(r.account), str(r.date), r.rows, r.repeated) for r in df.collect())
+
+    assert found(holdings.account_days(table, dated)) == found(holdings.account_days(table))
+    whole = table.where("account in ('whole', 'thin', 'later')")
+    assert found(holdings.account_days(whole, dated)) == found(holdings.account_days(whole))
+    assert found(holdings.account_days(whole.limit(0), dated)) == []
+    by_bits = plan(holdings.account_days(whole, dated))
+    assert "ticker#" not in by_bits  # nothing is grouped by date and ticker once the words are stored
+
+
 def test_csv_is_delivered_compressed(spark, raw):
     read = REGISTRY["holdings_from_csv"](spark, raw)
     assert all(f.endswith(".csv.gz") for f in read.inputFiles())
