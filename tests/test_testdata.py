@@ -135,6 +135,12 @@ def test_days_by_bits_equal_those_of_told_rows(spark):
     assert "ticker#" not in by_bits  # nothing is grouped by date and ticker once the words are stored
 
 
+def test_returns_unfold_the_first_accounts_alone(spark, raw):
+    rows = inputs.holdings(spark, raw)
+    known = stored(spark.createDataFrame([("N-STEEL-Brand#1", None, 9, "A00000001")], "ticker string, existing_id int, security_id int, first_account string"))
+    assert "LeftSemi" in plan(holdings.imported_returns(rows, known)).split("Generate")[-1]  # below the unfolding
+
+
 def test_csv_is_delivered_compressed(spark, raw):
     read = REGISTRY["holdings_from_csv"](spark, raw)
     assert all(f.endswith(".csv.gz") for f in read.inputFiles())
