@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perfattr.operators import attribution, holdings, returns
+from perfattr.operators.series import by_calendar
 from perfattr.plans import inputs
 from perfattr.plans.queries import REGISTRY
 from perfattr.sources import testdata
@@ -67,6 +68,29 @@ def test_positions_are_not_stored_and_do_not_move(spark, raw):
     assert returns.valuations(star).count() == 5 + 3
 
 
+def test_days_and_sectors_of_a_portfolio_stay_in_place(spark, raw):
+    """Neither the held sectors nor the spelt out ones move by date: they meet the calendar by portfolio."""
+    star = testdata.load(spark, raw).star
+    for df in (attribution.attribution_period(attribution.attribution_daily(star)),):
+        assert "Exchange hashpartitioning(portfolio_id" in plan(df)  # a row per portfolio
+        moved = [line for line in plan(df).splitlines() if "Exchange hashpartitioning(portfolio_id" in line]
+        assert not any("date#" in line for line in moved)
+
+
+def test_calendar_days_meet_their_own_rows(spark):
+    """Days off the calendar are left out, days and portfolios without rows are null."""
+    spans = spark.createDataFrame([(1,), (1,), (2,), (None,)], "portfolio_id int")
+    day = [date(2024, 1, d) for d in (1, 2, 5)]
+    calendar = spark.createDataFrame([([(d, float(i)) for i, d in enumerate(day)],)], "days array<struct<date: date, rb: double>>")
+    rows = [(1, day[1], "b"), (1, date(2024, 1, 3), "off"), (1, date(2023, 1, 1), "off"), (1, None, "off"), (1, day[2], "c"), (None, day[0], "none")]
+    own = spark.createDataFrame(rows, "portfolio_id int, date date, own string")
+    got = by_calendar(spans, calendar, own).collect()
+    full = [(1, 0, day[0], None), (1, 1, day[1], "b"), (1, 2, day[2], "c")]
+    rest = [(p, i, d, None) for p in (2, None) for i, d in enumerate(day)]
+    assert sorted(((r.portfolio_id, r.idx, r.day.date, r.own) for r in got), key=str) == sorted(full * 2 + rest, key=str)
+    assert by_calendar(spans, calendar.select(F.filter("days", lambda d: d["rb"] > 9).alias("days")), own).isEmpty()
+
+
 def test_buckets_grow_with_the_lines(spark, raw, monkeypatch):
     monkeypatch.setattr(testdata, "BUCKET_LINES", 1)
     assert testdata.n_buckets(spark, raw) == len(LINES)
