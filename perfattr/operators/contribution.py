@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from perfattr.operators.common import Day, Portfolios
-from perfattr.operators.series import basis_returns, from_place_0
+from perfattr.operators.series import basis_returns
 from perfattr.sources.star import Star
-from perfattr.sources.storage import stored
 
 TOP, BOTTOM = 8, 5
 
@@ -22,27 +21,15 @@ def contributions(
     Weights are shares of the holdings that have a return that day, so the day
     total is taken after the fact has met its returns.
 
-    Basis and return are worked out once and stored, one row per series.  A portfolio's day
-    totals are one row with an array by calendar index, from which each day of a series
-    picks its own; only these rows meet by portfolio.
+    The day totals are a window by portfolio and date: over a fact bucketed by portfolio neither they nor the
+    sums per series move it, and nothing is stored.
     """
-    held = basis_returns(star, start, end, portfolios)
-    days = F.collect_list(F.struct("place", "basis", "ret")).alias("days")
-    series = stored(held.groupBy("portfolio_id", "security_id").agg(days), "series")
-    listed = (
-        series.select("portfolio_id", F.inline("days"))
-        .groupBy("portfolio_id", "place")
-        .agg(F.sum("basis").alias("total"))
-        .groupBy("portfolio_id")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("listed"))
-    )
-    totals = listed.select("portfolio_id", from_place_0("listed", "total").alias("totals"))
-    total = F.get("totals", F.col("place"))
+    held = basis_returns(star, start, end, portfolios).where(F.col("portfolio_id").isNotNull())
+    total = F.sum("basis").over(W.partitionBy("portfolio_id", "date"))
+    part = F.try_divide(F.col("basis") * F.col("ret"), total)
     return (
-        series.join(star.securities.select("security_id", "ticker", "sector"), "security_id")
-        .join(stored(totals, "totals"), "portfolio_id")
-        .select("portfolio_id", "ticker", "sector", "totals", F.inline("days"))
-        .select("portfolio_id", "ticker", "sector", F.try_divide(F.col("basis") * F.col("ret"), total).alias("part"))
+        held.select("portfolio_id", "security_id", part.alias("part"))
+        .join(star.securities.select("security_id", "ticker", "sector"), "security_id")
         .groupBy("portfolio_id", "ticker", "sector")
         .agg(F.sum("part").alias("contribution"))
     )

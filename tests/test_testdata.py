@@ -7,9 +7,9 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from perfattr.operators import attribution, holdings, returns
+from perfattr.operators import attribution, contribution, holdings, linking, returns
 from perfattr.operators.series import by_calendar
-from perfattr.plans import inputs
+from perfattr.plans import inputs, marts
 from perfattr.plans.queries import REGISTRY
 from perfattr.sources import testdata
 from perfattr.sources.storage import list_names, stored
@@ -71,12 +71,29 @@ def test_positions_are_not_stored_and_do_not_move(spark, raw):
 def test_days_and_sectors_of_a_portfolio_stay_in_place(spark, raw):
     """Neither the held sectors nor the spelt out ones move by date: they meet the calendar by portfolio."""
     star = testdata.load(spark, raw).star
-    for df in (attribution.attribution_period(attribution.attribution_daily(star)),):
+    held = attribution.held_sectors(star, within_lifespan=True)
+    detail = marts.portfolio_detail(star, held)
+    for df in (attribution.attribution_period(attribution.attribution_daily(star)), linking.linked_attribution(held), detail):
         assert "Exchange hashpartitioning(portfolio_id" in plan(df)  # a row per portfolio
         moved = [line for line in plan(df).splitlines() if "Exchange hashpartitioning(portfolio_id" in line]
         assert not any("date#" in line for line in moved)
 
 
+def test_contributions_store_and_move_nothing(spark, raw):
+    star = testdata.load(spark, raw).star
+    found = contribution.contributions(star)
+    assert "Exchange hashpartitioning(portfolio_id" not in plan(found) and not any("series-" in x for x in found.inputFiles())
+    got = {(r.portfolio_id, r.ticker): r.contribution for r in found.collect()}
+    basis = {(r.portfolio_id, r.security_id, r.date): r.basis for r in attribution.weight_basis(star).collect()}
+    rets = {(r.security_id, r.date): r.ret for r in star.benchmark_returns.collect()}
+    tickers = {r.security_id: r.ticker for r in star.securities.collect()}
+    want = {}
+    for (p, s, day), value in basis.items():
+        total = sum(v for (q, _, d), v in basis.items() if (q, d) == (p, day))
+        want[p, tickers[s]] = want.get((p, tickers[s]), 0.0) + value * rets[s, day] / total
+    assert got == pytest.approx(want)
+
+
 def test_calendar_days_meet_their_own_rows(spark):
     """Days off the calendar are left out, days and portfolios without rows are null."""
     spans = spark.createDataFrame([(1,), (1,), (2,), (None,)], "portfolio_id int")
