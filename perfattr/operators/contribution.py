@@ -14,7 +14,7 @@ TOP, BOTTOM = 8, 5
 
 
 def contributions(
-    star: Star, start: Day = None, end: Day = None, portfolios: Portfolios = None
+    star: Star, start: Day = None, end: Day = None, portfolios: Portfolios = None, totals: DataFrame | None = None
 ) -> DataFrame:
     """(portfolio_id, ticker, sector, contribution): sum of daily weight times return.
 
@@ -22,10 +22,15 @@ def contributions(
     total is taken after the fact has met its returns.
 
     The day totals are a window by portfolio and date: over a fact bucketed by portfolio neither they nor the
-    sums per series move it, and nothing is stored.
+    sums per series move it, and nothing is stored.  Given stored `totals` of the same holdings (`Held`), these
+    meet the fact as an array per portfolio, and it is not sorted by date.
     """
     held = basis_returns(star, start, end, portfolios).where(F.col("portfolio_id").isNotNull())
-    total = F.sum("basis").over(W.partitionBy("portfolio_id", "date"))
+    if totals is None:
+        total = F.sum("basis").over(W.partitionBy("portfolio_id", "date"))
+    else:
+        held = held.join(totals.hint("shuffle_hash"), "portfolio_id")
+        total = F.get("totals", F.col("place"))
     part = F.try_divide(F.col("basis") * F.col("ret"), total)
     return (
         held.select("portfolio_id", "security_id", part.alias("part"))

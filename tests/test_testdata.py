@@ -94,6 +94,22 @@ def test_contributions_store_and_move_nothing(spark, raw):
     assert got == pytest.approx(want)
 
 
+def test_kept_sectors_spare_scans_of_the_fact(spark, raw):
+    """A detail of kept sectors equals one of sectors that are not, and unfolds the fact for the contributions alone."""
+    star = testdata.load(spark, raw).star
+    kept = attribution.held_sectors(star, within_lifespan=True, keep=True)
+    assert "Generate explode(sequence" not in plan(kept.rows) + plan(kept.spans)
+    detail = marts.portfolio_detail(star, kept)
+    assert plan(detail).count("Generate explode(sequence") == 1
+    assert sorted(map(repr, detail.collect())) == sorted(
+        map(repr, marts.portfolio_detail(star, attribution.held_sectors(star, within_lifespan=True)).collect())
+    )
+    found = contribution.contributions(star, totals=kept.totals)
+    fact = plan(found).split("Generate explode(sequence")[0]
+    assert "ShuffledHashJoin [portfolio_id" in fact and "Exchange hashpartitioning" not in fact
+    assert attribution.held_sectors(star, "1995-03-01", keep=True).totals is None  # not those of the whole fact
+
+
 def test_calendar_days_meet_their_own_rows(spark):
     """Days off the calendar are left out, days and portfolios without rows are null."""
     spans = spark.createDataFrame([(1,), (1,), (2,), (None,)], "portfolio_id int")
