@@ -206,3 +206,15 @@ def test_csv_is_delivered_compressed(spark, raw):
 
 def delivered(spark, raw):
     return inputs.holdings(spark, raw).select("date", "ticker", "sector", "quantity", "price", F.round("dividend", 9).alias("dividend"), "account").collect()
+
+
+def test_imported_rows_stay_by_account(spark, raw, monkeypatch):
+    """Beyond the broadcast the accounts come to the holdings."""
+    rows = inputs.holdings(spark, raw)
+    accounts = stored(spark.createDataFrame([("A00000001", 7), ("A00000002", 8)], "account string, portfolio_id int"))
+    tickers = [(t, n) for n, t in enumerate(sorted({r.ticker for r in rows.collect()}))]
+    mapped = stored(spark.createDataFrame(tickers, "ticker string, security_id int"))
+    monkeypatch.setattr("perfattr.operators.common.fits_broadcast", lambda small: "account" not in small.columns)
+    found = holdings.imported_positions(rows, accounts, mapped)
+    assert "Exchange hashpartitioning" not in plan(found).split("Generate explode(sequence")[0]
+    assert found.count() == rows.count()
