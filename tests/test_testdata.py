@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from perfattr.operators import attribution, contribution, holdings, linking, returns
+from perfattr.operators import attribution, contribution, holdings, linking, models, returns
 from perfattr.operators.series import by_calendar
 from perfattr.plans import inputs, marts
 from perfattr.plans.queries import REGISTRY
@@ -218,3 +218,12 @@ def test_imported_rows_stay_by_account(spark, raw, monkeypatch):
     found = holdings.imported_positions(rows, accounts, mapped)
     assert "Exchange hashpartitioning" not in plan(found).split("Generate explode(sequence")[0]
     assert found.count() == rows.count()
+
+
+def test_days_of_a_model_are_not_stored(spark, raw):
+    star = testdata.load(spark, raw).star
+    _, weights = models.checked_weights(inputs.targets(star), star)
+    rows = models.model_holdings(weights, star)
+    flows = plan(holdings.estimated_flows(rows, stored(rows.select("account").distinct().withColumn("portfolio_id", F.lit(1)))))
+    assert "Generate inline(path" in flows
+    assert "Exchange hashpartitioning(account" not in flows.split("Window")[1]  # below the lag
