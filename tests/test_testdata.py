@@ -227,3 +227,13 @@ def test_days_of_a_model_are_not_stored(spark, raw):
     flows = plan(holdings.estimated_flows(rows, stored(rows.select("account").distinct().withColumn("portfolio_id", F.lit(1)))))
     assert "Generate inline(path" in flows
     assert "Exchange hashpartitioning(account" not in flows.split("Window")[1]  # below the lag
+
+
+def test_a_grown_star_moves_once(spark, raw):
+    """Attribution of rows that lie by account and by portfolio: one move by portfolio, none by date."""
+    star = testdata.load(spark, raw).star
+    more = star.positions_daily.repartition(3, "date").withColumn("portfolio_id", F.col("portfolio_id") + 10)
+    daily = attribution.portfolio_sectors(star.append({"positions_daily": more}).by_portfolio())
+    moved = [line for line in plan(daily).splitlines() if "Exchange hashpartitioning(portfolio_id" in line]
+    assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]
+    assert daily.count() == 2 * attribution.portfolio_sectors(star).count()
