@@ -11,7 +11,7 @@ from perfattr.operators import attribution, contribution, holdings, linking, mod
 from perfattr.operators.series import by_calendar
 from perfattr.plans import inputs, marts
 from perfattr.plans.queries import REGISTRY
-from perfattr.sources import testdata
+from perfattr.sources import periods, testdata
 from perfattr.sources.storage import list_names, stored
 
 # (part, supplier, quantity, price, day); part 3 has no row in the parts table.
@@ -237,3 +237,19 @@ def test_a_grown_star_moves_once(spark, raw):
     moved = [line for line in plan(daily).splitlines() if "Exchange hashpartitioning(portfolio_id" in line]
     assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]
     assert daily.count() == 2 * attribution.portfolio_sectors(star).count()
+
+
+def test_periods_are_written_in_place(spark, raw, tmp_path, monkeypatch):
+    star = testdata.load(spark, raw).star
+    plans, write = [], periods._write
+
+    def watched(rows, path):
+        plans.append(plan(rows))
+        write(rows, path)
+
+    monkeypatch.setattr(periods, "_write", watched)
+    periods.write_by_period(star.positions_daily, str(tmp_path / "p"), months=2)
+    assert len(plans) == 2 and not any("Exchange hashpartitioning(portfolio_id" in p or "rangepartitioning" in p for p in plans)
+    window = periods.read_window(spark, str(tmp_path / "p"), "1995-05-01", "1995-06-01")
+    full = attribution.weight_basis(star, "1995-05-01", "1995-06-01").collect()
+    assert sorted(attribution.weight_basis(star.with_positions(window), "1995-05-01", "1995-06-01").collect()) == sorted(full)
